@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tagmill.llm import chat, decontam, mixing, urlfilter, warc
+from tagmill.llm import chat, decontam, langid, mixing, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_warc_archive": warc.op4_warc_archive,
+    "op5_language_id": langid.op5_language_id,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_url_filter": urlfilter.op8_url_filter,
     "op10_mix_sources": mixing.op10_mix_sources,
 }

@@ -15,7 +15,7 @@ import pyarrow as pa
 BLANK_WORDS = bytes(0x20 if c == 0x20 or 0x09 <= c <= 0x0D else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Separators: all ASCII but digits and letters; A-Z become a-z.
 PLAIN_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def splitmix(h: np.ndarray) -> np.ndarray:

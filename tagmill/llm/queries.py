@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagmill.llm import chat, decontam, langid, lm, mixing, neardup, toxicity, urlfilter, warc
+from tagmill.llm import ann, chat, decontam, langid, lm, mixing, neardup, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc_archive": warc.op4_warc_archive,
     "op5_language_id": langid.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_nearest": ann.op7_nearest,
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_near_dedup": neardup.op9_near_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,

@@ -133,10 +133,10 @@ def scorer(spark, model: tuple[np.ndarray, np.ndarray]):
     return score
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep and score."""
+def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), into: str = "score") -> DataFrame:
+    """The columns in keep and the score."""
     score = scorer(docs.sparkSession, train(docs, labels))
-    return docs.select(*keep, score(F.col("text").cast("string")).alias("score"))
+    return docs.select(*keep, score(F.col("text").cast("string")).alias(into))
 
 
 def predicted(score: Column) -> Column:

@@ -68,11 +68,13 @@ def _confidence(v: Column) -> Column:
 
 
 def parse(df: DataFrame, categories: list[str], threshold: int, raw: str = "raw_response") -> DataFrame:
-    """df with the columns of RESULT."""
+    """df with the columns of RESULT, in place of any that it has by these names."""
     cats = F.array(*map(F.lit, categories)).cast("array<string>")
-    strict = F.try_parse_json(F.col(raw))
-    mended = repair_json()(F.when(strict.isNull(), F.col(raw)))
-    step = df.withColumn("_mended", mended).withColumn("_v", F.coalesce(F.try_parse_json(raw), F.try_parse_json("_mended")))
+    # the row travels as one struct, so that no column of it can clash with a step's
+    step = df.select(F.struct(*(df[c] for c in df.columns if c not in RESULT)).alias("_row"), df[raw].alias("_raw"))
+    raw = "_raw"
+    mended = repair_json()(F.when(F.try_parse_json(raw).isNull(), F.col(raw)))
+    step = step.withColumn("_mended", mended).withColumn("_v", F.coalesce(F.try_parse_json(raw), F.try_parse_json("_mended")))
     step = step.withColumn("_kind", _kind(F.col("_v")))
     is_object, is_array = F.col("_kind").startswith("OBJECT"), F.col("_kind").startswith("ARRAY")
     step = step.withColumn("_labels", F.when(is_object, _get(F.col("_v"), "$.labels", "variant")).when(is_array, F.col("_v")))
@@ -146,4 +148,4 @@ def parse(df: DataFrame, categories: list[str], threshold: int, raw: str = "raw_
         .when(F.size("_sorted") == 0, outcome(lit(UNCLASSIFIED), zero, whole, yes, lit("no_valid_labels_after_validation")))
         .otherwise(outcome(F.array_join("_names", "|"), F.get(F.col("_sorted"), lit(0)).conf.try_cast("int"), detail, F.when(F.col("_low"), "yes").otherwise("no"), status))
     )
-    return step.withColumn("_made", made).select(*(df[c] for c in df.columns), "_made.*")
+    return step.withColumn("_made", made).select("_row.*", "_made.*")

@@ -1,0 +1,24 @@
+import pytest
+
+from tagmill.plans import catalogue
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+def test_query_says_what_its_sql_says(spark, sf_dir, same_as_sql, name):
+    same_as_sql(catalogue.QUERIES[name](spark, sf_dir), catalogue.ORACLES[name], sf_dir)
+
+
+def test_only_random_rows_have_no_sql():
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"random_n"}
+
+
+def test_random_rows_are_exactly_so_many_and_distinct(spark, sf_dir):
+    rows = catalogue.random_n(spark, sf_dir).collect()
+    assert len(rows) == 50 == len({r["doc_id"] for r in rows})
+
+
+def test_entry_has_rows(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() == 6
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

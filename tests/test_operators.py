@@ -1,0 +1,228 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tagmill.functions import text as fn
+from tagmill.identity import KEYS, with_keys
+from tagmill.operators import dedup, failures, labels, merge, report, throttle
+
+CATS = ["Finance", "Marketing", "Data Science"]
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_keys_of_nulls_and_nan(spark):
+    df = frame(spark, [(None, None, float("nan")), ("", "a", 1.0), (" A ", None, None)], "text string, context string, x double")
+    got = [tuple(r) for r in with_keys(df, "text", "context").select(*KEYS).collect()]
+    assert got == [("", ""), ("", "a"), (" A ", "")]
+    assert [r[0] for r in with_keys(df, "x").select("key_text").collect()] == ["", "1.0", ""]
+
+
+def test_first_row_is_kept_and_dedup_is_idempotent(spark):
+    df = frame(spark, [(3, "Same", "A", "z"), (1, "Same", "A", "x"), (2, "Same", "B", "y"), (4, None, None, "n"), (5, "", "", "m")], "ord int, text string, context string, extra string")
+    once = dedup.keep_first(df, "text", "context")
+    assert sorted(r["extra"] for r in once.collect()) == ["n", "x", "y"]
+    again = dedup.keep_first(once.drop(*KEYS), "text", "context")
+    assert again.count() == 3
+    assert dedup.summary(df, "text", "context").first().asDict() == {"n_rows": 5, "n_unique": 3, "n_duplicates": 2}
+    assert dedup.summary(df.filter("false"), "text").first()["n_rows"] == 0
+
+
+def test_samples(spark):
+    df = spark.range(20).withColumnRenamed("id", "ord")
+    assert [r[0] for r in dedup.sample(df, first=3).orderBy("ord").collect()] == [0, 1, 2]
+    assert dedup.sample(df, first=50).count() == 20 and dedup.sample(df, first=0).count() == 0
+    assert dedup.sample(df, random=5).count() == 5 and dedup.sample(df, random=50).count() == 20
+    a, b = (sorted(r[0] for r in dedup.sample(df, random=7, seed=3).collect()) for _ in range(2))
+    assert a == b and dedup.sample(df).count() == 20
+
+
+FAILED = [
+    ("Finance", False, "semantic", "other"),
+    ("", True, "semantic", "other"),
+    ("  ", True, "semantic", "other"),
+    (None, True, "semantic", "other"),
+    ("unclassified", True, "semantic", "unclassified"),
+    (" unclassified ", True, "semantic", "other"),
+    ("parse_error", True, "semantic", "parse_error"),
+    ("api_error", True, "transient", "api_error"),
+    ("processing_error", True, "transient", "processing_error"),
+    ("Finance| unmatched_X", True, "semantic", "unmatched"),
+    ("unmatched", False, "semantic", "other"),
+]
+
+
+@pytest.mark.parametrize("label, failed, category, kind", FAILED)
+def test_failure_predicates(spark, label, failed, category, kind):
+    df = frame(spark, [(label, "{}")], "label string, detail string")
+    got = df.select(failures.is_failed("label"), failures.category("label", "detail"), failures.failure_type("label")).first()
+    assert tuple(got) == (failed, category, kind)
+
+
+def test_detail_makes_a_failure_transient(spark):
+    df = frame(spark, [("parse_error", "x api_error y")], "label string, detail string")
+    assert df.select(failures.category("label", "detail")).first()[0] == "transient"
+
+
+def attempts(spark, rows):
+    return frame(spark, [(t, "", r, lab, "{}") for t, r, lab in rows], "key_text string, key_context string, round int, label string, confidence_detail string")
+
+
+def test_streak_counts_since_the_last_other_outcome(spark):
+    a = attempts(spark, [("a", 1, "unclassified"), ("a", 2, "unclassified"), ("b", 1, "unclassified"), ("b", 2, "api_error"), ("b", 3, "parse_error"), ("c", 1, "unclassified"), ("c", 2, "Finance")])
+    assert {r["key_text"]: r["streak"] for r in failures.streaks(a).collect()} == {"a": 2, "b": 1, "c": 0}
+
+
+def test_streaks_round_by_round_equal_streaks_over_the_log(spark):
+    rows = [(t, r, ["unclassified", "api_error", "Finance", "unmatched_Q"][(i * 7 + r * 3 + i // 3) % 4]) for i, t in enumerate("abcdefgh") for r in (1, 2, 3)]
+    a = attempts(spark, rows)
+    streak = frame(spark, [], "key_text string, key_context string, streak long")
+    for r in (1, 2, 3):
+        streak = failures.next_streaks(streak, a.filter(F.col("round") == r))
+    whole = {r["key_text"]: r["streak"] for r in failures.streaks(a).filter("streak > 0").collect()}
+    assert {r["key_text"]: r["streak"] for r in streak.collect()} == whole
+
+
+def test_exhausted_items_are_not_retried(spark):
+    bad = attempts(spark, [("a", 1, "unclassified"), ("b", 1, "unclassified"), ("c", 1, "api_error")])
+    streak = frame(spark, [("a", "", 2), ("b", "", 1), ("c", "", 5)], "key_text string, key_context string, streak long")
+    assert sorted(r["key_text"] for r in failures.eligible(bad, streak).collect()) == ["b", "c"]
+
+
+def test_retry_merge_keeps_every_key(spark):
+    rows = lambda *xs: frame(spark, [(t, "", lab) for t, lab in xs], "key_text string, key_context string, label string")
+    good, bad = merge.retry_merge(rows(("a", "Finance")), rows(("b", "api_error"), ("c", "unclassified"), ("d", "api_error")), rows(("b", "Marketing"), ("c", "parse_error")))
+    assert sorted(r["key_text"] for r in good.collect()) == ["a", "b"]
+    assert sorted((r["key_text"], r["label"]) for r in bad.collect()) == [("c", "parse_error"), ("d", "api_error")]
+    assert [r["key_text"] for r in merge.written_order(good, bad).orderBy("ord").collect()][:2] == ["a", "b"]
+
+
+def test_hits_and_todo_are_the_input(spark):
+    items = frame(spark, [("a", ""), ("b", ""), ("", "")], "key_text string, key_context string")
+    have = frame(spark, [("b", "", "Finance"), ("z", "", "Finance")], "key_text string, key_context string, label string")
+    assert sorted(r[0] for r in merge.resume_todo(items, have).collect()) == ["", "a"]
+    assert [r[0] for r in merge.resume_hits(items, have).collect()] == ["b"]
+    new = frame(spark, [("a", "", "Marketing")], "key_text string, key_context string, label string")
+    assert sorted(r[0] for r in merge.with_history(new, have).collect()) == ["a", "b", "z"]
+
+
+@pytest.mark.parametrize("old, new, same", [("a|b", "b|a", "yes"), ("a|b", "a", "no"), ("a|a", "a", "yes"), ("", "", "yes"), ("", "a", "no"), ("a ", "a", "no"), (None, "a", "no")])
+def test_comparison(spark, old, new, same):
+    results = frame(spark, [("t", "", new)], "key_text string, key_context string, label string")
+    before = frame(spark, [("t", "", old)], "key_text string, key_context string, label string")
+    assert merge.compare(results, before).first()["compare_is_match"] == same
+
+
+@pytest.mark.parametrize(
+    "label, out, low, status, bad",
+    [
+        ("Finance|Alchemy", "Finance", "no", "ok; post_validate removed: Alchemy", "Alchemy"),
+        ("Alchemy| Necromancy", "unclassified", "yes", "ok; post_validate all_invalid: Alchemy, Necromancy", "Alchemy|Necromancy"),
+        ("Finance||Marketing", "Finance|Marketing", "no", "ok; post_validate removed: ", ""),
+        ("Finance|Finance", "Finance|Finance", "no", "ok", None),
+        ("unclassified", "unclassified", "no", "ok", None),
+        ("", "", "no", "ok", None),
+        (None, None, "no", "ok", None),
+    ],
+)
+def test_post_validation(spark, label, out, low, status, bad):
+    df = frame(spark, [(label, "no", "ok")], "label string, is_low_confidence string, parse_status string")
+    r = labels.post_validate(df, CATS).first()
+    assert (r["label"], r["is_low_confidence"], r["parse_status"], r["invalid_names"]) == (out, low, status, bad)
+    assert labels.audit(labels.post_validate(df, CATS)).count() == (bad is not None)
+
+
+@pytest.mark.parametrize("name, out, exact", [("Finance", "Finance", True), (" Finance ", "Finance", True), ("Data Sciense", "Data Science", False), ("Alchemy", "Alchemy", False), ("FINANCE", "FINANCE", False)])
+def test_names(spark, name, out, exact):
+    r = labels.validate_name(frame(spark, [(name,)], "name string"), "name", CATS).first()
+    assert (r["validated"], r["exact"]) == (out, exact)
+
+
+def results(spark, rows):
+    return frame(spark, [(i, f"t{i}", "", *r) for i, r in enumerate(rows)], "ord int, key_text string, key_context string, label string, confidence int, is_low_confidence string, parse_status string")
+
+
+def test_histogram_shows_empty_ranges_and_sums_to_the_total(spark):
+    r = results(spark, [("Finance", 95, "no", "ok"), ("Finance", 94, "no", "ok"), ("x", None, "yes", "ok")])
+    got = {x["range"]: x["n"] for x in report.confidence_histogram(r).collect()}
+    assert got == {">=95": 1, "90-94": 1, "80-89": 0, "50-79": 0, "<50": 1}
+    assert {x["n"] for x in report.confidence_histogram(r.filter("false")).collect()} == {0}
+
+
+def test_distribution_ties_keep_first_seen_order(spark):
+    r = results(spark, [("Marketing|Finance", 95, "no", "ok"), ("Finance", 95, "no", "ok"), ("Marketing", 90, "no", "ok"), ("bad", 90, "yes", "fuzzy_corrected: a")])
+    got = [tuple(x) for x in report.label_distribution(r, CATS).orderBy(F.desc("n"), "first").select("label", "n", "pct").collect()]
+    assert got == [("Marketing", 2, 50.0), ("Finance", 2, 50.0)]
+    assert report.totals(r, CATS).first().asDict() == {"total": 4, "success": 3, "failed": 1, "low_conf": 1, "fuzzy_corrected": 1, "post_validated": 0}
+
+
+def test_markdown(spark):
+    from tagmill.config import Settings
+
+    s = Settings(CATS, text_column="name")
+    r = results(spark, [("Finance", 95, "no", "ok"), ("a|b" * 30, 40, "yes", "fuzzy_corrected: x → y")])
+    text = report.markdown(r, s)
+    assert "| Classified (valid labels) | 1 (50.0%) |" in text and "| 80-89 | 0 | 0.0% |" in text
+    assert "## Low Confidence" in text and "a/b" in text and "## Fuzzy Correction Log" in text
+    assert report.markdown(r.filter("false"), s) == "# Classification Report\n\nNo data.\n"
+
+
+@pytest.mark.parametrize("seconds, text", [(18000, "5.0h"), (3600, "1.0h"), (90, "1.5min"), (60, "1.0min"), (30, "30.0s"), (0.5, "0.5s")])
+def test_durations(spark, seconds, text):
+    assert fn.duration_text(seconds) == text
+    assert spark.range(1).select(fn.duration(F.lit(float(seconds)))).first()[0] == text
+
+
+def test_prompt(spark):
+    df = frame(spark, [("a{b}", "c")], "t string, c string")
+    assert df.select(fn.prompt("{{x}} {text}/{context}", F.col("t"), F.col("c"))).first()[0] == "{x} a{b}/c"
+    assert len(df.select(fn.prompt_hash("abc")).first()[0]) == 8
+
+
+def test_strip_takes_unicode_blanks(spark):
+    df = frame(spark, [(" \t x y 　\n",)], "t string")
+    assert df.select(fn.strip(F.col("t"))).first()[0] == "x y"
+
+
+def test_sliding_window_is_half_open(spark):
+    df = spark.sql("SELECT i AS id, timestamp_micros(CAST(i * 500000 AS BIGINT)) AS ts FROM (SELECT explode(sequence(0, 4)) AS i)")
+    got = [r["n_window"] for r in throttle.sliding_window(df, "ts", 1.0).orderBy("id").collect()]
+    assert got == [1, 2, 2, 2, 2]
+
+
+def test_cycles_align_across_idle_time(spark):
+    df = spark.sql("SELECT timestamp_seconds(s) AS ts, st FROM VALUES (100, 'success'), (109, 'failed'), (110, 'reserved'), (155, 'success') AS v(s, st)")
+    got = {r["cycle"]: (r["n_success"], r["n_reserved"]) for r in throttle.cycle_usage(df, "ts", "st", 10).collect()}
+    assert got == {1: (1, 0), 2: (0, 1), 6: (1, 0)}
+
+
+def test_admission_and_capacity(spark):
+    assert throttle.window_capacity(5, 3000, 850) == 3 and throttle.window_capacity(2, 0, 850) == 2 and throttle.window_capacity(0, 0, 850) == 0
+    got = [r[0] for r in spark.range(7).select(throttle.admission(F.col("id"), 3, 0.5)).collect()]
+    assert got == [0, 0, 0, 0.5, 0.5, 0.5, 1.0]
+
+
+def test_limiter_never_exceeds_its_window():
+    now = [0.0]
+    limiter = throttle.SlidingLimiter(2, 1.0, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    times = []
+    for _ in range(5):
+        assert limiter.acquire()
+        times.append(now[0])
+    assert times[1] < 0.01 and times[2] >= 1.0 and times[4] >= 2.0
+    assert not limiter.acquire(stop=lambda: True)
+
+
+def test_cycle_budget_survives_a_restart():
+    now = [100.0]
+    budget = throttle.CycleBudget(10, 3, clock=lambda: now[0])
+    first = budget.reserve(2)
+    budget.settle(2, 1, first)  # one failed and frees its place
+    budget.reserve(1)  # begun, never settled
+    again = throttle.CycleBudget(10, 3, state=budget.state, clock=lambda: now[0])
+    assert again.free() == 1 and 9.9 < again.wait() <= 10
+    now[0] = 125.0
+    assert again.free() == 3
+    again.settle(1, 1, first)  # of a cycle that is over
+    assert again.free() == 3

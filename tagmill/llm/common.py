@@ -18,6 +18,18 @@ BLANK_WORD = r"[^\x20\x09-\x0D]+"
 _written: list[str] = []
 
 
+#: Rows and bytes of an Arrow batch, and Spark's own defaults: whole texts are large, and an executor's workers share what
+#: its heap leaves.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("1000", "10000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(8 << 20), "67108864b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once; what a session has set itself stays."""
+    for key, (most, default) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

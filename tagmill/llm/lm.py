@@ -26,23 +26,26 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import crc_mod, stage, table
+from tagmill.llm.common import crc_mod, small_batches, stage, table
 from tagmill.llm.wordhash import BLANK_WORDS, utf8
 
 VOCAB, CLASSES, DIM = 512, 64, 32
 HEAD = 200_000
 NOISE, RATE, ROUNDS = 10.0, 0.15, 2
 BATCH = 2048
+#: Steps of training that a chunk makes at least.
+MIN_STEPS = 12
 #: Tokens that a task holds at once (a longer text alone counts as one piece).
 CHUNK = 1 << 20
 #: A counter that grows beyond so many words is passed on and begun anew.
-MOST_COUNTED = 400_000
+MOST_COUNTED = 250_000
 #: The end of a text: no word can hold a blank.
 END = b"\n"
 FOLDS, HELD_OUT = 7, 2
@@ -93,6 +96,9 @@ class Vocabulary:
         self.outputs = vocab + classes
 
     def prepare(self) -> Vocabulary:
+        """Look-up tables, made once in each worker."""
+        if hasattr(self, "rank"):
+            return self
         self.rank = {w: i for i, w in enumerate(self.words)}
         self.end = self.rank.get(END, -1)
         # of each head word: its output, and log10 of the numerators
@@ -113,7 +119,7 @@ class Vocabulary:
         words = tokens_of(text)
         words.append(END)
         get = self.rank.get
-        ranks = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        ranks = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         if not len(self.output):
             return words, ranks, np.full(len(words), self.vocab)
         outputs = self.output[ranks]
@@ -162,7 +168,7 @@ class Learner:
         self.m = {k: v.copy() for k, v in model.items()}
         self.g = {k: np.full_like(v, 1e-8) for k, v in model.items()}
         self.noise, self.rate, self.seen = noise.astype(np.float32), rate, 0
-        self.shift = np.log(NOISE * self.noise)
+        self.shift = np.log(np.float32(NOISE) * self.noise)
 
     def learn(self, context: np.ndarray, word: np.ndarray, seed: int) -> None:
         size, outputs = self.m["r"].shape[0], len(self.noise)
@@ -178,28 +184,31 @@ class Learner:
         at = place[which]
         sort = np.argsort(at, kind="stable")
         at, w, n, own = at[sort], w[sort], n[sort], own[order]
-        for lo in range(0, len(own), BATCH):
+        starts = list(range(0, len(own), BATCH))
+        # a chunk with few contexts goes over them again: it is as cheap as it is short
+        for lo in starts * max(1, MIN_STEPS // len(starts)):
             part = own[lo : lo + BATCH]
             a, b = np.searchsorted(at, [lo, lo + len(part)])
-            seen = np.zeros((len(part), outputs), np.float32)
-            seen[at[a:b] - lo, w[a:b]] = n[a:b]
-            self.step(part // size, part % size, seen)
+            self.step(part // size, part % size, at[a:b] - lo, w[a:b], n[a:b].astype(np.float32))
         self.seen += len(word)
 
-    def step(self, w1: np.ndarray, w2: np.ndarray, seen: np.ndarray) -> None:
+    def step(self, w1: np.ndarray, w2: np.ndarray, row: np.ndarray, word: np.ndarray, times: np.ndarray) -> None:
+        """Contexts (w1, w2); word was seen `times` times in the context of that row."""
         m = self.m
         r1, r2 = m["r"][w1], m["r"][w2]
         h = r1 @ m["c1"] + r2 @ m["c2"]
-        # s - log(k q): log-odds that a word was observed and not noise
-        odds = h @ m["q"].T
-        odds += m["b"] - self.shift
-        np.clip(odds, -30, 30, out=odds)
-        np.exp(-odds, out=odds)
-        odds += 1
-        np.reciprocal(odds, out=odds)  # now the probability of "observed"
-        total = seen.sum(1)
-        grad = seen - odds * (seen + (NOISE * total)[:, None] * self.noise)
-        grad /= total.sum()
+        # s - log(k q) are the log-odds that a word was observed and not noise; grad is first one over 1 + their inverse
+        grad = h @ -m["q"].T
+        grad += self.shift - m["b"]
+        np.exp(grad, out=grad)
+        grad += 1
+        np.reciprocal(grad, out=grad)
+        observed = grad[row, word]
+        total = np.bincount(row, times, len(w1)).astype(np.float32)
+        all_ = total.sum()
+        grad *= self.noise
+        grad *= (total * (-NOISE / all_))[:, None]
+        grad[row, word] += times * (1 - observed) / all_
         dh = grad @ m["q"]
         dr = np.zeros_like(m["r"])
         for w, c in ((w1, "c1"), (w2, "c2")):
@@ -240,7 +249,8 @@ def train(docs: DataFrame, v: Vocabulary, shared, rounds: int = ROUNDS) -> dict[
             learner = Learner(begun.value, voc.noise(), RATE / (1 + turn))
             texts = ((voc.ids(t)[2],) for batch in batches for t in utf8(batch.column(0)))
             for k, piece in enumerate(pieces(texts)):
-                learner.learn(*windows([x[0] for x in piece], voc.outputs), seed=k)
+                with np.errstate(over="ignore"):  # exp() to infinity is a probability of 0
+                    learner.learn(*windows([x[0] for x in piece], voc.outputs), seed=k)
             if learner.seen:
                 flat = np.concatenate([learner.m[k].ravel() for k in PARTS]).astype(np.float64) * learner.seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.concatenate([[learner.seen], flat]), pa.float64())], names=["at", "x"])
@@ -277,6 +287,7 @@ OUT = "rid long, word binary, times int, doc_id {id}, held_out boolean, n_tokens
 def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows where held_out isn't true train."""
     spark = docs.sparkSession
+    small_batches(spark)
     held = held_out if held_out is not None else crc_mod(docs[id_col], FOLDS) == HELD_OUT
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), docs[text_col].cast("string").alias("text"))
     taught = rows.filter(~F.col("held_out"))
@@ -294,7 +305,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
         for batch in batches:
             ids = batch.column(1)
             texts = ((k, *voc.ids(t)) for k, t in enumerate(utf8(batch.column(3))))
-            for piece in pieces(texts):
+            for piece in pieces(texts, CHUNK // 2):
                 lengths = np.array([len(x[3]) for x in piece])
                 firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 outputs = np.concatenate([x[3] for x in piece])

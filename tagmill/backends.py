@@ -166,6 +166,8 @@ def http(settings: Settings, plan: Plan | None = None, post: Callable[[Settings]
     threads = max(1, settings.workers // plan.tasks)
 
     def run(items: DataFrame) -> DataFrame:
+        if items.sparkSession.sparkContext.getConf().get("spark.speculation", "false") == "true":
+            raise ValueError("with spark.speculation a slow task would make its calls twice; switch it off")
         names = list(items.columns)
         schema = ", ".join([f"`{n}` {t}" for n, t in items.dtypes] + [f"{n} {t}" for n, t in ANSWER_FIELDS])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import logging
 import time
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 
 from tagmill.backends import Backend, http
 from tagmill.config import Settings
+from tagmill.functions.text import duration_text
 from tagmill.identity import KEYS
 from tagmill.operators import dedup, labels, merge, report
 from tagmill.operators.failures import is_failed
 from tagmill.operators.parse import parse
 from tagmill.operators.throttle import CycleBudget, Plan
-from tagmill.schemas import COMPARE_COLUMNS, RESULT_COLUMNS
+from tagmill.schemas import COMPARE_COLUMNS, PROCESSING_ERROR, RESULT_COLUMNS
 from tagmill.sources.files import output_format, read_table, write_csv, write_table
 from tagmill.sources.ledger import Ledger, drift
 
@@ -45,7 +47,7 @@ def commit_in_chunks(items: DataFrame, backend: Backend, settings: Settings, led
     size = max(1, plan.chunk)
     parts = max(1, -(-n // size))
     budget = budget or CycleBudget(plan.cycle_seconds, plan.cycle_calls, ledger.metadata_of("cycle.json"))
-    done = 0
+    done, began = 0, time.time()
     for k in range(parts):
         part = items if parts == 1 else items.filter(F.pmod(F.xxhash64(*KEYS), F.lit(parts)) == k)
         while True:  # a chunk above the cycle's budget goes in pieces
@@ -53,6 +55,7 @@ def commit_in_chunks(items: DataFrame, backend: Backend, settings: Settings, led
                 log.info("stopped between chunks; %d rows are committed", done)
                 return done
             if plan.cycle_calls and (free := budget.free()) < 1:
+                log.info("cycle %d is used up; waiting for the next", budget.state["cycle"])
                 sleep(budget.wait())
                 continue
             some = part.orderBy(*KEYS).limit(free) if plan.cycle_calls else part
@@ -65,6 +68,8 @@ def commit_in_chunks(items: DataFrame, backend: Backend, settings: Settings, led
             new = ledger.read().filter(F.col("seq") == seq)
             got = new.agg(F.count(F.lit(1)).alias("n"), F.count_if(~is_failed("label")).alias("ok")).first()
             done += got["n"]
+            rate = done / max(1e-9, time.time() - began)
+            log.info("%d of %d items (%.1f%%), %.1f a second, about %s left", done, n, 100 * done / max(1, n), rate, duration_text((n - done) / rate if rate else 0))
             if plan.cycle_calls:
                 budget.settle(count, got["ok"], cycle)
                 ledger.write_metadata_of("cycle.json", budget.state)
@@ -146,6 +151,12 @@ def run(spark: SparkSession, settings: Settings, backend: Backend | None = None,
         for change in drift(ledger.metadata(), meta_of(settings)):
             log.warning("the ledger is of another setting: %s; start fresh to redo it", change)
         ledger.set_metadata(meta_of(settings))
+    with logged_to(folder / "run.log"):
+        log.info("run folder %s; model %s at %s; %s", folder, settings.model_name, settings.api_base, Plan.of(settings).describe())
+        return run_in(spark, settings, backend, folder, items, ledger, source, resume, bool(input_csv), stop, began)
+
+
+def run_in(spark: SparkSession, settings: Settings, backend: Backend | None, folder: Path, items: DataFrame, ledger: Ledger, source: str, resume: bool, compare: bool, stop: Callable[[], bool], began: float) -> dict:
     # the snapshot of items cuts the input's lineage: a random sample must be the same in every later stage
     items.write.parquet(str(folder / "items"))
     items = spark.read.parquet(str(folder / "items"))
@@ -155,13 +166,14 @@ def run(spark: SparkSession, settings: Settings, backend: Backend | None = None,
     plan = Plan.of(settings)
     commit_in_chunks(todo, backend or http(settings, plan), settings, ledger, plan, stop=stop)
     everything = ledger.results().join(items.select(*KEYS, "ord"), KEYS)
+    everything = everything.unionByName(cancelled(items, everything), allowMissingColumns=True)
     checked = labels.post_validate(everything, settings.category_list)
     checked.write.parquet(str(folder / "results"))
     checked = spark.read.parquet(str(folder / "results"))
-    paths = write_outputs(checked, items, settings, folder, source, compare=bool(input_csv) and "label" in items.columns)
+    paths = write_outputs(checked, items, settings, folder, source, compare=compare and "label" in items.columns)
     if resume:
         # history first, so that what this run says of an item comes last; failed rows of other runs go
-        ledger.replace(merge.with_history(checked, ledger.successes()))
+        ledger.replace(merge.with_history(checked.filter("seq IS NOT NULL"), ledger.successes()))
         everything = ledger.results().withColumn("ord", F.struct("seq", *KEYS))
         write_csv(named(everything, settings, RESULT_COLUMNS), Path(settings.output_dir) / "classification_result_accumulated.csv", order="ord")
         if output_format(settings.output_format, source) == "xlsx":
@@ -170,6 +182,29 @@ def run(spark: SparkSession, settings: Settings, backend: Backend | None = None,
     return {"folder": str(folder), **paths}
 
 
+def cancelled(items: DataFrame, results: DataFrame) -> DataFrame:
+    """Result rows of items that a stopped run never called; they are reported, but never committed."""
+    rows = merge.resume_todo(items.select(*KEYS, "ord"), results)
+    values = {"label": PROCESSING_ERROR, "confidence_detail": "graceful shutdown", "is_low_confidence": "yes", "parse_status": "cancelled"}
+    return rows.withColumns({k: F.lit(v) for k, v in values.items()} | {"confidence": F.lit(0)})
+
+
+@contextlib.contextmanager
+def logged_to(path: Path):
+    """What is logged meanwhile also goes to a file."""
+    handler = logging.FileHandler(path, encoding="utf-8")
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    before = log.level
+    log.addHandler(handler)
+    log.setLevel(min(logging.INFO, before or logging.INFO))
+    try:
+        yield
+    finally:
+        log.removeHandler(handler)
+        log.setLevel(before)
+        handler.close()
+
+
 def answers_of(results: DataFrame) -> DataFrame:
     return results.withColumn("total_tokens", F.col("tokens_used"))
 

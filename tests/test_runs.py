@@ -272,6 +272,16 @@ def test_stop_between_chunks_loses_nothing(spark, tmp_path):
     assert led.read().count() == 40 == led.results().count()
 
 
+def test_stopped_run_reports_what_it_did_not_call(spark, tmp_path):
+    write(tmp_path / "in.csv", [("a", ""), ("b", "")])
+    made = classify.run(spark, settings(tmp_path, input_file="in.csv"), rule(by_text()), resume=True, stop=lambda: True)
+    assert {(r["label"], r["parse_status"]) for r in read(made["csv"])} == {("processing_error", "cancelled")}
+    assert Ledger(spark, tmp_path / "out" / "ledger").read().count() == 0
+    from pathlib import Path
+
+    assert "stopped between chunks" in (Path(made["folder"]) / "run.log").read_text()
+
+
 def test_cycle_budget_splits_chunks(spark, tmp_path):
     now = [0.0]
     s = settings(tmp_path, cycle_duration=10, cycle_max_calls=3)

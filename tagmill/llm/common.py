@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,14 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers are used again and share what an executor's heap leaves."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,11 +86,13 @@ def _remove_all() -> None:
             remove(spark, path)
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors, is computed once."""
+def stage(df: DataFrame, tag: str, codec: str = "lz4_raw") -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors, is computed once.
+
+    The default codec needs no memory outside the JVM's heap."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,10 @@
 """MinHash near-dedup with HyperMinHash sketches: compressed registers, banding, estimation, exact confirmation.
 
-A document's set is that of its word n-grams (64-bit hashes; of shorter texts the whole sequence). The first 8 bits of a
-hash choose one of 256 registers; a register keeps of its smallest remaining value the number of leading zeros (6 bits)
-and the next 10 bits. Six registers make a band: two sets that are 0.8 alike share at least one of the 42 bands but for
-about 3 in a million, and small sets, which leave registers empty, more surely still.
+A document's set is that of its word n-grams (64-bit hashes; of shorter texts the whole sequence). The first 9 bits of a
+hash choose one of 512 registers; a register keeps of its smallest remaining value the number of leading zeros (4 bits)
+and the next 4 bits: a byte. Empty registers of small sets borrow from others in an order of their own, so that a band is never
+one member that many texts share. Six registers make a band: two sets that are 0.8 alike share at least one of the 42 bands
+but for about 3 in a million.
 
   1. Documents with the same set form a class (128-bit fingerprint and size); one of its rows stands for it from here on,
      so copies, however many, cost a row each and no pair.
@@ -11,11 +12,13 @@ about 3 in a million, and small sets, which leave registers empty, more surely s
   3. Candidates whose sketches' Jaccard estimate, corrected for chance equality of compressed registers, lies five standard
      deviations below the bound are dropped; the others are confirmed on their full sets.
   4. Links join classes to components: least label of the neighbours, then pointer jumping, until nothing changes.
-  5. Where a band still holds more than one component, those of its classes that aren't with the smallest are compared with
-     all its classes, in blocks of bounded size inside tasks; only pairs that pass the estimate leave a task and are confirmed.
-     So no pair that shares a band goes untested unless it is already in one component.
+  5. Where a band still holds more than one component, classes of different ones that stand side by side in a random order
+     are confirmed too, and components joined anew, a few times: most of what belongs together is together after that.
+  6. In bands that are still divided, classes that aren't with the smallest are compared with all others, in blocks of
+     bounded size inside tasks; only pairs that pass the estimate leave a task, each once, and are confirmed. So no pair that
+     shares a band goes untested unless it is already in one component.
 
-Hot groups are split at every step: partial aggregation for copies and bands, salted centres for confirmation, blocks for 5.
+Hot groups are split at every step: partial aggregation for copies and bands, salted centres for confirmation, blocks for 6.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; ids may repeat or be null: rows
 are told apart by their place in the input, a component's id is the smallest id in it (null where all are null), and `kept`
@@ -28,19 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import stage, table
+from tagmill.llm.common import release, small_batches, stage, table
 from tagmill.llm.wordhash import BLANK_WORDS, Hasher, chunks, grams, splitmix, utf8
 
-REGISTERS, BAND, MANTISSA = 256, 6, 10
-BANDS = REGISTERS // BAND
-EMPTY = 0xFFFF
+REGISTERS, MANTISSA = 512, 4
+BAND, BANDS = 6, 42
+EMPTY, MOST_ZEROS = 0xFF, 14
 #: Registers of different values agree by chance about so often: same leading zeros (1/3), same mantissa.
 CHANCE = 1 / 3 / (1 << MANTISSA)
 DEVIATIONS = 5.0
-SALT_ROWS, BLOCK_ROWS = 256, 512
+SALT_ROWS, BLOCK_ROWS, ORDER_ROWS = 256, 512, 4096
+#: Rounds that compare neighbours of a band before the rest is compared in blocks.
+TURNS = 3
 WORDS = 5
 PERCENT = 80
 
@@ -70,16 +75,16 @@ def sets_of(hasher: Hasher, texts: list[bytes], n: int) -> tuple[np.ndarray, np.
 
 def registers_of(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sketches of sets that are sorted within each text: an array (texts, REGISTERS)."""
-    out = np.full((len(counts), REGISTERS), EMPTY, np.uint16)
+    out = np.full((len(counts), REGISTERS), EMPTY, np.uint8)
     owner = np.repeat(np.arange(len(counts)), counts)
-    bucket = (h >> np.uint64(56)).astype(np.int64)
+    bucket = (h >> np.uint64(55)).astype(np.int64)
     place = owner * REGISTERS + bucket
     first = np.flatnonzero(np.diff(place, prepend=-1))  # sorted: the first of a bucket is its smallest
-    rest = (h[first] & np.uint64((1 << 56) - 1)).astype(np.float64)
+    rest = (h[first] & np.uint64((1 << 55) - 1)).astype(np.float64)
     bits = rest.view(np.uint64)
-    zeros = 55 - ((bits >> np.uint64(52)).astype(np.int64) - 1023)
+    zeros = 54 - ((bits >> np.uint64(52)).astype(np.int64) - 1023)
     mantissa = ((bits >> np.uint64(52 - MANTISSA)) & np.uint64((1 << MANTISSA) - 1)).astype(np.int64)
-    out.reshape(-1)[place[first]] = np.clip(zeros, 0, 62) << MANTISSA | mantissa
+    out.reshape(-1)[place[first]] = np.clip(zeros, 0, MOST_ZEROS) << MANTISSA | mantissa
     return out
 
 
@@ -91,13 +96,65 @@ def prints(h: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
     return (sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)
 
 
-def likely(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
-    """Whether sketches (rows of a and b) may belong to sets at least bound alike."""
+def likely(a: np.ndarray, b: np.ndarray, na, nb, bound: float) -> np.ndarray:
+    """Whether sketches (rows of a and b) may belong to sets (of na and nb members) at least bound alike.
+
+    Used registers are a sample of the union without replacement: of small sets it is nearly all, and the estimate nearly exact."""
     used = (a != EMPTY) | (b != EMPTY)
-    n = np.maximum(used.sum(-1), 1)
-    seen = ((a == b) & used).sum(-1) / n
+    m = np.maximum(used.sum(-1), 1)
+    seen = ((a == b) & used).sum(-1) / m
     estimate = (seen - CHANCE) / (1 - CHANCE)
-    return estimate >= bound - DEVIATIONS * np.sqrt(bound * (1 - bound) / n)
+    union = np.maximum((na + nb) / (1 + bound), m)
+    margin = DEVIATIONS * np.sqrt((bound * (1 - bound) * (1 - m / union) + (1 - bound) * CHANCE) / m) + 1.5 / m
+    sizes = np.minimum(na, nb) >= bound * np.maximum(na, nb) * (1 - 1e-9)
+    return sizes & (estimate >= bound - margin)
+
+
+#: For each register of a band an order of all registers, and the inverse: where a register is empty, the first in its order that isn't lends its value.
+ORDER = np.argsort(splitmix(np.arange(BANDS * BAND * REGISTERS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(BANDS * BAND, REGISTERS), 1).astype(np.int16)
+RANK = np.argsort(ORDER, 1).astype(np.int16)
+
+
+def densified(sketch: np.ndarray) -> np.ndarray:
+    """The registers of the bands, none empty unless all are. Two sets' registers still agree as often as the sets are alike."""
+    full = sketch != EMPTY
+    held, out = full.sum(1), sketch[:, : BANDS * BAND].copy()
+    gaps = (out == EMPTY).any(1) & (held > 0)
+    many = np.flatnonzero(gaps & (held >= REGISTERS // 3))
+    for at in range(0, len(many), 512):
+        rows = many[at : at + 512]
+        part = out[rows]
+        for turn in range(64):
+            i, j = np.nonzero(part == EMPTY)
+            if not len(i):
+                break
+            part[i, j] = sketch[rows[i], ORDER[j, turn]]
+        out[rows] = part
+    for row in np.flatnonzero(gaps & (out == EMPTY).any(1)):
+        own, empty = np.flatnonzero(full[row]), np.flatnonzero(out[row] == EMPTY)
+        out[row, empty] = sketch[row, own[np.argmin(RANK[np.ix_(empty, own)], 1)]]
+    return out
+
+
+def keys_of(sketch: np.ndarray) -> np.ndarray:
+    """Keys of the bands of sketches: an array (texts, BANDS)."""
+    dense = densified(sketch).reshape(-1, BANDS, BAND)
+    with np.errstate(over="ignore"):
+        key = np.broadcast_to(splitmix(np.arange(1, BANDS + 1, dtype=np.uint64)), dense.shape[:2]).copy()
+        for k in range(BAND):
+            key = splitmix(key * np.uint64(0x9E3779B97F4A7C15) + dense[:, :, k].astype(np.uint64))
+    return key.view(np.int64)
+
+
+def band_keys():
+    """A function of a sketch: the keys of its bands."""
+
+    @F.arrow_udf("array<bigint>")
+    def keys(sketch: pa.Array) -> pa.Array:
+        rows = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(keys_of(rows).ravel(), pa.int64()))
+
+    return keys
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -110,9 +167,10 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             for first, part in chunks(texts):
                 h, counts = sets_of(hasher, part, words)
                 own = batch.slice(first, len(part))
-                sketch = registers_of(h, counts).astype("<u2")
+                sketch = registers_of(h, counts)
                 made = [pa.array(counts, pa.int64()), pa.array(prints(h, counts, 11)), pa.array(prints(h, counts, 12)), pa.array([x.tobytes() for x in sketch], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*own.columns[:3], *made], names=["rid", "doc_id", "mark", "n", "p1", "p2", "sketch"])
+        release()
 
     rows = placed(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
@@ -124,17 +182,11 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def band_keys():
-    part = lambda i: F.substring(F.col("sketch"), F.lit(1) + i * (2 * BAND), F.lit(2 * BAND))
-    key = lambda i: F.when(part(i) != F.lit(b"\xff" * (2 * BAND)), F.xxhash64(part(i), i))
-    return F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key))
-
-
 def sketches_agree(bound: float):
     @F.arrow_udf("boolean")
-    def agree(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(v.to_pylist()), "<u2").reshape(-1, REGISTERS) for v in (a, b))
-        return pa.array(likely(x, y, bound), pa.bool_())
+    def agree(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, REGISTERS) for v in (a, b))
+        return pa.array(likely(x, y, na.to_numpy(), nb.to_numpy(), bound), pa.bool_())
 
     return agree
 
@@ -171,6 +223,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                         found[0].append(a[k])
                         found[1].append(b[k])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+        release()
 
     return dealt.select("a", "salt", "b", "text").mapInArrow(run, "a long, b long")
 
@@ -193,6 +246,16 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
+def neighbours(banded: DataFrame, at: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components that stand side by side in a band's random order of this turn: as many as rows at most."""
+    own = banded.join(at.withColumnRenamed("v", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
+    size = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi AND m > 2")
+    salted = own.join(size, "band").withColumn("place", F.xxhash64("cls", F.lit(turn))).withColumn("salt", F.pmod("place", F.ceil(F.col("m") / ORDER_ROWS)))
+    line = Window.partitionBy("band", "salt").orderBy("place")
+    beside = salted.select("cls", "root", F.lag("cls").over(line).alias("x"), F.lag("root").over(line).alias("other"))
+    return beside.filter("root <> other").select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+
+
 def leftovers(banded: DataFrame, at: DataFrame, sketches: DataFrame, bound: float) -> DataFrame:
     """Pairs (a, b) of bands that hold several components, sketches likely alike, a and b in different components."""
     own = banded.join(at.withColumnRenamed("v", "cls"), "cls", "left").select("band", "least", "cls", F.coalesce("root", "cls").alias("root"))
@@ -202,11 +265,11 @@ def leftovers(banded: DataFrame, at: DataFrame, sketches: DataFrame, bound: floa
     rows = own.filter("cls <> least").join(size, "band").withColumn("apart", F.col("root") != F.col("main"))
     apart = rows.groupBy("band").agg(F.count(F.lit(1)).alias("all"), F.count_if("apart").alias("few"))
     apart = apart.filter("few > 0 AND all > 1").select("band", F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("few") / BLOCK_ROWS).cast("int").alias("turns"))
-    rows = rows.join(apart, "band").join(sketches, "cls").select("band", "cls", "root", "apart", "sketch", "blocks", "turns")
+    rows = rows.join(apart, "band").join(sketches, "cls").select("band", "cls", "root", "apart", "sketch", "n", "blocks", "turns")
     key = lambda n: F.pmod(F.xxhash64("cls"), n.cast("long")).cast("int")
     line = lambda n: F.sequence(F.lit(0), n - 1)
-    all_ = rows.select("band", key(F.col("blocks")).alias("block"), F.explode(line(F.col("turns"))).alias("turn"), F.lit(False).alias("apart"), "cls", "root", "sketch")
-    few = rows.filter("apart").select("band", F.explode(line(F.col("blocks"))).alias("block"), key(F.col("turns")).alias("turn"), "apart", "cls", "root", "sketch")
+    all_ = rows.select("band", key(F.col("blocks")).alias("block"), F.explode(line(F.col("turns"))).alias("turn"), F.lit(False).alias("apart"), "cls", "root", "sketch", "n")
+    few = rows.filter("apart").select("band", F.explode(line(F.col("blocks"))).alias("block"), key(F.col("turns")).alias("turn"), "apart", "cls", "root", "sketch", "n")
     dealt = all_.union(few).repartition("band", "block", "turn").sortWithinPartitions("band", "block", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,17 +284,21 @@ def leftovers(banded: DataFrame, at: DataFrame, sketches: DataFrame, bound: floa
             rest = now.slice(begin).combine_chunks().to_batches()[0]
         if rest is not None and rest.num_rows:
             yield pairs_of(pa.Table.from_batches([rest]), np.zeros(0, np.int64))
+        release()
 
     def pairs_of(rows: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
         apart, cls, root = (rows.column(i).to_numpy() for i in (3, 4, 5))
-        sketch = np.frombuffer(b"".join(rows.column(6).to_pylist()), "<u2").reshape(-1, REGISTERS)
+        sketch = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        n, band, keys = rows.column(7).to_numpy(), rows.column(0).to_numpy(), keys_of(sketch)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip([0, *cut], [*cut, rows.num_rows], strict=True):
             span = np.arange(lo, hi)
             ys = span[~apart[lo:hi]]
             for x in span[apart[lo:hi]]:
                 other = ys[root[ys] != root[x]]
-                other = other[likely(sketch[x], sketch[other], bound)] if len(other) else other
+                # a pair leaves from the first band that it shares, and from no other
+                other = other[band[x] == keys[x, np.argmax(keys[x] == keys[other], 1)]] if len(other) else other
+                other = other[likely(sketch[x], sketch[other], n[x], n[other], bound)] if len(other) else other
                 a.append(np.minimum(cls[x], cls[other]))
                 b.append(np.maximum(cls[x], cls[other]))
         got = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
@@ -242,31 +309,42 @@ def leftovers(banded: DataFrame, at: DataFrame, sketches: DataFrame, bound: floa
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """rid, doc_id, n, component_id, first (whether the row is the one of its component to keep)."""
+    small_batches(docs.sparkSession)
     bound = percent / 100
     rows = stage(sketched(docs, id_col, text_col, words), "near-rows")
     some = rows.filter("n > 0")
     classes = stage(some.groupBy("p1", "p2", "n").agg(F.min(F.struct("rid", "mark", "sketch")).alias("rep"), F.min("doc_id").alias("label")).select("p1", "p2", "n", F.col("rep.rid").alias("cls"), F.col("rep.mark").alias("mark"), "label", F.col("rep.sketch").alias("sketch")), "near-classes")
-    sketches = classes.select("cls", "sketch")
-    bands = classes.select("cls", F.explode(band_keys()).alias("band"))
+    sketches = classes.select("cls", "sketch", "n")
+    keys = band_keys()
+    bands = classes.select("cls", keys("sketch").alias("bands")).select("cls", F.explode("bands").alias("band"))
     several = bands.groupBy("band").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "least")
     banded = stage(bands.join(several, "band"), "near-bands")
     star = stage(banded.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct(), "near-candidates")
     agree = sketches_agree(bound)
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        x, y = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"))
-        return pairs.join(x, "a").join(y, "b").filter(agree("sa", "sb")).select("a", "b")
+        x, y = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+        return pairs.join(x, "a").join(y, "b").filter(agree("sa", "sb", "na", "nb")).select("a", "b")
 
     # texts of the classes that any band shares, once, for both rounds of confirmation
     wanted = star.select(F.col("a").alias("cls")).union(star.select("b")).distinct().join(classes.select("cls", F.col("mark").alias("known")), "cls")
     again = placed(docs, id_col, text_col).join(wanted, F.col("rid") == F.col("cls"))
     same = F.when(F.col("mark") == F.col("known"), F.col("text")).otherwise(F.raise_error(F.lit("the documents changed their order between two readings")).cast("string"))
-    texts = stage(again.select("cls", same.alias("text")), "near-texts")
+    texts = stage(again.select("cls", same.alias("text")), "near-texts", "zstd")
     links = stage(confirm(estimated(star), texts, words, percent), "near-links")
-    at = components(links)
-    more = stage(leftovers(banded, at, sketches, bound), "near-leftovers")
+    at, tested = components(links), star
+    for turn in range(TURNS):
+        pairs = stage(neighbours(banded, at, turn).join(tested, ["a", "b"], "left_anti"), "near-candidates")
+        if pairs.isEmpty():
+            break
+        tested = tested.union(pairs)
+        extra = stage(confirm(estimated(pairs), texts, words, percent), "near-links")
+        if not extra.isEmpty():
+            links = links.union(extra)
+            at = components(links)
+    more = stage(leftovers(banded, at, sketches, bound).join(tested, ["a", "b"], "left_anti"), "near-leftovers")
     if not more.isEmpty():
-        extra = stage(confirm(more.join(star, ["a", "b"], "left_anti"), texts, words, percent), "near-links")
+        extra = stage(confirm(more, texts, words, percent), "near-links")
         if not extra.isEmpty():
             at = components(links.union(extra))
     roots = classes.select("p1", "p2", "n", "cls", "label").join(at.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import crc_mod, small_batches, stage, table
-from tagmill.llm.wordhash import BLANK_WORDS, utf8
+from tagmill.llm.common import crc_mod, release, small_batches, stage, table
+from tagmill.llm.wordhash import BLANK_WORDS, Hasher, chunks, utf8
 
 VOCAB, CLASSES, DIM = 512, 64, 32
 HEAD = 200_000
@@ -60,6 +60,24 @@ def class_of(word: bytes, classes: int = CLASSES) -> int:
     return zlib.crc32(word[-3:]) % classes
 
 
+def crc_table() -> np.ndarray:
+    """Of zlib's CRC-32, by its rule."""
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, (out >> 1) ^ np.uint32(0xEDB88320), out >> 1)
+    return out
+
+
+def classes_of(hasher: Hasher, classes: int = CLASSES) -> np.ndarray:
+    """class_of() of all words that hasher hashed last."""
+    last, held = hasher.last_bytes(3)
+    step, crc = crc_table(), np.full(len(held), 0xFFFFFFFF, np.uint32)
+    for k in range(3):
+        there = held >= 3 - k
+        crc = np.where(there, step[(crc ^ last[k]) & 255] ^ (crc >> 8), crc)
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % classes).astype(np.int64)
+
+
 def class_column(word: Column, classes: int = CLASSES) -> Column:
     last = F.when(F.octet_length(word) > 3, F.substring(word, -3, 3)).otherwise(word)
     return F.pmod(F.crc32(last), F.lit(classes)).cast("int")
@@ -78,6 +96,8 @@ def counted(docs: DataFrame) -> DataFrame:
                     yield made(held)
                     held = Counter()
         yield made(held)
+        del held
+        release()
 
     def made(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
@@ -128,6 +148,27 @@ class Vocabulary:
         return words, ranks, outputs
 
 
+class Outputs:
+    """Outputs of whole chunks of texts, for training: the model's words are known by their hashes."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.hasher = v, Hasher(BLANK_WORDS)
+        known = self.hasher.words([b" ".join(v.words[: v.vocab])])[0]  # the end, which is no word, comes first and splits away
+        ranks = np.array([i for i, w in enumerate(v.words[: v.vocab]) if w != END], np.int64)
+        order = np.argsort(known)
+        self.known, self.ranks = known[order], ranks[order]
+
+    def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for _, part in chunks(texts):
+            hashes, counts = self.hasher.words(part)
+            out = self.v.vocab + classes_of(self.hasher, self.v.classes)
+            if len(self.known):
+                at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+                out = np.where(self.known[at] == hashes, self.ranks[at], out)
+            for own in np.split(out, np.cumsum(counts)[:-1]):
+                yield np.append(own, self.v.end)
+
+
 def vocabulary(counts: DataFrame, vocab: int = VOCAB, classes: int = CLASSES, head: int = HEAD) -> Vocabulary:
     # the end is always a word of the model
     top = counts.orderBy((F.col("word") == END).desc(), F.col("n").desc(), "word").limit(head).toArrow()
@@ -247,13 +288,16 @@ def train(docs: DataFrame, v: Vocabulary, shared, rounds: int = ROUNDS) -> dict[
         def run(batches: Iterator[pa.RecordBatch], begun=begun, turn=turn) -> Iterator[pa.RecordBatch]:
             voc = shared.value.prepare()
             learner = Learner(begun.value, voc.noise(), RATE / (1 + turn))
-            texts = ((voc.ids(t)[2],) for batch in batches for t in utf8(batch.column(0)))
+            outputs = Outputs(voc)
+            texts = ((x,) for batch in batches for x in outputs.of(utf8(batch.column(0))))
             for k, piece in enumerate(pieces(texts)):
                 with np.errstate(over="ignore"):  # exp() to infinity is a probability of 0
                     learner.learn(*windows([x[0] for x in piece], voc.outputs), seed=k)
-            if learner.seen:
+            if seen := learner.seen:
                 flat = np.concatenate([learner.m[k].ravel() for k in PARTS]).astype(np.float64) * learner.seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.concatenate([[learner.seen], flat]), pa.float64())], names=["at", "x"])
+                del learner
+                release()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.concatenate([[seen], flat]), pa.float64())], names=["at", "x"])
 
         # rounding before summing in any order would show in the last digits only; sums of long are exact
         sums = docs.select("text").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum(F.round(F.col("x") * 1e4).cast("decimal(38,0)")).alias("x"))

@@ -50,6 +50,7 @@ class Hasher:
         With heads, also for each length in bytes: the hashes of the first so many bytes of the words that are longer, and which words these are."""
         data = np.frombuffer(b" ".join(texts).translate(self.separators), np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.last = data, np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(data):
             none = np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
             return (*none, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * len(heads)) if heads else none
@@ -72,8 +73,15 @@ class Hasher:
         # text k starts after the texts before it and as many joining blanks
         begins = np.concatenate([[0], np.cumsum(lengths + 1)])
         counts = np.diff(np.searchsorted(starts, begins))
+        self.last = data, starts, ends
         return (hashes, counts, begun) if heads else (hashes, counts)
 
+    def last_bytes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words hashed last: their last n bytes in order (an array (n, words), right-aligned), and how many there are."""
+        data, starts, ends = self.last
+        held = np.minimum(ends - starts, n)
+        return np.stack([data[np.maximum(ends - n + k, starts)] for k in range(n)]), held
+
 
 def utf8(values: pa.Array) -> list[bytes]:
     """Null as the empty text."""

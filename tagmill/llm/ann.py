@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import stage, table
+from tagmill.llm.common import small_batches, stage, table
 
 K = 20
 SAMPLE = 20_000
@@ -141,9 +141,11 @@ def scan(x: np.ndarray, q: np.ndarray, k: int, bound: float = np.inf) -> np.ndar
     alive = np.arange(n)
     if n <= 2 * k:
         return alive
-    if bound == np.inf:  # the first candidates set the distance to beat
+    sure = np.zeros(0, np.int64)
+    if bound == np.inf:  # the first candidates set the distance to beat, and the best of them stay whatever the tests say
         known = ((x[: 4 * k] - q) ** 2).sum(1)
-        bound = np.partition(known, k - 1)[k - 1]
+        sure = np.argpartition(known, k - 1)[:k]
+        bound = known[sure].max()
     part, at = np.zeros(n, np.float32), 0
     while at < dims:
         to = min(dims, at + COLUMNS)
@@ -155,12 +157,13 @@ def scan(x: np.ndarray, q: np.ndarray, k: int, bound: float = np.inf) -> np.ndar
             # survivors whose distance so far is least lower the bound
             best = alive[np.argpartition(part, k)[:k]]
             bound = min(bound, float(((x[best] - q) ** 2).sum(1).max()))
-    return alive
+    return np.union1d(alive, sure)
 
 
 def search(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None, lists: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score. queries: a condition on vec_id that says which rows are queries."""
     spark = rows.sparkSession
+    small_batches(spark)
     clean = usable(rows, id_col, vec_col)
     same = Window.partitionBy("vec").orderBy("vec_id")
     few = clean.withColumn("i", F.dense_rank().over(same)).filter(F.col("i") <= k + 1)

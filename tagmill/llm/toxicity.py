@@ -19,17 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import crc_mod, table
+from tagmill.llm.common import crc_mod, release, small_batches, table
 from tagmill.llm.wordhash import PLAIN_WORDS, Hasher, chunks, grams, utf8
 
 BITS = 20
 TRAIN_ROWS = 20_000
+MIN_TEXTS = 5
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Bytes of the word beginnings that count as features of their own: forms of a word that were never seen share them.
 HEADS = (4, 5, 6, 7, 8, 10)
-EPOCHS = 5
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 4.0, 0.1
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 0.1
 
 
 def features(hasher: Hasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +65,19 @@ class Ftrl:
 def fit(texts: list[bytes], labels: list[float]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and weights of the features that matter, the bias last."""
     hasher, model = Hasher(PLAIN_WORDS), Ftrl(1 << BITS)
-    seen: list[np.ndarray] = []
-    for _, part in chunks(texts):
-        at, owner = features(hasher, part)
-        pairs = np.unique((owner << BITS) | at)
-        ends = np.searchsorted(pairs >> BITS, np.arange(1, len(part)))
-        seen += [np.append(x & ((1 << BITS) - 1), 1 << BITS).astype(np.int32) for x in np.split(pairs, ends)]
+
+    def parts() -> Iterator[np.ndarray]:
+        for _, part in chunks(texts):
+            at, owner = features(hasher, part)
+            pairs = np.unique((owner << BITS) | at)
+            ends = np.searchsorted(pairs >> BITS, np.arange(1, len(part)))
+            yield from np.split(pairs & ((1 << BITS) - 1), ends)
+
+    # what stands in fewer than MIN_TEXTS texts teaches nothing that L1 would leave
+    held = np.zeros(1 << BITS, np.int32)
+    for at in parts():
+        held[at] += 1
+    seen = [np.append(at[held[at] >= MIN_TEXTS], 1 << BITS).astype(np.int32) for at in parts()]
     for _ in range(EPOCHS):
         for at, label in zip(seen, labels, strict=True):
             model.learn(at, label)
@@ -80,6 +88,7 @@ def fit(texts: list[bytes], labels: list[float]) -> tuple[np.ndarray, np.ndarray
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, folds: int = FOLDS, held_out: int = HELD_OUT) -> tuple[np.ndarray, np.ndarray]:
     """Fits on about `rows` labelled documents of the other folds; labels may be any table of doc_id and label."""
+    small_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col(label).cast("double").alias("label")).filter(F.col("label").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out))
     n = usable.count()
     if n > rows:
@@ -94,6 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         # the order of learning must not depend on how rows arrive; ids mix the sources
         rows.sort(key=lambda r: (splitmix_int(r[0] or 0), r[1], r[2]))
         at, w = fit([t for _, t, _ in rows], [y for *_, y in rows])
+        del rows
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["at", "weight"])
 
     model = chosen.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "at long, weight double").toArrow()
@@ -128,7 +139,9 @@ def scorer(spark, model: tuple[np.ndarray, np.ndarray]):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(scores(held.value, utf8(text)), pa.float64())
+        out = pa.array(scores(held.value, utf8(text)), pa.float64())
+        release()
+        return out
 
     return score
 

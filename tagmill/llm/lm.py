@@ -12,8 +12,8 @@ the same start, with numpy matrix products and Adagrad; the models are averaged
 are made. What travels is one set of parameters a task.
 
 Scoring. Distinct contexts of a chunk go through one matrix product; a log-softmax over the whole vocabulary normalises. The
-counts of the HEAD most frequent tokens are broadcast (a fixed number); the other words of a text are joined with the
-distributed counts. No word outside the head can be a hot key: it has at most 1/HEAD of all tokens.
+counts of the most frequent tokens are broadcast (HEAD at most, whole steps of counts); the other words of a text are joined with the
+distributed counts. No word outside the head can be a hot key: about HEAD words are at least as frequent.
 
 Defined results: null and empty texts are a single end token; without training tokens all words are unseen and scores
 stay finite; null ids are in the fold of the empty text; repeated rows are scored each; an empty table gives an empty result;
@@ -108,7 +108,8 @@ def counted(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """Ranks and counts of the head; what counts as one word of the model, and the classes' sizes."""
 
-    def __init__(self, head: list[tuple[bytes, int]], total: int, types: int, by_class: dict[int, tuple[int, int]], vocab: int, classes: int):
+    def __init__(self, head: list[tuple[bytes, int]], total: int, types: int, by_class: dict[int, tuple[int, int]], vocab: int, classes: int, cut: int = -1):
+        self.cut = cut  # words of this step of counts and below aren't in the head
         self.total, self.types, self.vocab, self.classes = total, types, vocab, classes
         self.words = [w for w, _ in head]
         self.counts = np.array([n for _, n in head], np.int64)
@@ -169,17 +170,30 @@ class Outputs:
                 yield np.append(own, self.v.end)
 
 
+def step_of(n: Column) -> Column:
+    return F.floor(F.log2(n) * 64).cast("int")
+
+
 def vocabulary(counts: DataFrame, vocab: int = VOCAB, classes: int = CLASSES, head: int = HEAD) -> Vocabulary:
+    # a histogram of counts in steps of a 64th of a power of two says where the head ends, so that its words alone are sorted
+    sizes = sorted(((r["step"], r["count"]) for r in counts.groupBy(step_of(F.col("n")).alias("step")).count().collect()), reverse=True)
+    held, cut = 0, -1
+    for step, size in sizes:
+        if held + size > head:
+            cut = step
+            break
+        held += size
     # the end is always a word of the model
-    top = counts.orderBy((F.col("word") == END).desc(), F.col("n").desc(), "word").limit(head).toArrow()
-    words, n = top.column(0).to_pylist(), top.column(1).to_pylist()
+    top = counts.filter((step_of(F.col("n")) > cut) | (F.col("word") == END)).toArrow()
+    pairs = sorted(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True), key=lambda x: (x[0] != END, -x[1], x[0]))
+    words, n = [w for w, _ in pairs], [k for _, k in pairs]
     sums = counts.groupBy(class_column(F.col("word"), classes).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     tokens, types = {r["c"]: r["n"] for r in sums}, {r["c"]: r["v"] for r in sums}
     total, kinds = sum(tokens.values()), sum(types.values())
     for w, k in zip(words[:vocab], n[:vocab], strict=True):  # the model's own words aren't in classes
         c = class_of(w, classes)
         tokens[c], types[c] = tokens[c] - k, types[c] - 1
-    return Vocabulary(list(zip(words, n, strict=True)), total, kinds, {c: (tokens[c], types[c]) for c in tokens}, vocab, classes)
+    return Vocabulary(pairs, total, kinds, {c: (tokens[c], types[c]) for c in tokens}, vocab, classes, cut)
 
 
 def start(v: Vocabulary, dim: int = DIM, seed: int = 7) -> dict[str, np.ndarray]:
@@ -388,8 +402,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
                 )
 
     scored = rows.mapInArrow(run, schema)
-    least = int(v.counts.min()) if len(v.counts) == HEAD else 0
-    rest = counts.filter(F.col("n") <= least) if least else counts.filter("false")
+    rest = counts.filter((step_of(F.col("n")) <= v.cut) & (F.col("word") != END))
     joined = scored.join(rest.select(F.col("word").alias("w"), "n"), F.col("word") == F.col("w"), "left")
     more = F.when(F.col("n").isNotNull(), F.col("times") * F.log10(F.col("n") + F.lit(1.0))).otherwise(F.lit(0.0))
     whole = joined.groupBy("rid").agg(

@@ -61,7 +61,6 @@ def test_model_beats_unigrams_on_held_out_texts(scored):
 
 def test_tail_words_join_the_same_counts(spark, sf_dir, scored, monkeypatch):
     # with a short head most words come through the join
-    monkeypatch.setattr(lm, "HEAD", 600)
     v = lm.vocabulary.__defaults__
     monkeypatch.setattr(lm.vocabulary, "__defaults__", (*v[:2], 600))
     again = lm.op2_lm_score(spark, sf_dir).toPandas().set_index("doc_id").loc[scored.index]

@@ -25,7 +25,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 SEED = 20
 #: Rows that a range of keys holds on average.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 4_000
 
 
 def measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

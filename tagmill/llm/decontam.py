@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagmill.llm.common import small_batches, table
+
 #: Separators become spaces, A-Z become a-z, all other bytes stay.
 WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -100,6 +102,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     They stand in the struct `overlap`, so no name of a kept column can clash with them."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text].cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     blocks = max(1, math.ceil(total["b"] / block_bytes), math.ceil(total["n"] / BLOCK_ITEMS))
@@ -153,8 +156,6 @@ def hit_words():
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
-    from tagmill.llm.common import table
-
     found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         F.col("id").alias("doc_id"),

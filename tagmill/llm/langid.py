@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import ascii_lower, table
+from tagmill.llm.common import ascii_lower, let, release, small_batches, stage, table
 from tagmill.llm.wordhash import chunks, utf8
 
 #: About so many rows with a known language teach the text model; one task counts their trigrams.
@@ -32,7 +32,7 @@ TRAIN_ROWS = 8_000
 #: Languages of the sample beyond so many most frequent ones are not modelled.
 MOST_LANGUAGES = 64
 BITS = 15
-MIN_PROB = 0.6
+MIN_PROB = 0.5
 #: Text evidence counts as so many trigrams at most: neighbours in a text aren't independent.
 MOST_TRIGRAMS = 120.0
 #: Pseudo-counts by which a level of the hierarchy trusts the one above.
@@ -56,8 +56,9 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities by trigram, from about most_rows rows with a language, chosen by hash of the text."""
+    small_batches(rows.sparkSession)
     known = rows.select(lang.cast("string").alias("lang"), text.cast("string").alias("text")).filter("lang IS NOT NULL AND text <> ''")
-    n = known.count()
+    n = rows.filter(lang.isNotNull()).count()  # reads no texts
     if n > most_rows:
         known = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int((1 << 40) * most_rows / n))
 
@@ -94,18 +95,17 @@ def text_evidence(spark, model: tuple[list[str], np.ndarray]):
         for _, part in chunks(utf8(text)):
             code, owner = trigrams(part)
             n = np.bincount(owner, minlength=len(part))
-            sums = np.stack([np.bincount(owner, weights[code, k], len(part)) for k in range(weights.shape[1])], 1)
+            sums = np.stack([np.bincount(owner, weights[code, k], len(part)).astype(float) for k in range(weights.shape[1])], 1)
             sums *= np.minimum(1.0, MOST_TRIGRAMS / np.maximum(n, 1))[:, None]
             sums -= sums.max(1, keepdims=True)
             out += [list(map(float, row)) if k else [] for row, k in zip(sums, n, strict=True)]
+        release()
         return pa.array(out, pa.list_(pa.float64()))
 
     return evidence
 
 
 def softmax(logs: Column) -> Column:
-    from tagmill.llm.common import let
-
     def scaled(x: Column) -> Column:
         powers = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
         return let(powers, lambda p: let(F.aggregate(p, F.lit(0.0), lambda a, v: a + v), lambda s: F.transform(p, lambda v: v / s)))
@@ -151,8 +151,6 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: Column,
     post = own.filter(spoken).select("host", site_of(F.col("host")).alias("site"), "suffix", softmax(F.col("text_logs")).alias("posterior"))
     # hosts and suffixes are summed once together; the levels above are sums of those sums
     base = post.filter("host IS NOT NULL OR suffix IS NOT NULL").groupBy("host", "site", "suffix").agg(*(F.sum(F.col("posterior")[k]).alias(f"s{k}") for k in range(n)))
-    from tagmill.llm.common import stage
-
     base = stage(base.select("host", "site", "suffix", F.array(*(F.col(f"s{k}") for k in range(n))).alias("posterior")), "language-counts")
     totals = base.agg(*(F.sum(F.col("posterior")[k]) for k in range(n))).first()
     whole = [float(x or 0.0) for x in totals]

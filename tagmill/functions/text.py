@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import functools
 import json
 import re
 
@@ -51,26 +50,24 @@ def prompt_hash(text: str | Column) -> Column:
 
 
 def fuzzy_names(categories: list[str], cutoff: float = CUTOFF):
-    """A function of an array of names: the closest category of each, or null; each distinct name is compared once a worker."""
+    """A function of an array of names: the closest category of each, or null; a task compares each distinct name once."""
+
+    memory: dict[str, str | None] = {}
+
+    def closest(name: str) -> str | None:
+        if name not in memory:
+            if len(memory) >= MEMORY:
+                memory.clear()
+            memory[name] = next(iter(difflib.get_close_matches(name, categories, n=1, cutoff=cutoff)), None)
+        return memory[name]
 
     @F.arrow_udf("array<string>")
     def best(names: pa.Array) -> pa.Array:
-        closest = _closest(tuple(categories), cutoff)
         return pa.array([None if row is None else [closest(x) if x is not None else None for x in row] for row in names.to_pylist()], pa.list_(pa.string()))
 
     return best
 
 
-@functools.lru_cache(maxsize=8)
-def _closest(categories: tuple[str, ...], cutoff: float):
-    @functools.lru_cache(maxsize=MEMORY)
-    def closest(name: str) -> str | None:
-        found = difflib.get_close_matches(name, categories, n=1, cutoff=cutoff)
-        return found[0] if found else None
-
-    return closest
-
-
 def repaired(text: str | None) -> str | None:
     """Strict JSON for text that almost is: fences, prose around it, trailing commas, single quotes, a lost end.
 
@@ -90,7 +87,7 @@ def repaired(text: str | None) -> str | None:
     return None if value is _NOTHING else json.dumps(value, ensure_ascii=False, allow_nan=True)
 
 
-_NOTHING = object()
+_NOTHING = object
 
 
 def _load(text: str):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import small_batches, stage, table
+from tagmill.llm.common import Shared, small_batches, stage, table
 
 K = 20
 SAMPLE = 20_000
@@ -171,7 +171,7 @@ def search(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id",
     index = build(classes, k, lists)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    held = spark.sparkContext.broadcast(index)
+    held = Shared(spark, index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,21 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+class Shared:
+    """A broadcast of objects of this package's own classes: they travel by value, so executors need no copy of it.
+
+    A worker loads one once, for all its tasks."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if not hasattr(self.held, "loaded"):
+            self.held.loaded = cloudpickle.loads(self.held.value)
+        return self.held.loaded
+
+
 def release() -> None:
     """Gives freed memory back to the system: workers are used again and share what an executor's heap leaves."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import small_batches, table
+from tagmill.llm.common import Shared, small_batches, table
 
 #: Separators become spaces, A-Z become a-z, all other bytes stay.
 WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -110,7 +110,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = rows.withColumn("overlap", F.lit(None).cast("struct<n_words:bigint,spans:array<bigint>,items:array<string>>"))
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        tables = spark.sparkContext.broadcast(build([(r["item"], r["text"]) for r in part.collect()], window))
+        tables = Shared(spark, build([(r["item"], r["text"]) for r in part.collect()], window))
         rows = rows.mapInArrow(searcher(tables), rows.schema)
     return rows
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import crc_mod, release, small_batches, stage, table
+from tagmill.llm.common import Shared, crc_mod, release, small_batches, stage, table
 from tagmill.llm.wordhash import BLANK_WORDS, Hasher, chunks, utf8
 
 VOCAB, CLASSES, DIM = 512, 64, 32
@@ -351,7 +351,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
     taught = rows.filter(~F.col("held_out"))
     counts = stage(counted(taught), "lm-counts")
     v = vocabulary(counts)
-    shared = spark.sparkContext.broadcast(v)
+    shared = Shared(spark, v)
     model = spark.sparkContext.broadcast(train(taught, v, shared))
     id_type = dict(rows.dtypes)["doc_id"]
     schema = OUT.format(id=id_type)

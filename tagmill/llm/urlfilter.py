@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import ascii_lower, table
+from tagmill.llm.common import Shared, ascii_lower, table
 
 RULES = [
     ("block", "com", "/en/"),
@@ -142,7 +142,7 @@ def build(urls: DataFrame, rules: list[tuple[str, str, str]], verdicts: list[str
     limit = 1000 + 8 * len(every)
     for _ in range(8):
         firsts = [Bloom(hashed[v], rates[v], 1) for v in verdicts]
-        test = tester(spark.sparkContext.broadcast([Either(firsts)]))
+        test = tester(Shared(spark, [Either(firsts)]))
         admitted = keys.select("keys", "hashes", test("hashes").alias("code")).select(F.explode(F.arrays_zip("keys", "hashes", "code")).alias("x")).filter("x.code > 0").select("x.keys", "x.hashes").distinct()
         found = admitted.limit(limit + 1).collect()
         if len(found) <= limit:
@@ -176,7 +176,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col:
     if not rules:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     verdicts = sorted({v for v, *_ in rules})
-    test = tester(pages.sparkSession.sparkContext.broadcast(build(rows, rules, verdicts)))
+    test = tester(Shared(pages.sparkSession, build(rows, rules, verdicts)))
     keyed = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), rules)).withColumn("code", test(hashes(F.col("keys"))))
     won = keyed.withColumn("won", F.filter(F.arrays_zip("keys", "code"), lambda x: x.code > 0))
     hit = F.size("won") > 0

@@ -17,6 +17,6 @@ def elsewhere(function, values, kind):
     return out.stdout.decode().strip()
 
 
-def test_functions_need_no_installed_package():
+def test_functions_need_no_installed_package(spark):
     assert elsewhere(fuzzy_names(["Finance"]).func, [["Finanse", None], None], "pa.list_(pa.string())") == "[['Finance', None], None]"
     assert elsewhere(repair_json().func, ["{'a': 1", None], "pa.string()") == "['{\"a\": 1}', None]"

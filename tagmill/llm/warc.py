@@ -5,8 +5,9 @@ page_id; the others become revisit records that refer to it and carry the HTTP h
 makes the files: a record is a row and the blank lines between records are its line separator, so any store that Spark
 writes to will do and a lost task is written anew.
 
-Reading. Whatever looks like the start of a record is a candidate; for each, a task emits its offset and that of the
-record its Content-Length leads to. Pointer jumping from offset 0 (every round doubles the distance that all rows
+Reading. Whatever looks like the start of a record, at the start of the file or past the blank lines that close another,
+is a candidate; for each, a task emits its offset and that of the record its Content-Length leads to. Headers may be of any
+length: those of two candidates never overlap, so a file is scanned once. Pointer jumping from offset 0 (every round doubles the distance that all rows
 look ahead, two equi-joins on file and offset) keeps the candidates that the chain of records reaches; a magic inside a
 payload isn't among them. A record that runs past the end of its file, or isn't followed by another record or the
 end, is not returned and ends its chain.
@@ -37,8 +38,6 @@ RECORDS_PER_FILE = 5000
 PAGE_URN = "urn:tagmill:page:"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 FIELD = re.compile(rb"\r\n([!-9;-~]+):[ \t]*([^\r\n]*)")
-#: No header of a record is longer.
-MAX_HEADER = 1 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -101,7 +100,9 @@ def candidates_of(data: bytes) -> Iterator[tuple]:
 
     after is where its successor would start, null at the end of the file or where no length can be read."""
     for m in MAGIC.finditer(data):
-        end = data.find(b"\r\n\r\n", m.start(), m.start() + MAX_HEADER)
+        if m.start() and data[max(0, m.start() - 4) : m.start()] != b"\r\n\r\n":
+            continue  # no chain leads here
+        end = data.find(b"\r\n\r\n", m.start())
         fields = {k.lower(): v.strip() for k, v in FIELD.findall(data, m.end() - 2, end)} if end >= 0 else {}
         length = fields.get(b"content-length", b"")
         if not (length.isdigit() and len(length) < 16):
@@ -136,7 +137,7 @@ def candidates(spark, path: str, payloads: bool = False) -> DataFrame:
                 rows, held = [], 0
                 for row in candidates_of(unzipped(content.as_py())):
                     rows.append((file.as_py(), *(row if payloads else row[:-1] + (None,))))
-                    held += 1000 + (len(row[-1] or b"") if payloads else 0)
+                    held += 1000 + len(row[6] or "") + (len(row[-1] or b"") if payloads else 0)
                     if held > 16 << 20:
                         yield made(rows)
                         rows, held = [], 0

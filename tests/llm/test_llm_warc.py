@@ -75,6 +75,22 @@ def test_chain_ends_where_a_record_is_cut(spark, tmp_path):
     assert {r["f"]: r["count"] for r in got} == {"a.warc": 3, "b.warc": 2}
 
 
+def test_urls_of_any_length(spark, tmp_path):
+    rows = [(0, "u", "a"), (1, "data:," + "x" * (3 << 20), "b"), (2, "v", "c"), (3, "data:," + "y" * (1 << 20), "b"), (4, "WARC/1.1", "d"), (5, "w", "e")]
+    got = m.read_archives(spark, written(spark, tmp_path, rows), payloads=True).collect()
+    assert sorted((int(r["record_id"][len(m.PAGE_URN) + 1 : -1]), r["url"], r["record_type"]) for r in got) == [(i, u, "revisit" if i == 3 else "response") for i, u, _ in rows]
+
+
+def test_headers_are_scanned_once():
+    # many magics before a blank line, or before none at all, take no time that grows with their square
+    import time
+
+    record = lambda body: b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    begun = time.time()
+    got = list(m.candidates_of(record(b"WARC/1.1\r\n" * 200_000) + record(b"x") + b"WARC/1.1\r\n" * 200_000))
+    assert [r[2] for r in got] == [True, False, True, False] and time.time() - begun < 30
+
+
 def test_empty_table_and_clashing_columns(spark, tmp_path):
     path = written(spark, tmp_path, [], SCHEMA)
     assert m.read_archives(spark, path).count() == 0

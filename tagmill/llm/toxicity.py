@@ -24,13 +24,14 @@ from tagmill.llm.wordhash import PLAIN_WORDS, Hasher, chunks, grams, utf8
 
 BITS = 20
 TRAIN_ROWS = 20_000
-MIN_TEXTS = 5
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Bytes of the word beginnings that count as features of their own: forms of a word that were never seen share them.
 HEADS = (4, 5, 6, 7, 8, 10)
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 0.1
+#: A text moves |z| by less than 1 an epoch while the weight is 0: what stands in fewer texts can't pass L1.
+MIN_TEXTS = int(L1 // EPOCHS) + 1
 
 
 def features(hasher: Hasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +74,7 @@ def fit(texts: list[bytes], labels: list[float]) -> tuple[np.ndarray, np.ndarray
             ends = np.searchsorted(pairs >> BITS, np.arange(1, len(part)))
             yield from np.split(pairs & ((1 << BITS) - 1), ends)
 
-    # what stands in fewer than MIN_TEXTS texts teaches nothing that L1 would leave
+    # what stands in fewer than MIN_TEXTS texts keeps the weight 0 all the same
     held = np.zeros(1 << BITS, np.int32)
     for at in parts():
         held[at] += 1

@@ -125,6 +125,22 @@ def test_toxicity_reads_text_only_and_learns_outside_the_fold(spark):
     assert a[0] == a[21]
 
 
+def test_rare_toxic_words_have_weights_and_the_cutoff_changes_nothing(monkeypatch):
+    # toxic texts differ by words alone that stand in three or four of them; a word of each other text stands in it alone
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 12)))
+    rows = [(f"the same words {w}".encode(), 1.0) for k in (3, 4) for w in [word() for _ in range(20)] for _ in range(k)]
+    rows += [(f"the same words {word()}".encode(), 0.0) for _ in range(900)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    texts, labels = map(list, zip(*rows, strict=True))
+    at, w = toxicity.fit(texts, labels)
+    got, y = toxicity.scores((at, w), texts), np.array(labels)
+    assert (got[y == 1] >= 0.3).all() and (got[y == 0] < 0.3).all()
+    monkeypatch.setattr(toxicity, "MIN_TEXTS", 1)
+    every, weight = toxicity.fit(texts, labels)
+    assert at.tolist() == every.tolist() and np.allclose(w, weight)
+
+
 def test_toxicity_corner_cases(spark):
     rows = [(None, "x"), (1, None), (1, ""), (2, "vile " * 50_000), (2, "vile " * 50_000)]
     none = docs(spark, [], "doc_id long, toxic int")

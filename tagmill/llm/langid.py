@@ -32,7 +32,7 @@ TRAIN_ROWS = 8_000
 #: Languages of the sample beyond so many most frequent ones are not modelled.
 MOST_LANGUAGES = 64
 BITS = 15
-MIN_PROB = 0.5
+MIN_PROB = 0.6
 #: Text evidence counts as so many trigrams at most: neighbours in a text aren't independent.
 MOST_TRIGRAMS = 120.0
 #: Pseudo-counts by which a level of the hierarchy trusts the one above.

@@ -186,6 +186,21 @@ def test_evidence_is_fused(spark):
     assert got[1004]["lang"] == "de" and got[1005]["lang"] == "en"
 
 
+def test_documents_of_unclear_language_go(spark, monkeypatch):
+    import corpus_pipeline
+
+    # a text of both languages' words has about the same evidence for each; the prior of its host, about 55 to 45, decides
+    taught = [(i, "aaaa" if i % 2 else "bbbb", "a" if i % 2 else "b", None) for i in range(200)]
+    model = langid.train(docs(spark, taught, "doc_id long, text string, lang string, source string"), F.col("lang"), F.col("text"))
+    hosted = [(1000 + i, "aaaa" if i < 55 else "bbbb", None, "h") for i in range(100)]
+    df = docs(spark, hosted + [(5000, "aaaa bbbb", None, "h"), (5001, "aaaa", None, "h")], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["language"] for r in langid.identify(df, model, F.col("text"), F.col("source")).collect()}
+    assert 0.5 < got[5000]["prob"] < 0.6 and not got[5000]["kept"] and got[5001]["kept"]
+    monkeypatch.setattr(langid, "train", lambda *_: model)
+    left = {r["doc_id"] for r in corpus_pipeline.language(spark, df, "").collect()}
+    assert left == {r["doc_id"] for r in df.collect()} - {5000}
+
+
 def test_language_corner_cases(spark):
     df = docs(spark, [(1, "x", None), (1, "x", None)], "doc_id long, text string, lang string")
     model = langid.train(df, F.col("lang"), F.col("text"))

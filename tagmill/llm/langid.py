@@ -55,7 +55,9 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities by trigram, from about most_rows rows with a language, chosen by hash of the text."""
+    """Languages and their log-probabilities by trigram, from about most_rows rows with a language at most, chosen by hash of the text.
+
+    Copies of a text teach a language once."""
     small_batches(rows.sparkSession)
     known = rows.select(lang.cast("string").alias("lang"), text.cast("string").alias("text")).filter("lang IS NOT NULL AND text <> ''")
     n = rows.filter(lang.isNotNull()).count()  # reads no texts
@@ -77,7 +79,7 @@ def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = TRAIN_RO
         top = sorted(seen, key=lambda x: (-seen[x], x))[:MOST_LANGUAGES]
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([counts[x].astype("<i8").tobytes() for x in top], pa.binary())], names=["lang", "counts"])
 
-    model = sorted(tuple(r) for r in known.coalesce(1).mapInArrow(run, "lang string, counts binary").collect())
+    model = sorted(tuple(r) for r in known.distinct().coalesce(1).mapInArrow(run, "lang string, counts binary").collect())
     if not model:
         return [], np.zeros((0, 1 << BITS))
     counts = np.array([np.frombuffer(c, "<i8") for _, c in model]) + 0.5

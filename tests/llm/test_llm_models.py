@@ -201,6 +201,13 @@ def test_documents_of_unclear_language_go(spark, monkeypatch):
     assert left == {r["doc_id"] for r in df.collect()} - {5000}
 
 
+def test_copies_teach_a_language_once(spark):
+    once = [(i, f"text number {i}", "en") for i in range(20)] + [(20, "copied", "en"), (21, "copied", "de")]
+    model = lambda rows: langid.train(docs(spark, rows, "doc_id long, text string, lang string"), F.col("lang"), F.col("text"))
+    (names, few), (same, many) = model(once), model(once + [(i, "copied", "en") for i in range(100, 400)])
+    assert names == same and np.array_equal(few, many)
+
+
 def test_language_corner_cases(spark):
     df = docs(spark, [(1, "x", None), (1, "x", None)], "doc_id long, text string, lang string")
     model = langid.train(df, F.col("lang"), F.col("text"))

@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from tagmill.llm.common import ascii_lower, let, release, small_batches, stage, table
 from tagmill.llm.wordhash import chunks, utf8
 
-#: About so many rows with a known language teach the text model; one task counts their trigrams.
+#: About so many texts with a known language teach the text model, in equal parts as far as a language has texts; one task
+#: counts their trigrams.
 TRAIN_ROWS = 8_000
-#: Languages of the sample beyond so many most frequent ones are not modelled.
-MOST_LANGUAGES = 64
+#: Of a language with as many, so many are taken at least, however many languages there are.
+LEAST_TEXTS = 20
 BITS = 15
 MIN_PROB = 0.6
 #: Text evidence counts as so many trigrams at most: neighbours in a text aren't independent.
@@ -54,19 +55,28 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[live].astype(np.int64), owner[: len(a)][live]
 
 
-def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities by trigram, from about most_rows rows with a language at most, chosen by hash of the text.
+def fair_share(sizes: list[int], most: int) -> float:
+    """The share that, where no size counts beyond it, makes the sizes sum to `most`; the largest size if they sum to less."""
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > most:
+            return most / (len(sizes) - k)
+        most -= n
+    return max(sizes, default=0)
+
 
-    Copies of a text teach a language once."""
+def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages and their log-probabilities by trigram, from about most_rows distinct texts, chosen by hash. Every language is modelled."""
     small_batches(rows.sparkSession)
     known = rows.select(lang.cast("string").alias("lang"), text.cast("string").alias("text")).filter("lang IS NOT NULL AND text <> ''")
-    n = rows.filter(lang.isNotNull()).count()  # reads no texts
-    if n > most_rows:
-        known = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int((1 << 40) * most_rows / n))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
+    share = max(LEAST_TEXTS, fair_share(list(sizes.values()), most_rows))
+    cuts = {x: int((1 << 40) * share / n) for x, n in sizes.items() if n > share}
+    if cuts:
+        cut = F.element_at(F.create_map(*(F.lit(v) for pair in cuts.items() for v in pair)), F.col("lang"))
+        known = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.coalesce(cut, F.lit(1 << 40)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             for first, part in chunks(texts):
@@ -75,9 +85,8 @@ def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = TRAIN_RO
                 for name in set(names):
                     mine = np.array([x == name for x in names])
                     counts[name] = counts.get(name, 0) + np.bincount(code[mine[owner]], minlength=1 << BITS)
-                    seen[name] = seen.get(name, 0) + int(mine.sum())
-        top = sorted(seen, key=lambda x: (-seen[x], x))[:MOST_LANGUAGES]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([counts[x].astype("<i8").tobytes() for x in top], pa.binary())], names=["lang", "counts"])
+        for name, own in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([own.astype("<i8").tobytes()], pa.binary())], names=["lang", "counts"])
 
     model = sorted(tuple(r) for r in known.distinct().coalesce(1).mapInArrow(run, "lang string, counts binary").collect())
     if not model:

@@ -18,7 +18,10 @@ but for about 3 in a million.
      bounded size inside tasks; only pairs that pass the estimate leave a task, each once, and are confirmed. So no pair that
      shares a band goes untested unless it is already in one component.
 
-Hot groups are split at every step: partial aggregation for copies and bands, salted centres for confirmation, blocks for 6.
+Hot groups are split at every step: partial aggregation for copies and bands, salted centres for confirmation, blocks for 6;
+tables that are joined on hot keys (bands, components, copies) are written first, so that adaptive execution can split the join.
+
+The input is written once, with a number for each row; all later steps read that table, so a number means one row.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; ids may repeat or be null: rows
 are told apart by their place in the input, a component's id is the smallest id in it (null where all are null), and `kept`
@@ -43,7 +46,7 @@ EMPTY, MOST_ZEROS = 0xFF, 14
 #: Registers of different values agree by chance about so often: same leading zeros (1/3), same mantissa.
 CHANCE = 1 / 3 / (1 << MANTISSA)
 DEVIATIONS = 5.0
-SALT_ROWS, BLOCK_ROWS, ORDER_ROWS = 256, 512, 4096
+SALT_ROWS, BLOCK_ROWS, ORDER_ROWS = 64, 512, 4096
 #: Rounds that compare neighbours of a band before the rest is compared in blocks.
 TURNS = 3
 WORDS = 5
@@ -157,29 +160,34 @@ def band_keys():
     return keys
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """rid, doc_id, mark (hash of the text), n, p1, p2, sketch: a row per document."""
+def sketched(rows: DataFrame, words: int) -> DataFrame:
+    """rid, doc_id, n, p1, p2, sketch: a row per stored document (rid, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(BLANK_WORDS)
         for batch in batches:
-            texts = utf8(batch.column(3))
+            texts = utf8(batch.column(2))
             for first, part in chunks(texts):
                 h, counts = sets_of(hasher, part, words)
                 own = batch.slice(first, len(part))
                 sketch = registers_of(h, counts)
                 made = [pa.array(counts, pa.int64()), pa.array(prints(h, counts, 11)), pa.array(prints(h, counts, 12)), pa.array([x.tobytes() for x in sketch], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], *made], names=["rid", "doc_id", "mark", "n", "p1", "p2", "sketch"])
+                yield pa.RecordBatch.from_arrays([*own.columns[:2], *made], names=["rid", "doc_id", "n", "p1", "p2", "sketch"])
         release()
 
-    rows = placed(docs, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"rid long, doc_id {kind}, mark long, n long, p1 long, p2 long, sketch binary")
+    return rows.mapInArrow(run, f"rid long, doc_id {kind}, n long, p1 long, p2 long, sketch binary")
+
 
+def stored(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """rid and the columns, as one struct `row`: written once, so that every reading means the same row by a number.
 
-def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = docs[text_col].cast("string")
-    return docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    Numbers made anew in another plan would mean others: plans read and merge partitions as their columns' sizes suggest."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(docs[c] for c in dict.fromkeys(columns))).alias("row")), "near-documents", "zstd")
+
+
+def texts_of(store: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return store.select("rid", F.col("row")[id_col].alias("doc_id"), F.col("row")[text_col].cast("string").alias("text"))
 
 
 def sketches_agree(bound: float):
@@ -246,25 +254,30 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
-def neighbours(banded: DataFrame, at: DataFrame, turn: int) -> DataFrame:
+def divided(banded: DataFrame, at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (band, least, cls, root) and, of bands that hold several components and more than a pair, (band, lo, hi, main, m).
+
+    Both are written: a join with an aggregate that still runs can't be split where a band is hot."""
+    own = stage(banded.join(at.withColumnRenamed("v", "cls"), "cls", "left").select("band", "least", "cls", F.coalesce("root", "cls").alias("root")), "near-own")
+    main = F.max(F.when(F.col("cls") == F.col("least"), F.col("root")))
+    size = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), main.alias("main"), F.count(F.lit(1)).alias("m"))
+    return own, stage(size.filter("lo < hi AND m > 2").select("band", "main", "m"), "near-divided")
+
+
+def neighbours(own: DataFrame, size: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of different components that stand side by side in a band's random order of this turn: as many as rows at most."""
-    own = banded.join(at.withColumnRenamed("v", "cls"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
-    size = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi AND m > 2")
     salted = own.join(size, "band").withColumn("place", F.xxhash64("cls", F.lit(turn))).withColumn("salt", F.pmod("place", F.ceil(F.col("m") / ORDER_ROWS)))
     line = Window.partitionBy("band", "salt").orderBy("place")
     beside = salted.select("cls", "root", F.lag("cls").over(line).alias("x"), F.lag("root").over(line).alias("other"))
     return beside.filter("root <> other").select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
 
 
-def leftovers(banded: DataFrame, at: DataFrame, sketches: DataFrame, bound: float) -> DataFrame:
+def leftovers(own: DataFrame, size: DataFrame, sketches: DataFrame, bound: float) -> DataFrame:
     """Pairs (a, b) of bands that hold several components, sketches likely alike, a and b in different components."""
-    own = banded.join(at.withColumnRenamed("v", "cls"), "cls", "left").select("band", "least", "cls", F.coalesce("root", "cls").alias("root"))
     # only where a class is apart from the band's smallest and is not alone with it is anything untested
-    size = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("cls") == F.col("least"), F.col("root"))).alias("main"), F.count(F.lit(1)).alias("m"))
-    size = size.filter("lo < hi AND m > 2")
-    rows = own.filter("cls <> least").join(size, "band").withColumn("apart", F.col("root") != F.col("main"))
+    rows = stage(own.filter("cls <> least").join(size, "band").select("band", "cls", "root", (F.col("root") != F.col("main")).alias("apart")), "near-rest")
     apart = rows.groupBy("band").agg(F.count(F.lit(1)).alias("all"), F.count_if("apart").alias("few"))
-    apart = apart.filter("few > 0 AND all > 1").select("band", F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("few") / BLOCK_ROWS).cast("int").alias("turns"))
+    apart = stage(apart.filter("few > 0 AND all > 1").select("band", F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("few") / BLOCK_ROWS).cast("int").alias("turns")), "near-apart")
     rows = rows.join(apart, "band").join(sketches, "cls").select("band", "cls", "root", "apart", "sketch", "n", "blocks", "turns")
     key = lambda n: F.pmod(F.xxhash64("cls"), n.cast("long")).cast("int")
     line = lambda n: F.sequence(F.lit(0), n - 1)
@@ -310,14 +323,22 @@ def leftovers(banded: DataFrame, at: DataFrame, sketches: DataFrame, bound: floa
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """rid, doc_id, n, component_id, first (whether the row is the one of its component to keep)."""
     small_batches(docs.sparkSession)
+    return components_of(texts_of(stored(docs, [id_col, text_col]), id_col, text_col), words, percent)
+
+
+def components_of(store: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """near_duplicates of stored documents (rid, doc_id, text)."""
     bound = percent / 100
-    rows = stage(sketched(docs, id_col, text_col, words), "near-rows")
+    rows = stage(sketched(store, words), "near-rows")
     some = rows.filter("n > 0")
-    classes = stage(some.groupBy("p1", "p2", "n").agg(F.min(F.struct("rid", "mark", "sketch")).alias("rep"), F.min("doc_id").alias("label")).select("p1", "p2", "n", F.col("rep.rid").alias("cls"), F.col("rep.mark").alias("mark"), "label", F.col("rep.sketch").alias("sketch")), "near-classes")
+    # of a class: its representative, and the row to keep if none of its component has a smaller id
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    rep = F.min(F.struct("rid", "sketch"))
+    classes = stage(some.groupBy("p1", "p2", "n").agg(rep.alias("rep"), least.alias("label")).select("p1", "p2", "n", F.col("rep.rid").alias("cls"), "label", F.col("rep.sketch").alias("sketch")), "near-classes")
     sketches = classes.select("cls", "sketch", "n")
     keys = band_keys()
     bands = classes.select("cls", keys("sketch").alias("bands")).select("cls", F.explode("bands").alias("band"))
-    several = bands.groupBy("band").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "least")
+    several = stage(bands.groupBy("band").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "least"), "near-several")
     banded = stage(bands.join(several, "band"), "near-bands")
     star = stage(banded.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct(), "near-candidates")
     agree = sketches_agree(bound)
@@ -326,15 +347,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x, y = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
         return pairs.join(x, "a").join(y, "b").filter(agree("sa", "sb", "na", "nb")).select("a", "b")
 
-    # texts of the classes that any band shares, once, for both rounds of confirmation
-    wanted = star.select(F.col("a").alias("cls")).union(star.select("b")).distinct().join(classes.select("cls", F.col("mark").alias("known")), "cls")
-    again = placed(docs, id_col, text_col).join(wanted, F.col("rid") == F.col("cls"))
-    same = F.when(F.col("mark") == F.col("known"), F.col("text")).otherwise(F.raise_error(F.lit("the documents changed their order between two readings")).cast("string"))
-    texts = stage(again.select("cls", same.alias("text")), "near-texts", "zstd")
+    # texts of the classes that any band shares, once, for all rounds of confirmation
+    wanted = star.select(F.col("a").alias("cls")).union(star.select("b")).distinct()
+    texts = stage(store.join(wanted, F.col("rid") == F.col("cls")).select("cls", "text"), "near-texts", "zstd")
     links = stage(confirm(estimated(star), texts, words, percent), "near-links")
     at, tested = components(links), star
+    own, size = divided(banded, at)
     for turn in range(TURNS):
-        pairs = stage(neighbours(banded, at, turn).join(tested, ["a", "b"], "left_anti"), "near-candidates")
+        pairs = stage(neighbours(own, size, turn).join(tested, ["a", "b"], "left_anti"), "near-candidates")
         if pairs.isEmpty():
             break
         tested = tested.union(pairs)
@@ -342,27 +362,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not extra.isEmpty():
             links = links.union(extra)
             at = components(links)
-    more = stage(leftovers(banded, at, sketches, bound).join(tested, ["a", "b"], "left_anti"), "near-leftovers")
+            own, size = divided(banded, at)
+    more = stage(leftovers(own, size, sketches, bound).join(tested, ["a", "b"], "left_anti"), "near-leftovers")
     if not more.isEmpty():
         extra = stage(confirm(more, texts, words, percent), "near-links")
         if not extra.isEmpty():
             at = components(links.union(extra))
-    roots = classes.select("p1", "p2", "n", "cls", "label").join(at.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    # of each component: its smallest id; the row to keep is the first with that id
-    names = roots.groupBy("root").agg(F.min("label").alias("component_id"))
-    known = roots.join(names, "root").select("p1", "p2", "n", "root", "component_id")
-    own = some.drop("sketch", "mark").join(known, ["p1", "p2", "n"]).select("rid", "doc_id", "n", "root", "component_id")
-    keep = own.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("rid").alias("best"))
-    linked = own.join(keep, "root", "left").select("rid", "doc_id", "n", "component_id", (F.col("rid") == F.col("best")).alias("first"))
+    roots = stage(classes.select("p1", "p2", "n", "cls", "label").join(at.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "near-classes")
+    # of each component its smallest id, and the first row with that id; written, so that a large component's join can be split
+    names = stage(roots.groupBy("root").agg(F.min("label").alias("kept")), "near-names")
+    known = stage(roots.join(names, "root").select("p1", "p2", "n", F.col("kept.doc_id").alias("component_id"), F.col("kept.rid").alias("best")), "near-known")
+    linked = some.drop("sketch").join(known, ["p1", "p2", "n"]).select("rid", "doc_id", "n", "component_id", (F.col("rid") == F.col("best")).alias("first"))
     alone = rows.filter("n = 0").select("rid", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     return linked.unionByName(alone)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, one of each component."""
-    gone = near_duplicates(docs, id_col, text_col, words, percent).filter("NOT first").select(F.col("rid").alias("gone"))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row"))
-    return rows.join(gone, F.col("rid") == F.col("gone"), "left_anti").select("row.*")
+    small_batches(docs.sparkSession)
+    store = stored(docs, docs.columns)
+    gone = components_of(texts_of(store, id_col, text_col), words, percent).filter("NOT first").select(F.col("rid").alias("gone"))
+    return store.join(gone, F.col("rid") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

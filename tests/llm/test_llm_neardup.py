@@ -142,3 +142,27 @@ def test_bands_find_what_is_alike(size):
         k = m.keys_of(np.concatenate([m.registers_of(s, np.array([len(s)])) for s in (a, b)]))
         missed += not (k[0] == k[1]).any()
     assert missed == 0
+
+
+def test_documents_of_a_join_keep_their_rows(spark):
+    # shuffled input, adaptive execution and wide columns that only some readings need
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        base = [rng.choice(VOCAB) for _ in range(rng.choice([6, 40, 80]))]
+        rows += [" ".join(edited(rng, base, rng.choice([0, 0, 0.01]))) for _ in range(rng.randrange(1, 4))]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    expected = {c for *_, c in brute(rows)}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("-1", "20k", "40"), strict=True):
+            spark.conf.set(k, v)
+        texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        wide = spark.range(len(rows)).select(m.F.col("id").alias("doc_id"), m.F.repeat(m.F.md5(m.F.col("id").cast("string")), 50).alias("wide"), m.F.lit(1).alias("rid")).repartition(5)
+        got = m.deduplicated(texts.join(wide, "doc_id")).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(expected) and all(len(r["wide"]) == 1600 for r in got)
+        found = m.near_duplicates(texts.join(wide, "doc_id")).collect()
+        assert sorted((r["doc_id"], r["n"], r["component_id"]) for r in found) == sorted(brute(rows))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

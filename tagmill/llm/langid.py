@@ -2,12 +2,14 @@
 
 The posterior of a language is proportional to four factors: the likelihood of the text (byte trigrams, naive Bayes,
 learnt from a bounded sample of rows with a known language), that of the language the markup declares, that of the
-address suffix, and a prior from the host. Suffix and host factors come from the corpus itself: grouped sums of the text
+address suffix, and a prior from the host. One hypothesis more is that the language is none of the known ones: its text
+model is the uniform one. A known language's model is mixed with it (BACKGROUND parts in one), so a trigram never seen
+speaks for the unknown by a bounded amount, and other scripts, noise and code are unknown by the sum of their trigrams. Suffix and host factors come from the corpus itself: grouped sums of the text
 posteriors, natively, per suffix, per host and per site (the host's last two labels), smoothed down the chain all rows ->
 site -> host, so a host with few pages speaks with its site's voice. No evidence is the factor 1.
 
-A row is kept if it holds letters or any declared language, and its best language is one of the wanted ones with at least
-MIN_PROB of the posterior.
+A row is kept if it holds letters or any declared language, and its best hypothesis is one of the wanted languages with at
+least MIN_PROB of the posterior. Where the best hypothesis is the unknown language, lang is null and prob is its posterior.
 
 Defined results: null and empty texts have no text evidence, and without markup they are rejected with language null;
 null hosts and urls give no host or suffix evidence; with no labelled row at all every row is rejected; repeated rows are
@@ -27,8 +29,7 @@ from pyspark.sql import functions as F
 from tagmill.llm.common import ascii_lower, let, release, small_batches, stage, table
 from tagmill.llm.wordhash import chunks, utf8
 
-#: About so many texts with a known language teach the text model, in equal parts as far as a language has texts; one task
-#: counts their trigrams.
+#: About so many texts with a known language teach the text model, in equal parts as far as a language has texts.
 TRAIN_ROWS = 8_000
 #: Of a language with as many, so many are taken at least, however many languages there are.
 LEAST_TEXTS = 20
@@ -40,17 +41,23 @@ MOST_TRIGRAMS = 120.0
 TRUST = 20.0
 #: How often a declared language is right.
 DECLARED_RIGHT = 0.85
+#: The uniform model's part in the model of a known language.
+BACKGROUND = 0.1
+#: Before any evidence a text is of an unknown language so often, at least.
+UNKNOWN = 0.01
+#: A counting task passes its counts on when it holds so many languages.
+MOST_HELD = 64
 
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams that hold a letter, and the text of each. Runs of other bytes count as blanks."""
-    data = np.frombuffer(b"  ".join(texts).translate(LOWER) + b"  ", np.uint8)
+    """Hashed byte trigrams with a letter in the middle, and the text of each; a blank stands before and after a text."""
+    data = np.frombuffer(b" " + b"  ".join(texts).translate(LOWER) + b" ", np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     owner = np.repeat(np.arange(len(texts)), lengths + 2)
     a, b, c = data[:-2].astype(np.uint32), data[1:-1].astype(np.uint32), data[2:].astype(np.uint32)
-    live = (b != 0x20) & ((a != 0x20) | (c != 0x20))
+    live = b != 0x20
     code = ((a << 16 | b << 8 | c) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
     return code[live].astype(np.int64), owner[: len(a)][live]
 
@@ -65,7 +72,9 @@ def fair_share(sizes: list[int], most: int) -> float:
 
 
 def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities by trigram, from about most_rows distinct texts, chosen by hash. Every language is modelled."""
+    """Languages and the log-probabilities of trigrams by language, in the last row those of the unknown language.
+
+    Learnt from about most_rows distinct texts, chosen by hash; every language is modelled."""
     small_batches(rows.sparkSession)
     known = rows.select(lang.cast("string").alias("lang"), text.cast("string").alias("text")).filter("lang IS NOT NULL AND text <> ''")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
@@ -76,7 +85,7 @@ def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = TRAIN_RO
         known = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.coalesce(cut, F.lit(1 << 40)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             for first, part in chunks(texts):
@@ -84,19 +93,32 @@ def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = TRAIN_RO
                 names = langs[first : first + len(part)]
                 for name in set(names):
                     mine = np.array([x == name for x in names])
-                    counts[name] = counts.get(name, 0) + np.bincount(code[mine[owner]], minlength=1 << BITS)
-        for name, own in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([own.astype("<i8").tobytes()], pa.binary())], names=["lang", "counts"])
-
-    model = sorted(tuple(r) for r in known.distinct().coalesce(1).mapInArrow(run, "lang string, counts binary").collect())
-    if not model:
-        return [], np.zeros((0, 1 << BITS))
-    counts = np.array([np.frombuffer(c, "<i8") for _, c in model]) + 0.5
-    return [x for x, _ in model], np.log(counts / counts.sum(1, keepdims=True))
+                    held[name] = held.get(name, 0) + np.bincount(code[mine[owner]], minlength=1 << BITS)
+                if len(held) > MOST_HELD:
+                    yield from map(made, held.items())
+                    held = {}
+        yield from map(made, held.items())
+
+    def made(item: tuple[str, np.ndarray]) -> pa.RecordBatch:
+        name, own = item
+        at = np.flatnonzero(own)
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], names=["lang", "code", "n"])
+
+    # copies of a text teach once; at most 2^BITS counts a language reach the driver
+    counts = known.distinct().mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(sizes)
+    model = np.zeros((len(langs) + 1, 1 << BITS))
+    place = {x: i for i, x in enumerate(langs)}
+    model[[place[x] for x in counts.column(0).to_pylist()], counts.column(1).to_numpy()] = counts.column(2).to_numpy()
+    model /= np.maximum(model.sum(1, keepdims=True), 1)
+    model[:-1] *= 1 - BACKGROUND
+    model[:-1] += BACKGROUND / (1 << BITS)
+    model[-1] = 1 / (1 << BITS)
+    return langs, np.log(model)
 
 
 def text_evidence(spark, model: tuple[list[str], np.ndarray]):
-    """A function of a text column: per language the log-likelihood (less that of the best one), empty without letters."""
+    """A function of a text column: per hypothesis the log-likelihood (less that of the best one), empty without letters."""
     table_ = np.ascontiguousarray(model[1].T.astype(np.float32))
     held = spark.sparkContext.broadcast(table_)
 
@@ -146,9 +168,9 @@ def suffix_of(host: Column) -> Column:
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: Column, host: Column, declared: Column | None = None, suffix: Column | None = None, wanted: tuple[str, ...] | None = None, into: str = "language") -> DataFrame:
     """rows plus the struct column `into`: lang, prob, kept. wanted: None for all languages of the model."""
-    langs, n = model[0], len(model[0])
+    langs, n = model[0], len(model[0]) + 1  # hypotheses; the last is the unknown language
     schema = "struct<lang:string,prob:double,kept:boolean>"
-    if not n:
+    if not langs:
         return rows.withColumn(into, F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("prob"), F.lit(False).alias("kept")).cast(schema))
     flat = F.lit([math.log(1 / n)] * n)
     own = rows.select(
@@ -165,7 +187,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: Column,
     base = stage(base.select("host", "site", "suffix", F.array(*(F.col(f"s{k}") for k in range(n))).alias("posterior")), "language-counts")
     totals = base.agg(*(F.sum(F.col("posterior")[k]) for k in range(n))).first()
     whole = [float(x or 0.0) for x in totals]
-    over = F.lit([(x + 1.0) / (sum(whole) + n) for x in whole])
+    shares = [(x + 1.0) / (sum(whole) + n) for x in whole]
+    shares[-1] = max(shares[-1], UNKNOWN)
+    over = F.lit([x / sum(shares) for x in shares])
     hosts = summed(base.filter("host IS NOT NULL"), ["host", "site"], n, "of_host").join(summed(base.filter("site IS NOT NULL"), ["site"], n, "of_site"), "site")
     hosts = hosts.select(F.col("host").alias("h"), smooth(F.col("of_host"), smooth(F.col("of_site"), over)).alias("prior"))
     logs = own.join(hosts, own.host == F.col("h"), "left")
@@ -175,9 +199,11 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: Column,
         logs = logs.join(suffixes.select(F.col("suffix").alias("s"), F.zip_with(smooth(F.col("of_suffix"), over), over, lambda p, q: F.log(p / q)).alias("suffix_logs")), F.col("suffix") == F.col("s"), "left")
     else:
         logs = logs.withColumn("suffix_logs", F.lit(None).cast("array<double>"))
-    names = F.array(*map(F.lit, langs))
-    other = math.log((1 - DECLARED_RIGHT) / max(1, n - 1))
-    markup = F.when(F.array_contains(names, F.col("declared")), F.transform(names, lambda x: F.when(x == F.col("declared"), F.lit(math.log(DECLARED_RIGHT))).otherwise(F.lit(other))))
+    names, places = F.lit(langs), F.sequence(F.lit(1), F.lit(n))
+    other = math.log((1 - DECLARED_RIGHT) / (n - 1))
+    # a declared language that isn't known speaks for the unknown one
+    said = F.coalesce(F.nullif(F.array_position(names, F.col("declared")), F.lit(0)), F.lit(n))
+    markup = F.when(F.col("declared").isNotNull() & (F.col("declared") != ""), F.transform(places, lambda k: F.when(k == said, F.lit(math.log(DECLARED_RIGHT))).otherwise(F.lit(other))))
     parts = [F.when(spoken, F.col("text_logs")), F.transform("prior", lambda p: F.log(p)), F.col("suffix_logs"), markup]
     total = F.coalesce(parts[0], flat)
     for part in parts[1:]:
@@ -185,9 +211,10 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: Column,
     heard = spoken | markup.isNotNull()
     judged = logs.select("row", heard.alias("heard"), softmax(total).alias("p"))
     best = F.array_max("p")
-    lang = F.when(F.col("heard"), F.element_at(names, F.array_position("p", best).cast("int")))
+    spot = F.array_position("p", best).cast("int")
+    lang = F.when(F.col("heard") & (spot < n), F.element_at(names, F.least(spot, F.lit(n - 1))))
     prob = F.when(F.col("heard"), best)
-    right = F.lit(True) if wanted is None else lang.isin(list(wanted))
+    right = lang.isNotNull() if wanted is None else lang.isin(list(wanted))
     return judged.select("row.*", F.struct(lang.alias("lang"), prob.alias("prob"), F.coalesce(F.col("heard") & (best >= MIN_PROB) & right, F.lit(False)).alias("kept")).alias(into))
 
 

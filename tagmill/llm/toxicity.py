@@ -2,12 +2,13 @@
 
 Per-coordinate learning rates and L1 leave few weights that aren't zero; those alone are broadcast. A feature counts once
 per text, however often it stands there, so neither length nor repetition dilutes or inflates a score. Labels are
-learnt from at most about TRAIN_ROWS labelled documents, chosen by hash, outside the held-out fold; one task trains on them,
-and its memory is bounded by that number. Scores are computed over whole texts.
+learnt from at most about TRAIN_ROWS labelled documents and TRAIN_BYTES of their text, chosen by hash, outside the held-out
+fold; a row that repeats teaches once. Many tasks make features and count in how many texts each stands; one task learns, in
+batches of BATCH texts, and holds the features of the bounded sample only. Scores are computed over whole texts.
 
 Defined results: null and empty texts have the score of the bias alone; rows without a label (or with a null one) teach
 nothing; without any label all scores are 0; a null doc_id is in the fold of the empty text; repeated rows are scored each;
-columns other than id and text are never read for a score.
+columns other than id and text are never read for a score. `scored` packs a row's columns in one, so no name clashes.
 """
 
 from __future__ import annotations
@@ -19,16 +20,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import crc_mod, release, small_batches, table
+from tagmill.llm.common import crc_mod, release, small_batches, stage, table
 from tagmill.llm.wordhash import PLAIN_WORDS, Hasher, chunks, grams, utf8
 
 BITS = 20
 TRAIN_ROWS = 20_000
+TRAIN_BYTES = 64 << 20
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Bytes of the word beginnings that count as features of their own: forms of a word that were never seen share them.
 HEADS = (4, 5, 6, 7, 8, 10)
 EPOCHS = 4
+#: Texts whose gradients are taken at the same weights.
+BATCH = 8
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 0.1
 #: A text moves |z| by less than 1 an epoch while the weight is 0: what stands in fewer texts can't pass L1.
 MIN_TEXTS = int(L1 // EPOCHS) + 1
@@ -43,6 +47,15 @@ def features(hasher: Hasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([(h >> np.uint64(64 - BITS)).astype(np.int64) for h, _ in made]), np.concatenate([o for _, o in made])
 
 
+def distinct_features(hasher: Hasher, texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Of each text its features, once each, in order."""
+    for _, part in chunks(texts):
+        at, owner = features(hasher, part)
+        pairs = np.unique((owner << BITS) | at)
+        ends = np.searchsorted(pairs >> BITS, np.arange(1, len(part)))
+        yield from (x.astype(np.int32) for x in np.split(pairs & ((1 << BITS) - 1), ends))
+
+
 class Ftrl:
     """FTRL-proximal; coordinate 0 past the features is the bias and is not shrunk by L1."""
 
@@ -55,70 +68,103 @@ class Ftrl:
         z = self.z[at]
         return -np.sign(z) * np.maximum(np.abs(z) - self.l1[at], 0) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2)
 
-    def learn(self, at: np.ndarray, label: float) -> None:
+    def learn(self, at: np.ndarray, which: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> None:
+        """A batch: its coordinates `at`, once each; entries are at[which] in the text `owner`."""
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        margin = np.bincount(owner, w[which], len(labels))
+        g = (1 / (1 + np.exp(-np.clip(margin, -35, 35))) - labels)[owner]
         n = self.n[at]
-        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
-        self.n[at] = n + g * g
-
-
-def fit(texts: list[bytes], labels: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and weights of the features that matter, the bias last."""
-    hasher, model = Hasher(PLAIN_WORDS), Ftrl(1 << BITS)
-
-    def parts() -> Iterator[np.ndarray]:
-        for _, part in chunks(texts):
-            at, owner = features(hasher, part)
-            pairs = np.unique((owner << BITS) | at)
-            ends = np.searchsorted(pairs >> BITS, np.arange(1, len(part)))
-            yield from np.split(pairs & ((1 << BITS) - 1), ends)
-
-    # what stands in fewer than MIN_TEXTS texts keeps the weight 0 all the same
-    held = np.zeros(1 << BITS, np.int32)
-    for at in parts():
-        held[at] += 1
-    seen = [np.append(at[held[at] >= MIN_TEXTS], 1 << BITS).astype(np.int32) for at in parts()]
+        more = n + np.bincount(which, g * g, len(at))
+        self.z[at] += np.bincount(which, g, len(at)) - (np.sqrt(more) - np.sqrt(n)) / ALPHA * w
+        self.n[at] = more
+
+
+def batches_of(rows: list[np.ndarray], labels: list[float]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What Ftrl.learn takes, made once for all epochs."""
+    out = []
+    for lo in range(0, len(rows), BATCH):
+        part = [np.append(x, 1 << BITS) for x in rows[lo : lo + BATCH]]
+        at, which = np.unique(np.concatenate(part), return_inverse=True)
+        owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        out.append((at.astype(np.int32), which.astype(np.int32), owner.astype(np.int16), np.array(labels[lo : lo + BATCH])))
+    return out
+
+
+def fit(rows: list[np.ndarray], labels: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and weights of the features that matter, the bias last. rows: distinct features of each text."""
+    model = Ftrl(1 << BITS)
+    made = batches_of(rows, labels)
     for _ in range(EPOCHS):
-        for at, label in zip(seen, labels, strict=True):
-            model.learn(at, label)
+        for batch in made:
+            model.learn(*batch)
     w = model.weights(slice(None))
     kept = np.flatnonzero(w)
     return kept, w[kept]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, folds: int = FOLDS, held_out: int = HELD_OUT) -> tuple[np.ndarray, np.ndarray]:
-    """Fits on about `rows` labelled documents of the other folds; labels may be any table of doc_id and label."""
-    small_batches(docs.sparkSession)
-    usable = labels.select("doc_id", F.col(label).cast("double").alias("label")).filter(F.col("label").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out))
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int, folds: int, held_out: int) -> DataFrame:
+    """doc_id, text, label of the rows that teach, within the bounds."""
+    usable = labels.select("doc_id", F.col(label).cast("double").alias("label")).filter(F.col("label").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out)).distinct()
     n = usable.count()
-    if n > rows:
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * rows / n))
+    share = lambda part: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * part)
+    part = min(1.0, rows / max(1, n))
     # broadcast: about `rows` pairs of numbers at most
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(usable), "doc_id")
+    known = lambda part: F.broadcast(usable.filter(share(part)) if part < 1 else usable)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    size = texts.join(known(part), "doc_id").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    part *= min(1.0, most_bytes / max(1, size))
+    return texts.join(known(part), "doc_id").distinct()
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, folds: int = FOLDS, held_out: int = HELD_OUT) -> tuple[np.ndarray, np.ndarray]:
+    """Fits on about `rows` labelled documents of the other folds; labels may be any table of doc_id and label."""
+    small_batches(docs.sparkSession)
+    chosen = labelled(docs, labels, label, rows, most_bytes, folds, held_out)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(PLAIN_WORDS)
+        for b in batches:
+            rows = list(distinct_features(hasher, utf8(b.column(0))))
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]), pa.int32()))], names=["place", "tie", "label", "at"])
+        release()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), strict=True)]
+    # the order of learning must not depend on how rows arrive; hashes of ids mix the sources
+    keyed = chosen.select("text", F.xxhash64("doc_id", F.lit(1)).alias("place"), F.xxhash64("text").alias("tie"), "label")
+    made = stage(keyed.mapInArrow(extract, "place long, tie long, label double, at array<int>"), "toxicity-features")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << BITS, np.int64)
+        for b in batches:
+            held += np.bincount(b.column(0).flatten().to_numpy(), minlength=1 << BITS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], names=["at", "n"])
+
+    # at most 2^BITS numbers
+    often = made.select("at").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_TEXTS).select("at").toArrow()
+    mask = np.zeros(1 << BITS, bool)
+    mask[often.column(0).to_numpy()] = True
+    keep = docs.sparkSession.sparkContext.broadcast(mask)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[np.ndarray] = []
+        known: list[float] = []
+        for b in batches:
+            ends, at = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            rows += [x[keep.value[x]] for x in (at[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True))]
+            known += b.column(0).to_pylist()
         if not rows:
             return
-        # the order of learning must not depend on how rows arrive; ids mix the sources
-        rows.sort(key=lambda r: (splitmix_int(r[0] or 0), r[1], r[2]))
-        at, w = fit([t for _, t, _ in rows], [y for *_, y in rows])
+        at, w = fit(rows, known)
         del rows
         release()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["at", "weight"])
 
-    model = chosen.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "at long, weight double").toArrow()
+    ordered = made.repartition(1).sortWithinPartitions("place", "tie", "label").select("label", "at")
+    model = ordered.mapInArrow(learn, "at long, weight double").toArrow()
     return model.column(0).to_numpy(), model.column(1).to_numpy()
 
 
-def splitmix_int(x: int) -> int:
-    x = (x * 0x9E3779B97F4A7C15 + 0x1234567) & 0xFFFFFFFFFFFFFFFF
-    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
-    return x ^ (x >> 31)
-
-
 def scores(model: tuple[np.ndarray, np.ndarray], texts: list[bytes]) -> np.ndarray:
     at, weight = model
     dense = np.zeros((1 << BITS) + 1)
@@ -153,6 +199,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
     return docs.select(*keep, score(F.col("text").cast("string")).alias(into))
 
 
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """row (all columns of docs, as one struct) and score."""
+    score = scorer(docs.sparkSession, train(docs, labels))
+    return docs.select(F.struct(*docs.columns).alias("row"), score(F.col("text").cast("string")).alias("score"))
+
+
 def predicted(score: Column) -> Column:
     return F.when(score >= THRESHOLD, 1).otherwise(0).cast("int")
 

@@ -125,7 +125,11 @@ def test_toxicity_reads_text_only_and_learns_outside_the_fold(spark):
     assert a[0] == a[21]
 
 
-def test_rare_toxic_words_have_weights_and_the_cutoff_changes_nothing(monkeypatch):
+def features_of(texts):
+    return list(toxicity.distinct_features(Hasher(toxicity.PLAIN_WORDS), texts))
+
+
+def test_rare_toxic_words_have_weights_and_the_cutoff_changes_nothing():
     # toxic texts differ by words alone that stand in three or four of them; a word of each other text stands in it alone
     rng = np.random.default_rng(1)
     word = lambda: "".join(map(chr, rng.integers(97, 123, 12)))
@@ -133,12 +137,64 @@ def test_rare_toxic_words_have_weights_and_the_cutoff_changes_nothing(monkeypatc
     rows += [(f"the same words {word()}".encode(), 0.0) for _ in range(900)]
     rows = [rows[i] for i in rng.permutation(len(rows))]
     texts, labels = map(list, zip(*rows, strict=True))
-    at, w = toxicity.fit(texts, labels)
+    every = features_of(texts)
+    held = np.bincount(np.concatenate(every), minlength=1 << toxicity.BITS)
+    at, w = toxicity.fit([x[held[x] >= toxicity.MIN_TEXTS] for x in every], labels)
     got, y = toxicity.scores((at, w), texts), np.array(labels)
     assert (got[y == 1] >= 0.3).all() and (got[y == 0] < 0.3).all()
-    monkeypatch.setattr(toxicity, "MIN_TEXTS", 1)
-    every, weight = toxicity.fit(texts, labels)
-    assert at.tolist() == every.tolist() and np.allclose(w, weight)
+    whole, weight = toxicity.fit(every, labels)
+    assert at.tolist() == whole.tolist() and np.allclose(w, weight)
+
+
+def brute_ftrl(texts, labels):
+    """Weights by feature, with dictionaries, a text at a time."""
+    t = toxicity
+    rows = [{*map(int, x), 1 << t.BITS} for x in features_of(texts)]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        l1 = 0.0 if i == 1 << t.BITS else t.L1
+        return 0.0 if abs(z[i]) <= l1 else -math.copysign(abs(z[i]) - l1, z[i]) / ((t.BETA + math.sqrt(n[i])) / t.ALPHA + t.L2)
+
+    for _ in range(t.EPOCHS):
+        for lo in range(0, len(rows), t.BATCH):
+            part = list(zip(rows[lo : lo + t.BATCH], labels[lo : lo + t.BATCH], strict=True))
+            w = {i: weight(i) for x, _ in part for i in x}
+            pull, squares = Counter(), Counter()
+            for x, y in part:
+                g = 1 / (1 + math.exp(-sum(w[i] for i in x))) - y
+                for i in x:
+                    pull[i] += g
+                    squares[i] += g * g
+            for i in w:
+                z[i] += pull[i] - (math.sqrt(n[i] + squares[i]) - math.sqrt(n[i])) / t.ALPHA * w[i]
+                n[i] += squares[i]
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["vile" if i % 4 == 0 and rng.random() < 0.9 else "mild", *(f"w{k}" for k in rng.integers(0, 30, 12))])) for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)]
+    df, known = docs(spark, rows), docs(spark, labels, "doc_id long, toxic int")
+    at, w = toxicity.train(df, known)
+    order = [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id", F.lit(1))).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    expected = brute_ftrl([rows[i][1].encode() for i in order], [float(labels[i][1]) for i in order])
+    assert {int(i): round(x, 9) for i, x in zip(at, w, strict=True)} == {i: round(x, 9) for i, x in expected.items()}
+    # and scores are the logistic of the sums
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(df, known).collect()}
+    for (i, _), x in zip(rows[:50], features_of([t.encode() for _, t in rows[:50]]), strict=True):
+        assert abs(got[i] - 1 / (1 + math.exp(-sum(expected.get(int(k), 0) for k in x) - expected.get(1 << toxicity.BITS, 0)))) < 1e-9
+
+
+def test_toxicity_learns_within_its_bounds(spark):
+    rows = [(i, "some words " * 50 + str(i)) for i in range(400)]
+    labels = docs(spark, [(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    size = lambda **more: toxicity.labelled(docs(spark, rows), labels, **dict(label="toxic", rows=10_000, most_bytes=1 << 30, folds=4, held_out=2) | more).count()
+    whole = size()
+    assert 60 < size(rows=100) < 140 and whole / 5 < size(most_bytes=whole * 553 // 3) < whole / 2
+    # a row that repeats teaches once
+    assert toxicity.labelled(docs(spark, rows + rows), labels, "toxic", 10_000, 1 << 30, 4, 2).count() == whole
 
 
 def test_toxicity_corner_cases(spark):
@@ -171,6 +227,78 @@ def test_pages_agree_with_what_they_declare(spark, sf_dir):
     assert (pages.lang == pages.declared).mean() > 0.97 and got.doc_id.notna().sum() + len(pages) == len(got)
 
 
+def test_text_alone_agrees_with_what_pages_declare(spark, sf_dir):
+    # the declared language is no input here
+    model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("lang"), F.col("text"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", langid.page_text(F.col("html")).alias("text"), langid.declared_lang(F.col("html")).alias("declared"))
+    got = langid.identify(pages, model, F.col("text"), F.lit(None)).filter("declared IS NOT NULL").collect()
+    assert len(got) > 40 and sum(r["language"]["lang"] == r["declared"] for r in got) >= 0.97 * len(got)
+
+
+def brute_language(taught, rows):
+    """Language (null: unknown) and posterior by row, from text and host, in plain Python; hosts have no dots."""
+
+    def grams_of(text):
+        data = b" " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").encode()) + b" "
+        for i in range(len(data) - 2):
+            a, b, c = data[i : i + 3]
+            if b != 32:
+                yield ((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.BITS)
+
+    counts = {}
+    for text, lang in set(taught):
+        counts.setdefault(lang, Counter()).update(grams_of(text))
+    langs, size = sorted(counts), 1 << langid.BITS
+    logs = []
+    for text, _ in rows:
+        g = list(grams_of(text))
+        own = [sum(math.log((1 - langid.BACKGROUND) * counts[x][k] / counts[x].total() + langid.BACKGROUND / size) for k in g) for x in langs] + [-len(g) * math.log(size)]
+        logs.append([x * min(1, langid.MOST_TRIGRAMS / max(1, len(g))) for x in own] if g else None)
+
+    def softmax(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    posts = [softmax(x) if x else None for x in logs]
+    n = len(langs) + 1
+    total = [sum(p[k] for p, (_, h) in zip(posts, rows, strict=True) if p and h is not None) for k in range(n)]
+    over = [(x + 1) / (sum(total) + n) for x in total]
+    over[-1] = max(over[-1], langid.UNKNOWN)
+    over = [x / sum(over) for x in over]
+    out = []
+    for (_, host), x in zip(rows, logs, strict=True):
+        here = [p for p, (_, h) in zip(posts, rows, strict=True) if p and h == host]
+        prior = [1 / n] * n
+        if host is not None and here:
+            prior = over
+            for _ in range(2):  # site, then host: here they are the same rows
+                prior = [(sum(p[k] for p in here) + langid.TRUST * prior[k]) / (len(here) + langid.TRUST) for k in range(n)]
+        p = softmax([(x[k] if x else math.log(1 / n)) + math.log(prior[k]) for k in range(n)])
+        best = max(range(n), key=p.__getitem__)
+        out.append((None, None, False) if not x else ((langs + [None])[best], p[best], best < n - 1 and p[best] >= langid.MIN_PROB))
+    return out
+
+
+def test_language_matches_brute_force(spark, sf_dir):
+    some = [(r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(300).collect()]
+    taught = [(t, x) for t, x, _ in some[:200]]
+    rows = [(t, h) for t, _, h in some[200:]] + [("", "src1"), (None, None), ("\u65e5\u672c\u8a9e\u306e\u6587\u7ae0", "src1"), ("la", None), ("qxz kjw vvq", "src2"), ("1 2 3", None)]
+    model = langid.train(docs(spark, taught, "text string, lang string"), F.col("lang"), F.col("text"))
+    got = langid.identify(docs(spark, [(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, host string"), model, F.col("text"), F.col("host")).orderBy("doc_id").collect()
+    for r, (lang, prob, kept) in zip(got, brute_language(taught, rows), strict=True):
+        own = r["language"]
+        assert (own["lang"], own["kept"]) == (lang, kept) and (prob is None or abs(own["prob"] - prob) < 1e-5), (r["doc_id"], own, lang, prob)
+
+
+def test_other_scripts_noise_and_code_are_of_no_known_language(spark, sf_dir):
+    model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("lang"), F.col("text"))
+    rng = np.random.default_rng(4)
+    noise = " ".join("".join(map(chr, rng.integers(97, 123, 7))) for _ in range(30))
+    texts = ["\u3053\u308c\u306f\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059", "\u042d\u0442\u043e \u0440\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442", noise, "aGVsbG8gd29ybGQ4Y2JhZGZhc2RmYXNkZmFzZGY0MzI0MzI0MjM0" * 4, "xq=zz(kk);jx++;wv&=0x7f;qy->kz();"]
+    got = langid.identify(docs(spark, list(enumerate(texts))), model, F.col("text"), F.lit(None)).collect()
+    assert [(r["language"]["lang"], r["language"]["kept"]) for r in got] == [(None, False)] * len(texts)
+
+
 def test_evidence_is_fused(spark):
     texts = {"en": "the cat and the dog were there with that", "de": "der hund und die katze waren da mit dem"}
     taught = docs(spark, [(i, texts[x], x) for i in range(40) for x in texts], "doc_id long, text string, lang string")
@@ -205,8 +333,7 @@ def test_copies_teach_a_language_once(spark):
     once = [(i, f"text number {i}", "en") for i in range(20)] + [(20, "copied", "en"), (21, "copied", "de")]
     model = lambda rows: langid.train(docs(spark, rows, "doc_id long, text string, lang string"), F.col("lang"), F.col("text"))
     (names, few), (same, many) = model(once), model(once + [(i, "copied", "en") for i in range(100, 400)])
-    # but for the order of texts, on which a trigram or two depend
-    assert names == same and np.abs(np.exp(few) - np.exp(many)).sum(1).max() < 0.01
+    assert names == same and np.allclose(few, many)
 
 
 def test_every_language_is_learnt(spark):

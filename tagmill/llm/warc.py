@@ -3,7 +3,8 @@
 Writing. Pages whose payloads (UTF-8 of the html; null: empty) are equal share one response, that of the smallest
 page_id; the others become revisit records that refer to it and carry the HTTP header alone. Spark's own text writer
 makes the files: a record is a row and the blank lines between records are its line separator, so any store that Spark
-writes to will do and a lost task is written anew.
+writes to will do and a lost task is written anew. Pages are written by classes of size, each with as many records to a
+file as keep it below FILE_BYTES; only a record that is larger than that makes a larger file, alone in it.
 
 Reading. Whatever looks like the start of a record, at the start of the file or past the blank lines that close another,
 is a candidate; for each, a task emits its offset and that of the record its Content-Length leads to. Headers may be of any
@@ -34,7 +35,10 @@ from tagmill.llm.common import remove, shared_path, stage, table
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payloads below so many bytes are never revisited.
 MIN_PAYLOAD = 0
-RECORDS_PER_FILE = 5000
+#: What a file holds at most, before compression, unless a single record is larger. A reader holds a file at once.
+FILE_BYTES = 64 << 20
+#: Pages of the smallest class have so many bytes at most, those of each next class GROWTH times as many.
+SMALL, GROWTH, CLASSES = 32 << 10, 8, 5
 PAGE_URN = "urn:tagmill:page:"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 FIELD = re.compile(rb"\r\n([!-9;-~]+):[ \t]*([^\r\n]*)")
@@ -53,7 +57,8 @@ def planned(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("same", F.sha2(F.col("html").cast("binary"), 256))
     shared = keyed.filter(F.octet_length("html") >= min_payload).groupBy("same").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").select("same", "first")
-    # sort-merge, and split by adaptive execution where one payload holds many of the pages
+    # written first: a join with a table is split by adaptive execution where one payload holds many of the pages
+    shared = stage(shared, "warc-shared")
     return keyed.join(shared, "same", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
 
 
@@ -79,10 +84,22 @@ def record(page_id: Column, url: Column, html: Column, first: Column) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """gzipped archives, at most records_per_file records each."""
-    made = planned(pages, min_payload).select(record(F.col("page_id"), F.col("url"), F.col("html"), F.col("first")).alias("value"))
-    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def size_class(html: Column, url: Column) -> Column:
+    """0 for what has SMALL bytes at most with its header, one more for each GROWTH times as many; the last has no bound."""
+    size = F.coalesce(F.octet_length(html), F.lit(0)) + F.coalesce(F.octet_length(url), F.lit(0)) + F.lit(1024)
+    return sum((F.when(size > SMALL * GROWTH**k, 1).otherwise(0) for k in range(CLASSES - 1)), F.lit(0)).cast("int")
+
+
+def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, file_bytes: int = FILE_BYTES) -> None:
+    """gzipped archives, below file_bytes each before compression unless a single record is larger."""
+    text = lambda name: F.col(name).cast("string")
+    there = sorted(r[0] for r in pages.select(size_class(text("html"), text("url")).alias("c")).distinct().collect())
+    rows = planned(pages, min_payload).withColumn("class", size_class(F.col("html"), F.col("url")))
+    for k in there or [0]:
+        some = rows if len(there) < 2 else rows.filter(F.col("class") == k)
+        made = some.select(record(F.col("page_id"), F.col("url"), F.col("html"), F.col("first")).alias("value"))
+        most = max(1, file_bytes // (SMALL * GROWTH**k)) if k < CLASSES - 1 else 1
+        made.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def unzipped(content: bytes) -> bytes:
@@ -154,15 +171,18 @@ def candidates(spark, path: str, payloads: bool = False) -> DataFrame:
 def reachable(links: DataFrame) -> DataFrame:
     """file, at of the links (file, at, after) that the chain from offset 0 of each file reaches.
 
-    Pointer jumping: after round k, seen holds all within 2^k steps of the start, and after of jump is 2^k steps ahead."""
+    Pointer jumping: after round k, seen holds all within 2^k steps of the start, and after of jump is 2^k steps ahead. Every
+    round is written: each of the two tables is made from both."""
     most = links.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     jump, seen = links.select("file", "at", "after"), links.filter("at = 0").select("file", "at")
-    for k in range(max(0, most - 1).bit_length()):
+    rounds = max(0, most - 1).bit_length()
+    for k in range(rounds):
         ahead = seen.join(jump.filter("after IS NOT NULL"), ["file", "at"]).select("file", F.col("after").alias("at"))
         there = jump.select("file", F.col("at").alias("after"), F.col("after").alias("beyond"))
-        seen, jump = seen.union(ahead), jump.filter("after IS NOT NULL").join(there, ["file", "after"]).select("file", "at", F.col("beyond").alias("after"))
-        if k % 3 == 2:
-            seen, jump = stage(seen, "warc-seen"), stage(jump, "warc-jump")
+        further = jump.filter("after IS NOT NULL").join(there, ["file", "after"]).select("file", "at", F.col("beyond").alias("after"))
+        seen = stage(seen.union(ahead), "warc-seen")
+        if k + 1 < rounds:
+            jump = stage(further, "warc-jump")
     return seen
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from tagmill.llm import decontam as m
 
@@ -23,8 +24,8 @@ def test_against_brute_force_on_few_words(spark):
     items = [(i, text(rng.choice([0, 1, 2, 3, 9, 10, 11, 14]))) for i in range(25)] + [(99, None)]
     items = [x for x in items if len(m.words_of(x[1])) != 1 or x[1] == "a"]
     brute = m.brute(docs, items)
-    for blocks in (1 << 20, 40):
-        got = found(spark, docs, items, block_bytes=blocks)
+    for most in (1 << 20, 4_000):
+        got = found(spark, docs, items, table_bytes=most)
         for doc, (n, hit, n_items, _, bad) in brute.items():
             w, spans, ids = got[doc]
             assert (w, sum(spans[1::2]) - sum(spans[::2]), len(ids), bool(spans)) == (n, hit, n_items, bad)
@@ -54,3 +55,33 @@ def test_long_text_with_one_hit(spark):
     text = " ".join(map(str, range(10)))
     long = "zz " * 200_000 + text + " yy" * 200_000
     assert found(spark, [(1, long)], [(1, text)])[1] == (400_010, [200_000, 200_010], ["1"])
+
+
+def test_tables_of_each_block_stay_below_the_bound(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9)))
+    items = [(i, " ".join(word() for _ in range(rng.choice([4, 60, 200])))) for i in range(3000)]
+    _, b = tables(spark, [], items)
+    bound = 2 << 20
+    blocks = list(m.blocks_of(b, "item_id", "text", m.WINDOW, bound))
+    assert len(blocks) > 5 and sum(len(x.names) for x in blocks) == len(items)
+    assert max(x.nbytes() for x in blocks) < 1.3 * bound  # blocks are cut by a hash
+    # of many blocks each document gets all its hits
+    docs = [(i, f"{word()} {items[i * 7][1]} {word()} {items[i * 11][1]}") for i in range(60)]
+    got = found(spark, docs, items, table_bytes=bound)
+    assert all({str(i * 7), str(i * 11)} <= set(got[i][2]) for i, _ in docs) and all(got[i][1][-1] - got[i][1][0] >= 9 for i, _ in docs)
+
+
+def test_one_block_is_held_at_a_time(spark):
+    text = " ".join(map(str, range(12)))
+    d, b = tables(spark, [(1, text)], [(i, f"{text} {i}") for i in range(200)])
+    plan = m.find_overlaps(d, b, table_bytes=20_000)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow|PythonMapInArrow", plan)) <= 2  # the first block's pass; a plan is printed twice where it adapts
+
+
+def test_hashes_that_agree_are_compared_as_text():
+    found = m.Tables([("a", "one two three four")], 4)
+    assert [x[2] for x in found.search([b"One, two;three four", b"one two three five", b""])] == [["a"], [], []]
+    # a pattern's hash that lies gives no hit: the words decide
+    found.kinds[0].words.data[:3] = list(b"xxx")
+    assert [x[2] for x in found.search([b"one two three four"])] == [[]]

@@ -26,7 +26,7 @@ def digest(text):
 def test_payloads_come_back_and_magic_inside_is_rejected(spark, tmp_path):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\nWARC/1.0\r\n"
     texts = ["", "é" * 5, fake, "x\r\n\r\ny\r\n\r\n", "WARC/1.1\r\n" * 300, "z" * 2_000_000, "\r\n\r\n"]
-    path = written(spark, tmp_path, [(i, f"http://h/{i}", t) for i, t in enumerate(texts)], records_per_file=3)
+    path = written(spark, tmp_path, [(i, f"http://h/{i}", t) for i, t in enumerate(texts)], file_bytes=3 * m.SMALL)
     rows = m.read_archives(spark, path, payloads=True).collect()
     got = {r["record_id"]: (bytes(r["payload"]).decode(), r["payload_bytes"], r["payload_digest"], r["url"]) for r in rows}
     assert got == {f"<{m.PAGE_URN}{i}>": (t, len(t.encode()), digest(t), f"http://h/{i}") for i, t in enumerate(texts)}
@@ -91,6 +91,16 @@ def test_headers_are_scanned_once():
     assert [r[2] for r in got] == [True, False, True, False] and time.time() - begun < 30
 
 
+def test_files_stay_below_their_bound(spark, tmp_path):
+    from pathlib import Path
+
+    sizes = [100] * 30 + [60_000] * 9 + [400_000] * 5 + [3_000_000] * 2 + [20_000_000]
+    path = written(spark, tmp_path, [(i, "u", chr(97 + i % 26) * n + str(i)) for i, n in enumerate(sizes)], file_bytes=1 << 20)
+    held = [gzip.decompress(p.read_bytes()) for p in Path(path).glob("part-*")]
+    assert all(len(x) <= 1 << 20 or x.count(b"WARC/1.1\r\n") == 1 for x in held)
+    assert m.read_archives(spark, path).count() == len(sizes)
+
+
 def test_empty_table_and_clashing_columns(spark, tmp_path):
     path = written(spark, tmp_path, [], SCHEMA)
     assert m.read_archives(spark, path).count() == 0

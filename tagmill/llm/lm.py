@@ -1,19 +1,26 @@
 """Language-model scoring: a log-bilinear neural model, trained with noise-contrastive estimation.
 
 Corpus counts. A first pass counts every token of the training documents (words and one end per text); the table of all
-counts stays distributed. The VOCAB most frequent tokens are the model's words; every other word is one of CLASSES classes by
-its last bytes. The model predicts the next word or class from the two before, and a word inside its class by its count
-(plus one, with one place for words never seen), so the probabilities of all texts sum to one.
-
-Model. Context vector h = R[w1] C1 + R[w2] C2 (R: embeddings, C: a matrix per position), score of w: h . Q[w] + b[w].
-Training contrasts observed words with NOISE words a token drawn from the unigram distribution, whose expectation is taken
-in closed form over the vocabulary. Every task trains on all tokens of its own partition, grouped by distinct context, from
-the same start, with numpy matrix products and Adagrad; the models are averaged by tokens, natively, and ROUNDS such rounds
-are made. What travels is one set of parameters a task.
-
-Scoring. Distinct contexts of a chunk go through one matrix product; a log-softmax over the whole vocabulary normalises. The
-counts of the most frequent tokens are broadcast (HEAD at most, whole steps of counts); the other words of a text are joined with the
-distributed counts. No word outside the head can be a hot key: about HEAD words are at least as frequent.
+counts stays distributed. The model's words are those that occur MIN_COUNT times at least, the MOST_WORDS most frequent at
+most: their number grows with the corpus until the parameters take what MOST_WORDS allows (about 10 MB, in every task).
+They stand in up to WORD_CLASSES classes of neighbouring ranks with about equal sums of the roots of their counts, so a
+frequent word is a class of its own. Every other word is in one of TAIL classes by its last bytes.
+
+Model. Context vector h = R[w1] C1 + R[w2] C2 (R: embeddings, C: a matrix per position). P(word) = P(class) P(word | class),
+both log-bilinear: h . Q[x] + b[x] over all classes, and over the words of one class. A word of a tail class has
+its count's share in the class (plus one, with one place for words never seen). So the probabilities of all texts sum to one.
+
+Training is noise-contrastive: for every observed class NOISE classes are drawn from their unigram distribution (the draws
+are shared by a batch), for every observed word NOISE_WORDS words from the unigram distribution of its class, and logistic
+regression tells observed from drawn; no sum over outputs is taken. Each task learns from all tokens of its share of the
+texts, from the same start, with numpy matrix products and Adagrad; shares hold SHARE_TOKENS tokens at least, so a corpus cut
+into many small partitions is learnt no worse. Models are averaged row by row, weighted by how often a task's texts touched
+the row, so tasks that never saw a word don't hold it back; ROUNDS such rounds are made. What travels is one model a task.
+
+Scoring. Distinct contexts of a piece go through one matrix product for the classes, tokens of a class through one for its
+words; both are normalised by their sums. The counts of the most frequent tokens are broadcast (HEAD at most, whole steps of
+counts); the other words of a text are joined with the distributed counts. Words outside the head are no hot keys in training
+texts, as about HEAD words are at least as frequent; of those that only scored texts have, a text sends each once.
 
 Defined results: null and empty texts are a single end token; without training tokens all words are unseen and scores
 stay finite; null ids are in the fold of the empty text; repeated rows are scored each; an empty table gives an empty result;
@@ -30,18 +37,29 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagmill.llm.common import Shared, crc_mod, release, small_batches, stage, table
 from tagmill.llm.wordhash import BLANK_WORDS, Hasher, chunks, utf8
 
-VOCAB, CLASSES, DIM = 512, 64, 32
+DIM = 32
+#: Words of the model: how often they occur at least, and how many there are at most.
+MIN_COUNT, MOST_WORDS = 10, 16_384
+WORD_CLASSES, TAIL = 128, 64
 HEAD = 200_000
-NOISE, RATE, ROUNDS = 10.0, 0.15, 2
-BATCH = 2048
-#: Steps of training that a chunk makes at least.
-MIN_STEPS = 12
+#: Drawn classes a token, different draws a batch, drawn words a token.
+NOISE, DRAWS, NOISE_WORDS = 10.0, 64, 2
+RATE, ROUNDS = 0.1, 2
+#: Tokens of a step of training, at most; a piece makes MIN_STEPS steps at least.
+BATCH, MIN_STEPS = 4096, 128
+#: Contexts or tokens of a matrix product in scoring.
+ROWS = 2048
+#: A training task has so many tokens at least, unless there are fewer.
+SHARE_TOKENS = 4_000_000
+#: Rows of the model that travel together.
+MODEL_ROWS = 512
 #: Tokens that a task holds at once (a longer text alone counts as one piece).
 CHUNK = 1 << 20
 #: A counter that grows beyond so many words is passed on and begun anew.
@@ -49,14 +67,13 @@ MOST_COUNTED = 250_000
 #: The end of a text: no word can hold a blank.
 END = b"\n"
 FOLDS, HELD_OUT = 7, 2
-PARTS = ("r", "c1", "c2", "q", "b")
 
 
 def tokens_of(text: bytes) -> list[bytes]:
     return text.translate(BLANK_WORDS).split()
 
 
-def class_of(word: bytes, classes: int = CLASSES) -> int:
+def class_of(word: bytes, classes: int = TAIL) -> int:
     return zlib.crc32(word[-3:]) % classes
 
 
@@ -68,7 +85,7 @@ def crc_table() -> np.ndarray:
     return out
 
 
-def classes_of(hasher: Hasher, classes: int = CLASSES) -> np.ndarray:
+def classes_of(hasher: Hasher, classes: int = TAIL) -> np.ndarray:
     """class_of() of all words that hasher hashed last."""
     last, held = hasher.last_bytes(3)
     step, crc = crc_table(), np.full(len(held), 0xFFFFFFFF, np.uint32)
@@ -78,7 +95,7 @@ def classes_of(hasher: Hasher, classes: int = CLASSES) -> np.ndarray:
     return ((crc ^ np.uint32(0xFFFFFFFF)) % classes).astype(np.int64)
 
 
-def class_column(word: Column, classes: int = CLASSES) -> Column:
+def class_column(word: Column, classes: int = TAIL) -> Column:
     last = F.when(F.octet_length(word) > 3, F.substring(word, -3, 3)).otherwise(word)
     return F.pmod(F.crc32(last), F.lit(classes)).cast("int")
 
@@ -106,63 +123,75 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Ranks and counts of the head; what counts as one word of the model, and the classes' sizes."""
+    """Ranks and counts of the head, the model's words and their classes, and the sizes of tail classes.
+
+    A token's symbol is its rank if it is a word of the model, else `words` plus its tail class."""
 
-    def __init__(self, head: list[tuple[bytes, int]], total: int, types: int, by_class: dict[int, tuple[int, int]], vocab: int, classes: int, cut: int = -1):
+    def __init__(self, head: list[tuple[bytes, int]], total: int, types: int, words: int, by_tail: dict[int, tuple[int, int]], tail: int, word_classes: int, cut: int = -1):
         self.cut = cut  # words of this step of counts and below aren't in the head
-        self.total, self.types, self.vocab, self.classes = total, types, vocab, classes
-        self.words = [w for w, _ in head]
+        self.total, self.types, self.words, self.tail = total, types, words, tail
+        self.head = [w for w, _ in head]
         self.counts = np.array([n for _, n in head], np.int64)
-        self.by_class = by_class  # over all words that aren't words of the model: tokens, types
-        self.outputs = vocab + classes
+        self.by_tail = by_tail  # over all words that aren't words of the model: tokens, types
+        self.symbols = words + tail
+        roots = np.cumsum(np.sqrt(np.maximum(self.counts[:words], 1)))
+        # a class ends where its share of the roots does; a large root may pass several ends
+        at = np.minimum((roots - roots[:1] / 2) / (roots[-1:] / word_classes) if words else roots, word_classes - 1).astype(np.int64)
+        self.first = np.append(np.flatnonzero(np.diff(at, prepend=-1)), words).astype(np.int64)  # classes' first words, and the end
+        self.n_word_classes = len(self.first) - 1
+        self.classes = self.n_word_classes + tail
 
     def prepare(self) -> Vocabulary:
         """Look-up tables, made once in each worker."""
         if hasattr(self, "rank"):
             return self
-        self.rank = {w: i for i, w in enumerate(self.words)}
+        self.rank = {w: i for i, w in enumerate(self.head)}
         self.end = self.rank.get(END, -1)
-        # of each head word: its output, and log10 of the numerators
-        cls = np.fromiter((class_of(w, self.classes) for w in self.words), np.int64, len(self.words))
-        self.output = np.where(np.arange(len(self.words)) < self.vocab, np.arange(len(self.words)), self.vocab + cls)
+        # of each head word its symbol, and log10 of the numerators
+        cls = np.fromiter((class_of(w, self.tail) for w in self.head), np.int64, len(self.head))
+        self.symbol = np.where(np.arange(len(self.head)) < self.words, np.arange(len(self.head)), self.words + cls)
         self.log_count = np.log10(self.counts + 1.0)
-        self.log_class = np.array([math.log10(self.by_class.get(c, (0, 0))[0] + self.by_class.get(c, (0, 0))[1] + 1.0) for c in range(self.classes)])
+        sizes = [sum(self.by_tail.get(c, (0, 0))) + 1.0 for c in range(self.tail)]
+        self.log_tail = np.log10(np.array(sizes))
+        # of each symbol its class; of each class its share of tokens, of each word its share of the class
+        sizes = np.diff(self.first)
+        self.class_of = np.concatenate([np.repeat(np.arange(self.n_word_classes), sizes), self.n_word_classes + np.arange(self.tail)])
+        self.size = np.concatenate([sizes, np.ones(self.tail, np.int64)])
+        n = self.counts[: self.words].astype(np.float64) + 0.5
+        inside = np.add.reduceat(n, self.first[:-1]) if self.words else np.zeros(0)
+        share = np.concatenate([inside, [self.by_tail.get(c, (0, 0))[0] + 0.5 for c in range(self.tail)]])
+        self.share = share / share.sum()
+        self.part = n / np.repeat(inside, sizes)
+        self.upto = np.cumsum(n)  # drawing words: the first whose sum exceeds a number between those of its class
+        self.below = np.concatenate([[0.0], self.upto])[self.first]
         return self
 
-    def noise(self) -> np.ndarray:
-        """Unigram probabilities of the outputs, from all training tokens."""
-        n = np.concatenate([np.zeros(self.vocab), [self.by_class.get(c, (0, 0))[0] for c in range(self.classes)]])
-        n[: min(self.vocab, len(self.counts))] = self.counts[: self.vocab]
-        return (n + 0.5) / (n + 0.5).sum()
-
     def ids(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Tokens, their ranks (-1 outside the head), and their outputs; the end is the last."""
+        """Tokens, their ranks (-1 outside the head), and their symbols; the end is the last."""
         words = tokens_of(text)
         words.append(END)
         get = self.rank.get
         ranks = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        if not len(self.output):
-            return words, ranks, np.full(len(words), self.vocab)
-        outputs = self.output[ranks]
+        symbols = self.symbol[ranks] if len(self.symbol) else np.zeros(len(words), np.int64)
         for i in np.flatnonzero(ranks < 0):
-            outputs[i] = self.vocab + class_of(words[i], self.classes)
-        return words, ranks, outputs
+            symbols[i] = self.words + class_of(words[i], self.tail)
+        return words, ranks, symbols
 
 
-class Outputs:
-    """Outputs of whole chunks of texts, for training: the model's words are known by their hashes."""
+class Symbols:
+    """Symbols of whole chunks of texts, for training: the model's words are known by their hashes."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.hasher = v, Hasher(BLANK_WORDS)
-        known = self.hasher.words([b" ".join(v.words[: v.vocab])])[0]  # the end, which is no word, comes first and splits away
-        ranks = np.array([i for i, w in enumerate(v.words[: v.vocab]) if w != END], np.int64)
+        known = self.hasher.words([b" ".join(v.head[: v.words])])[0]  # the end, which is no word, comes first and splits away
+        ranks = np.array([i for i, w in enumerate(v.head[: v.words]) if w != END], np.int64)
         order = np.argsort(known)
         self.known, self.ranks = known[order], ranks[order]
 
     def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         for _, part in chunks(texts):
             hashes, counts = self.hasher.words(part)
-            out = self.v.vocab + classes_of(self.hasher, self.v.classes)
+            out = self.v.words + classes_of(self.hasher, self.v.tail)
             if len(self.known):
                 at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
                 out = np.where(self.known[at] == hashes, self.ranks[at], out)
@@ -174,7 +203,7 @@ def step_of(n: Column) -> Column:
     return F.floor(F.log2(n) * 64).cast("int")
 
 
-def vocabulary(counts: DataFrame, vocab: int = VOCAB, classes: int = CLASSES, head: int = HEAD) -> Vocabulary:
+def vocabulary(counts: DataFrame, min_count: int = MIN_COUNT, most_words: int = MOST_WORDS, tail: int = TAIL, head: int = HEAD, word_classes: int = WORD_CLASSES) -> Vocabulary:
     # a histogram of counts in steps of a 64th of a power of two says where the head ends, so that its words alone are sorted
     sizes = sorted(((r["step"], r["count"]) for r in counts.groupBy(step_of(F.col("n")).alias("step")).count().collect()), reverse=True)
     held, cut = 0, -1
@@ -186,94 +215,132 @@ def vocabulary(counts: DataFrame, vocab: int = VOCAB, classes: int = CLASSES, he
     # the end is always a word of the model
     top = counts.filter((step_of(F.col("n")) > cut) | (F.col("word") == END)).toArrow()
     pairs = sorted(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True), key=lambda x: (x[0] != END, -x[1], x[0]))
-    words, n = [w for w, _ in pairs], [k for _, k in pairs]
-    sums = counts.groupBy(class_column(F.col("word"), classes).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    words = min(most_words, max(1, sum(n >= min_count for _, n in pairs))) if pairs else 0
+    sums = counts.groupBy(class_column(F.col("word"), tail).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     tokens, types = {r["c"]: r["n"] for r in sums}, {r["c"]: r["v"] for r in sums}
     total, kinds = sum(tokens.values()), sum(types.values())
-    for w, k in zip(words[:vocab], n[:vocab], strict=True):  # the model's own words aren't in classes
-        c = class_of(w, classes)
+    for w, k in pairs[:words]:  # the model's own words aren't in tail classes
+        c = class_of(w, tail)
         tokens[c], types[c] = tokens[c] - k, types[c] - 1
-    return Vocabulary(pairs, total, kinds, {c: (tokens[c], types[c]) for c in tokens}, vocab, classes, cut)
+    return Vocabulary(pairs, total, kinds, words, {c: (tokens[c], types[c]) for c in tokens}, tail, word_classes, cut)
+
+
+class Model:
+    """All parameters as rows of one matrix, DIM columns and a bias: r (symbols and the begin of a text), q (classes), p (words), c1, c2."""
 
+    def __init__(self, v: Vocabulary, rows: np.ndarray):
+        self.rows = rows
+        ends = np.cumsum([v.symbols + 1, v.classes, v.words, DIM])
+        self.r, self.q, self.p, self.c1, self.c2 = np.split(rows, ends)
 
-def start(v: Vocabulary, dim: int = DIM, seed: int = 7) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return {
-        "r": rng.normal(0, 0.1, (v.outputs + 1, dim)).astype(np.float32),
-        "c1": (np.eye(dim) + rng.normal(0, 0.01, (dim, dim))).astype(np.float32),
-        "c2": (0.5 * np.eye(dim) + rng.normal(0, 0.01, (dim, dim))).astype(np.float32),
-        "q": rng.normal(0, 0.1, (v.outputs, dim)).astype(np.float32),
-        "b": np.log(v.noise()).astype(np.float32),
-    }
+    @classmethod
+    def start(cls, v: Vocabulary, seed: int = 7) -> Model:
+        rng = np.random.default_rng(seed)
+        rows = rng.normal(0, 0.1, (v.symbols + 1 + v.classes + v.words + 2 * DIM, DIM + 1)).astype(np.float32)
+        rows[:, DIM] = 0
+        out = cls(v, rows)
+        out.c1[:, :DIM] = np.eye(DIM) + out.c1[:, :DIM] / 10
+        out.c2[:, :DIM] = np.eye(DIM) / 2 + out.c2[:, :DIM] / 10
+        out.q[:, DIM] = np.log(v.share)
+        out.p[:, DIM] = np.log(v.part)
+        return out
 
 
-def windows(outputs: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context code (w1 * (begin + 1) + w2; w1 the nearer) and word of all tokens; `begin` stands before a text."""
+def windows(symbols: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context code (w1 * (begin + 1) + w2; w1 the nearer) and symbol of all tokens; `begin` stands before a text."""
     near, far = [], []
-    for x in outputs:
+    for x in symbols:
         near.append(np.concatenate([[begin], x[:-1]]))
         far.append(np.concatenate([[begin, begin], x[:-2]])[: len(x)])
-    return np.concatenate(near) * (begin + 1) + np.concatenate(far), np.concatenate(outputs)
+    return np.concatenate(near) * (begin + 1) + np.concatenate(far), np.concatenate(symbols)
+
+
+def summed_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places that occur, how often, and the sums of their rows."""
+    small = at.astype(np.uint16) if MOST_WORDS + TAIL < 1 << 16 else at  # these are sorted by their digits
+    order = np.argsort(small, kind="stable")
+    sorted_ = at[order]
+    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    return sorted_[first], np.diff(np.append(first, len(at))), np.add.reduceat(rows[order], first)
+
+
+def unlikely(odds: np.ndarray) -> np.ndarray:
+    """1 - logistic(odds)."""
+    np.exp(odds, out=odds)
+    odds += 1
+    return np.reciprocal(odds, out=odds)
 
 
 class Learner:
     """NCE with Adagrad on the tokens of one task."""
 
-    def __init__(self, model: dict[str, np.ndarray], noise: np.ndarray, rate: float = RATE):
-        self.m = {k: v.copy() for k, v in model.items()}
-        self.g = {k: np.full_like(v, 1e-8) for k, v in model.items()}
-        self.noise, self.rate, self.seen = noise.astype(np.float32), rate, 0
-        self.shift = np.log(np.float32(NOISE) * self.noise)
-
-    def learn(self, context: np.ndarray, word: np.ndarray, seed: int) -> None:
-        size, outputs = self.m["r"].shape[0], len(self.noise)
-        pairs, n = np.unique(context * outputs + word, return_counts=True)
-        ctx, w = pairs // outputs, pairs % outputs
-        first = np.flatnonzero(np.diff(ctx, prepend=-1))
-        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ctx))))
-        own = ctx[first]
-        # contexts in a fixed random order, else all of a batch have the same word before
-        order = np.random.default_rng(seed).permutation(len(own))
-        place = np.empty(len(own), np.int64)
-        place[order] = np.arange(len(own))
-        at = place[which]
-        sort = np.argsort(at, kind="stable")
-        at, w, n, own = at[sort], w[sort], n[sort], own[order]
-        starts = list(range(0, len(own), BATCH))
-        # a chunk with few contexts goes over them again: it is as cheap as it is short
-        for lo in starts * max(1, MIN_STEPS // len(starts)):
-            part = own[lo : lo + BATCH]
-            a, b = np.searchsorted(at, [lo, lo + len(part)])
-            self.step(part // size, part % size, at[a:b] - lo, w[a:b], n[a:b].astype(np.float32))
-        self.seen += len(word)
-
-    def step(self, w1: np.ndarray, w2: np.ndarray, row: np.ndarray, word: np.ndarray, times: np.ndarray) -> None:
-        """Contexts (w1, w2); word was seen `times` times in the context of that row."""
-        m = self.m
-        r1, r2 = m["r"][w1], m["r"][w2]
-        h = r1 @ m["c1"] + r2 @ m["c2"]
-        # s - log(k q) are the log-odds that a word was observed and not noise; grad is first one over 1 + their inverse
-        grad = h @ -m["q"].T
-        grad += self.shift - m["b"]
-        np.exp(grad, out=grad)
-        grad += 1
-        np.reciprocal(grad, out=grad)
-        observed = grad[row, word]
-        total = np.bincount(row, times, len(w1)).astype(np.float32)
-        all_ = total.sum()
-        grad *= self.noise
-        grad *= (total * (-NOISE / all_))[:, None]
-        grad[row, word] += times * (1 - observed) / all_
-        dh = grad @ m["q"]
-        dr = np.zeros_like(m["r"])
-        for w, c in ((w1, "c1"), (w2, "c2")):
-            d = dh @ m[c].T
-            sort = np.argsort(w, kind="stable")
-            first = np.flatnonzero(np.diff(w[sort], prepend=-1))
-            dr[w[sort][first]] += np.add.reduceat(d[sort], first)
-        for k, d in (("r", dr), ("c1", r1.T @ dh), ("c2", r2.T @ dh), ("q", grad.T @ h), ("b", grad.sum(0))):
-            self.g[k] += d * d
-            m[k] += self.rate * d / np.sqrt(self.g[k])
+    def __init__(self, v: Vocabulary, rows: np.ndarray, seed: int, rate: float = RATE):
+        self.v, self.m, self.g = v, Model(v, rows.copy()), Model(v, np.ones_like(rows))
+        self.times = Model(v, np.zeros((len(rows), 1), np.float32))
+        self.rate, self.seen, self.rng = rate, 0, np.random.default_rng(seed)
+        self.draw = np.cumsum(v.share)
+        self.shift = np.log(NOISE * v.share).astype(np.float32)
+        self.word_shift = np.log(NOISE_WORDS * v.part).astype(np.float32)
+
+    def learn(self, context: np.ndarray, symbol: np.ndarray) -> None:
+        order = self.rng.permutation(len(symbol))
+        steps = max(-(-len(order) // BATCH), min(MIN_STEPS, -(-len(order) // 64)))
+        for part in np.array_split(order, steps):
+            self.step(*np.divmod(context[part], self.v.symbols + 1), symbol[part])
+        self.seen += len(symbol)
+
+    def noise(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Drawn classes of a batch; which tokens choose among several words; the words drawn for each."""
+        v = self.v
+        classes = np.minimum(np.searchsorted(self.draw, self.rng.random(DRAWS), "right"), v.classes - 1)
+        c = v.class_of[symbol]
+        some = np.flatnonzero(v.size[c] > 1)
+        lo, hi = v.below[c[some]], v.below[c[some] + 1]
+        words = np.searchsorted(v.upto, lo[:, None] + self.rng.random((len(some), NOISE_WORDS)) * (hi - lo)[:, None], "right")
+        return classes, some, np.minimum(words, v.first[c[some] + 1][:, None] - 1)
+
+    def gradients(self, near: np.ndarray, far: np.ndarray, symbol: np.ndarray, classes: np.ndarray, some: np.ndarray, words: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each group of rows those touched, how often, and the ascent of the log-likelihood of telling observed from drawn."""
+        m, d = self.m, DIM
+        r1, r2, c1, c2 = m.r[near, :d], m.r[far, :d], m.c1[:, :d], m.c2[:, :d]
+        h = np.ones((len(symbol), d + 1), np.float32)  # the last column meets the biases
+        h[:, :d] = r1 @ c1 + r2 @ c2
+        c = self.v.class_of[symbol]
+        own, drawn = m.q[c], m.q[classes]
+        up = unlikely(np.einsum("td,td->t", h, own) - self.shift[c])
+        down = h @ drawn.T
+        down -= self.shift[classes]
+        down = (unlikely(down) - 1) * np.float32(NOISE / DRAWS)
+        dh = up[:, None] * own + down @ drawn
+        at, times, dq = summed_rows(c, up[:, None] * h)
+        dense = np.zeros_like(m.q)
+        dense[at] = dq
+        np.add.at(dense, classes, down.T @ h)
+        touched = np.zeros(len(dense))
+        touched[at] = times
+        np.add.at(touched, classes, len(symbol) * NOISE / DRAWS)
+        out = {"q": (np.arange(len(dense)), touched, dense)}
+        if len(some):
+            hs, x = h[some], symbol[some]
+            own, drawn = m.p[x], m.p[words]
+            up = unlikely(np.einsum("td,td->t", hs, own) - self.word_shift[x])
+            down = unlikely(np.einsum("td,tkd->tk", hs, drawn) - self.word_shift[words]) - 1
+            dh[some] += up[:, None] * own + np.einsum("tk,tkd->td", down, drawn)
+            weights = np.concatenate([up[:, None], down], 1)
+            out["p"] = summed_rows(np.concatenate([x[:, None], words], 1).ravel(), (weights[:, :, None] * hs[:, None, :]).reshape(-1, d + 1))
+        dh = dh[:, :d]
+        pad = lambda x: np.concatenate([x, np.zeros((len(x), 1), np.float32)], 1)
+        out["r"] = summed_rows(np.concatenate([near, far]), pad(np.concatenate([dh @ c1.T, dh @ c2.T])))
+        for k, r in (("c1", r1), ("c2", r2)):
+            out[k] = (np.arange(d), np.full(d, len(symbol)), pad(r.T @ dh))
+        return out
+
+    def step(self, near: np.ndarray, far: np.ndarray, symbol: np.ndarray) -> None:
+        for name, (at, times, d) in self.gradients(near, far, symbol, *self.noise(symbol)).items():
+            rows, g = getattr(self.m, name), getattr(self.g, name)
+            g[at] = past = g[at] + d * d
+            rows[at] += self.rate * d / np.sqrt(past)
+            getattr(self.times, name)[at, 0] += times
 
 
 def pieces(texts: Iterator[tuple], size: int = CHUNK) -> Iterator[list[tuple]]:
@@ -289,54 +356,96 @@ def pieces(texts: Iterator[tuple], size: int = CHUNK) -> Iterator[list[tuple]]:
         yield held
 
 
-def train(docs: DataFrame, v: Vocabulary, shared, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Averaged models of all tasks; docs has a column text. shared: the broadcast vocabulary."""
+def train(docs: DataFrame, v: Vocabulary, shared, rounds: int = ROUNDS, share_tokens: int = SHARE_TOKENS) -> np.ndarray:
+    """The rows of a Model: averages over all tasks; docs has a column text. shared: the broadcast vocabulary."""
     spark = docs.sparkSession
-    model = start(v)
+    rows = Model.start(v.prepare()).rows
     if not v.total:
-        return model
-    sizes = np.cumsum([0, *(model[k].size for k in PARTS)])
+        return rows
+    texts = docs.select("text").coalesce(max(1, v.total // share_tokens))
     for turn in range(rounds):
-        begun = spark.sparkContext.broadcast(model)
+        begun = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], begun=begun, turn=turn) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
             voc = shared.value.prepare()
-            learner = Learner(begun.value, voc.noise(), RATE / (1 + turn))
-            outputs = Outputs(voc)
-            texts = ((x,) for batch in batches for x in outputs.of(utf8(batch.column(0))))
-            for k, piece in enumerate(pieces(texts)):
+            learner, symbols = Learner(voc, begun.value, part, RATE / (1 + turn)), Symbols(voc)
+            found = ((x,) for batch in batches for x in symbols.of(utf8(batch.column(0))))
+            for piece in pieces(found):
                 with np.errstate(over="ignore"):  # exp() to infinity is a probability of 0
-                    learner.learn(*windows([x[0] for x in piece], voc.outputs), seed=k)
-            if seen := learner.seen:
-                flat = np.concatenate([learner.m[k].ravel() for k in PARTS]).astype(np.float64) * learner.seen
+                    learner.learn(*windows([x[0] for x in piece], voc.symbols))
+            if learner.seen:
+                times = learner.times.rows[:, 0].copy()
+                out = np.concatenate([learner.m.rows * times[:, None], times[:, None]], 1)
                 del learner
-                release()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.concatenate([[seen], flat]), pa.float64())], names=["at", "x"])
-
-        # rounding before summing in any order would show in the last digits only; sums of long are exact
-        sums = docs.select("text").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum(F.round(F.col("x") * 1e4).cast("decimal(38,0)")).alias("x"))
-        got = sums.select("at", F.col("x").cast("double").alias("x")).orderBy("at").toArrow()
-        x = got.column(1).to_numpy()
-        flat = (x[1:] / x[0]).astype(np.float32)
-        model = {k: flat[a:b].reshape(model[k].shape) for k, a, b in zip(PARTS, sizes[:-1], sizes[1:], strict=True)}
-    return model
-
-
-def log_probabilities(model: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Normalised natural log-probabilities; one row of a matrix product for each distinct context."""
-    size = model["r"].shape[0]
-    own, which = np.unique(context, return_inverse=True)
-    sort = np.argsort(which, kind="stable")
-    ends = np.searchsorted(which[sort], np.arange(0, len(own) + BATCH, BATCH))
-    e1, e2 = model["r"] @ model["c1"], model["r"] @ model["c2"]
-    out = np.empty(len(word))
-    for k, lo in enumerate(range(0, len(own), BATCH)):
-        part, mine = own[lo : lo + BATCH], sort[ends[k] : ends[k + 1]]
-        s = (e1[part // size] + e2[part % size]) @ model["q"].T + model["b"]
-        top = s.max(1)
-        total = top + np.log(np.exp(s - top[:, None]).sum(1))
-        out[mine] = s[which[mine] - lo, word[mine]] - total[which[mine] - lo]
-    return out
+                for at in range(0, len(out), MODEL_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part], pa.int32()), pa.array([out[at : at + MODEL_ROWS].tobytes()], pa.binary())], names=["at", "part", "x"])
+            release()
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, total = None, None
+            for batch in batches:
+                for at, x in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                    if at != now:
+                        if now is not None:
+                            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["at", "x"])
+                        now, total = at, 0.0
+                    total = total + np.frombuffer(x.as_py(), np.float32).astype(np.float64)
+            if now is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["at", "x"])
+
+        # in the order of tasks, so that the same sums come out
+        sums = texts.mapInArrow(run, "at int, part int, x binary").repartition("at").sortWithinPartitions("at", "part").mapInArrow(add, "at int, x binary").toArrow()
+        whole = rows.astype(np.float64)
+        for at, x in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True):
+            got = np.frombuffer(x, np.float64).reshape(-1, DIM + 2)
+            touched = got[:, -1] > 0
+            whole[at : at + len(got)][touched] = got[touched, :-1] / got[touched, -1:]
+        rows = whole.astype(np.float32)
+    return rows
+
+
+class Scorer:
+    """Normalised log-probabilities of a model."""
+
+    def __init__(self, v: Vocabulary, rows: np.ndarray):
+        self.v, self.m = v, Model(v, rows)
+        self.near, self.far = (self.m.r[:, :DIM] @ c[:, :DIM] for c in (self.m.c1, self.m.c2))
+
+    def log_probabilities(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Natural logs; a row of a matrix product for each distinct context, and for each token that is one of a class."""
+        v, m = self.v, self.m
+        own, which = np.unique(context, return_inverse=True)
+        h = np.ones((len(own), DIM + 1), np.float32)
+        h[:, :DIM] = self.near[own // (v.symbols + 1)] + self.far[own % (v.symbols + 1)]
+        out, c = np.empty(len(symbol)), v.class_of[symbol]
+        order = np.argsort(which, kind="stable")
+        ends = np.searchsorted(which[order], np.arange(0, len(own) + ROWS, ROWS))
+        for k, lo in enumerate(range(0, len(own), ROWS)):
+            mine = order[ends[k] : ends[k + 1]]
+            out[mine] = chosen(h[lo : lo + ROWS] @ m.q.T, which[mine] - lo, c[mine])
+        some = np.flatnonzero(v.size[c] > 1)
+        some = some[np.argsort(c[some], kind="stable")]
+        for lo, hi in zip(*bounds_of(c[some]), strict=True):
+            first, last = v.first[c[some[lo]]], v.first[c[some[lo]] + 1]
+            for at in range(lo, hi, ROWS):
+                mine = some[at : min(hi, at + ROWS)]
+                out[mine] += chosen(h[which[mine]] @ m.p[first:last].T, np.arange(len(mine)), symbol[mine] - first)
+        return out
+
+
+def bounds_of(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    return first, np.append(first, len(sorted_))[1:]
+
+
+def chosen(scores: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row of scores, at some places."""
+    top = scores.max(1)
+    at = scores[row, column]
+    scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return at - (top + np.log(scores.sum(1)))[row]
 
 
 OUT = "rid long, word binary, times int, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -352,29 +461,30 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
     counts = stage(counted(taught), "lm-counts")
     v = vocabulary(counts)
     shared = Shared(spark, v)
-    model = spark.sparkContext.broadcast(train(taught, v, shared))
+    model = Shared(spark, Scorer(v.prepare(), train(taught, v, shared)))
     id_type = dict(rows.dtypes)["doc_id"]
     schema = OUT.format(id=id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, m = shared.value.prepare(), model.value
+        scorer = model.value
+        voc = scorer.v
         base_log = math.log10(voc.total + voc.types + 1)
         log10 = math.log(10)
         for batch in batches:
             ids = batch.column(1)
             texts = ((k, *voc.ids(t)) for k, t in enumerate(utf8(batch.column(3))))
-            for piece in pieces(texts, CHUNK // 2):
+            for piece in pieces(texts, CHUNK // 4):
                 lengths = np.array([len(x[3]) for x in piece])
                 firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                outputs = np.concatenate([x[3] for x in piece])
+                symbols = np.concatenate([x[3] for x in piece])
                 ranks = np.concatenate([x[2] for x in piece])
-                logs = log_probabilities(m, *windows([x[3] for x in piece], voc.outputs)) / log10
+                logs = scorer.log_probabilities(*windows([x[3] for x in piece], voc.symbols)) / log10
                 in_head = ranks >= 0
                 count_log = np.zeros(len(ranks))
                 if len(voc.log_count):
                     count_log[in_head] = voc.log_count[ranks[in_head]]
-                rare = outputs >= voc.vocab
-                logs[rare] += count_log[rare] - voc.log_class[outputs[rare] - voc.vocab]
+                rare = symbols >= voc.words
+                logs[rare] += count_log[rare] - voc.log_tail[symbols[rare] - voc.words]
                 at = [x[0] for x in piece]
                 rid = batch.column(0).take(pa.array(at))
                 tail: list[tuple[int, bytes, int]] = []

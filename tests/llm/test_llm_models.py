@@ -62,27 +62,122 @@ def test_model_beats_unigrams_on_held_out_texts(scored):
 def test_tail_words_join_the_same_counts(spark, sf_dir, scored, monkeypatch):
     # with a short head most words come through the join
     v = lm.vocabulary.__defaults__
-    monkeypatch.setattr(lm.vocabulary, "__defaults__", (*v[:2], 600))
+    monkeypatch.setattr(lm.vocabulary, "__defaults__", (*v[:3], 2_500, v[4]))
     again = lm.op2_lm_score(spark, sf_dir).toPandas().set_index("doc_id").loc[scored.index]
     assert (again.n_known == scored.n_known).all() and np.allclose(again.base_score, scored.base_score) and np.allclose(again.score, scored.score, rtol=1e-4)
 
 
+def taught(spark, rows, **more):
+    """A vocabulary and the rows of a model of the texts."""
+    df = docs(spark, rows)
+    v = lm.vocabulary(lm.counted(df.select("text")), **more).prepare()
+    return v, lm.train(df, v, spark.sparkContext.broadcast(v))
+
+
 def test_probabilities_sum_to_one(spark):
-    rows = [(i, "a b c a b d e") for i in range(40)]
-    counts = lm.counted(docs(spark, rows).select("text"))
-    v = lm.vocabulary(counts, vocab=3, classes=4).prepare()
-    model = lm.train(docs(spark, rows), v, spark.sparkContext.broadcast(v), rounds=1)
-    every = np.arange(v.outputs)
-    for context in (0, 5, v.outputs * (v.outputs + 1) + v.outputs):
-        p = np.exp(lm.log_probabilities(model, np.full(v.outputs, context), every))
+    rows = [(i, "a b c a b d e " + " ".join(f"w{k}" for k in range(i % 9))) for i in range(40)]
+    v, model = taught(spark, rows, min_count=20, tail=4, word_classes=3)
+    assert (v.words, v.n_word_classes) == (len([n for n in v.counts if n >= 20]), 3) and v.size.max() > 1
+    every, scorer = np.arange(v.symbols), lm.Scorer(v, model)
+    for context in (0, 5, v.symbols * (v.symbols + 1) + v.symbols):
+        p = np.exp(scorer.log_probabilities(np.full(v.symbols, context), every))
         assert abs(p.sum() - 1) < 1e-5
-    # inside a class: all seen words and one place for unseen ones
-    for c, (n, k) in v.by_class.items():
-        inside = [w for w in v.words[v.vocab :] if lm.class_of(w, 4) == c]
-        total = sum((v.counts[v.rank[w]] + 1) / 10 ** v.log_class[c] for w in inside) + 1 / 10 ** v.log_class[c]
+    # inside a tail class: all seen words and one place for unseen ones
+    for c, (n, k) in v.by_tail.items():
+        inside = [w for w in v.head[v.words :] if lm.class_of(w, 4) == c]
+        total = sum((v.counts[v.rank[w]] + 1) / 10 ** v.log_tail[c] for w in inside) + 1 / 10 ** v.log_tail[c]
         assert len(inside) == k and abs(total - 1) < 1e-9, (c, n)
 
 
+def test_scores_match_a_plain_computation(spark, sf_dir, monkeypatch):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(120).collect()]
+    kept = {}
+    scorer = lm.Scorer
+    monkeypatch.setattr(lm, "Scorer", lambda v, m: kept.setdefault("scorer", scorer(v, m)))
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs(spark, rows)).collect()}
+    v, m = kept["scorer"].v, kept["scorer"].m
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*lm.tokens_of((t or "").encode()), b"\n"])
+    assert v.words == sum(n >= lm.MIN_COUNT for n in counts.values()) > 20 and v.total == counts.total()
+    size = Counter(lm.class_of(w) for w in counts if w not in v.head[: v.words])
+    tokens = Counter()
+    for w, n in counts.items():
+        if w not in v.head[: v.words]:
+            tokens[lm.class_of(w)] += n
+
+    def log_softmax(x, k):
+        return x[k] - max(x) - math.log(sum(math.exp(y - max(x)) for y in x))
+
+    for i, t in rows[:25]:
+        near = far = v.symbols
+        total = 0.0
+        for w in [*lm.tokens_of((t or "").encode())[:400], b"\n"] if len((t or "").split()) <= 400 else []:
+            place = v.rank.get(w, -1)
+            symbol = place if 0 <= place < v.words else v.words + lm.class_of(w)
+            h = [*(m.r[near, : lm.DIM].astype(float) @ m.c1[:, : lm.DIM] + m.r[far, : lm.DIM].astype(float) @ m.c2[:, : lm.DIM]), 1.0]
+            cls = next((c for c in range(v.n_word_classes) if v.first[c] <= symbol < v.first[c + 1]), v.n_word_classes + symbol - v.words)
+            total += log_softmax([float(np.dot(h, q)) for q in m.q], cls)
+            if symbol < v.words:
+                total += log_softmax([float(np.dot(h, q)) for q in m.p[v.first[cls] : v.first[cls + 1]]], symbol - v.first[cls])
+            else:
+                c = lm.class_of(w)
+                total += math.log((counts[w] + 1) / (tokens[c] + size[c] + 1))
+            near, far = symbol, near
+        if total:
+            assert abs(got[i] - total / math.log(10)) < 1e-3 * max(1, abs(got[i])), i
+
+
+def test_training_climbs_the_contrast_of_observed_and_drawn(spark):
+    rows = [(i, "a b c a b d e " + " ".join(f"w{k}" for k in range(i % 9))) for i in range(40)]
+    v = lm.vocabulary(lm.counted(docs(spark, rows).select("text")), min_count=20, tail=4, word_classes=3).prepare()
+    learner = lm.Learner(v, lm.Model.start(v).rows.astype(np.float64), 1)
+    rng = np.random.default_rng(2)
+    near, far, symbol = rng.integers(0, v.symbols + 1, 50), rng.integers(0, v.symbols + 1, 50), rng.integers(0, v.symbols, 50)
+    classes, some, words = learner.noise(symbol)
+    assert all(v.class_of[w] == v.class_of[symbol[t]] for t, drawn in zip(some, words, strict=True) for w in drawn)
+
+    def objective():
+        m, total, log_odds = learner.m, 0.0, lambda s, shift: s - shift
+        for t, (a, b, x) in enumerate(zip(near, far, symbol, strict=True)):
+            h = np.append(m.r[a, : lm.DIM] @ m.c1[:, : lm.DIM] + m.r[b, : lm.DIM] @ m.c2[:, : lm.DIM], 1.0)
+            c = v.class_of[x]
+            total -= math.log1p(math.exp(-log_odds(h @ m.q[c], learner.shift[c])))
+            total -= sum(math.log1p(math.exp(log_odds(h @ m.q[k], learner.shift[k]))) for k in classes) * lm.NOISE / lm.DRAWS
+            if t in some:
+                total -= math.log1p(math.exp(-log_odds(h @ m.p[x], learner.word_shift[x])))
+                total -= sum(math.log1p(math.exp(log_odds(h @ m.p[w], learner.word_shift[w]))) for w in words[list(some).index(t)])
+        return total
+
+    for name, (at, _, d) in learner.gradients(near, far, symbol, classes, some, words).items():
+        rows_ = getattr(learner.m, name)
+        for k in rng.integers(0, len(at), 6):
+            j = int(rng.integers(0, lm.DIM + (name in "qp")))
+            old = rows_[at[k], j]
+            rows_[at[k], j] = old + 1e-4
+            up = objective()
+            rows_[at[k], j] = old - 1e-4
+            slope = (up - objective()) / 2e-4
+            rows_[at[k], j] = old
+            assert abs(slope - d[k, j]) < 1e-3 * max(1, abs(slope)), (name, at[k], j, slope, d[k, j])
+
+
+def test_many_partitions_teach_as_much_as_one(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+
+    def gain(parts):
+        held = lm.score_texts(df.repartition(parts)).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+        return held[0] - held[1]
+
+    one, many = gain(1), gain(64)
+    assert one > 0 and abs(many - one) < 0.1 * one
+
+
+def test_averages_of_many_tasks_still_learn(spark, sf_dir, monkeypatch):
+    df = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text").repartition(16)
+    monkeypatch.setattr(lm.train, "__defaults__", (lm.ROUNDS, 30_000))  # a dozen tasks on a share each
+    held = lm.score_texts(df).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1] * 0.98  # scores are negative: at least 2 % better
+
+
 def test_order_matters_to_the_model(spark):
     rows = [(i, "alpha beta gamma delta " * 30) for i in range(60)] + [(1000, "alpha beta gamma delta " * 10), (1001, "delta gamma beta alpha " * 10)]
     got = lm.score_texts(docs(spark, rows)).toPandas().set_index("doc_id")

@@ -2,7 +2,7 @@
 
 Corpus counts. A first pass counts every token of the training documents (words and one end per text); the table of all
 counts stays distributed. The model's words are those that occur MIN_COUNT times at least, the MOST_WORDS most frequent at
-most: their number grows with the corpus until the parameters take what MOST_WORDS allows (about 10 MB, in every task).
+most: their number grows with the corpus until the parameters take what MOST_WORDS allows (a few MB, in every task).
 They stand in up to WORD_CLASSES classes of neighbouring ranks with about equal sums of the roots of their counts, so a
 frequent word is a class of its own. Every other word is in one of TAIL classes by its last bytes.
 
@@ -15,7 +15,8 @@ are shared by a batch), for every observed word NOISE_WORDS words from the unigr
 regression tells observed from drawn; no sum over outputs is taken. Each task learns from all tokens of its share of the
 texts, from the same start, with numpy matrix products and Adagrad; shares hold SHARE_TOKENS tokens at least, so a corpus cut
 into many small partitions is learnt no worse. Models are averaged row by row, weighted by how often a task's texts touched
-the row, so tasks that never saw a word don't hold it back; ROUNDS such rounds are made. What travels is one model a task.
+the row, so tasks that never saw a word don't hold it back; ROUNDS such rounds are made (each starts from the last one's
+average). What travels is one model a task.
 
 Scoring. Distinct contexts of a piece go through one matrix product for the classes, tokens of a class through one for its
 words; both are normalised by their sums. The counts of the most frequent tokens are broadcast (HEAD at most, whole steps of
@@ -44,26 +45,26 @@ from pyspark.sql import functions as F
 from tagmill.llm.common import Shared, crc_mod, release, small_batches, stage, table
 from tagmill.llm.wordhash import BLANK_WORDS, Hasher, chunks, utf8
 
-DIM = 32
+DIM = 16
 #: Words of the model: how often they occur at least, and how many there are at most.
 MIN_COUNT, MOST_WORDS = 10, 16_384
-WORD_CLASSES, TAIL = 128, 64
+WORD_CLASSES, TAIL = 96, 64
 HEAD = 200_000
 #: Drawn classes a token, different draws a batch, drawn words a token.
-NOISE, DRAWS, NOISE_WORDS = 10.0, 64, 2
-RATE, ROUNDS = 0.1, 2
+NOISE, DRAWS, NOISE_WORDS = 10.0, 48, 1
+RATE, ROUNDS = 0.15, 1
 #: Tokens of a step of training, at most; a piece makes MIN_STEPS steps at least.
-BATCH, MIN_STEPS = 4096, 128
-#: Contexts or tokens of a matrix product in scoring.
-ROWS = 2048
+BATCH, MIN_STEPS = 16_384, 128
+#: Contexts or tokens of a matrix product in scoring, and bytes of the texts that are scored together.
+ROWS, SCORED_BYTES = 2048, 1 << 20
 #: A training task has so many tokens at least, unless there are fewer.
 SHARE_TOKENS = 4_000_000
 #: Rows of the model that travel together.
 MODEL_ROWS = 512
 #: Tokens that a task holds at once (a longer text alone counts as one piece).
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 #: A counter that grows beyond so many words is passed on and begun anew.
-MOST_COUNTED = 250_000
+MOST_COUNTED = 500_000
 #: The end of a text: no word can hold a blank.
 END = b"\n"
 FOLDS, HELD_OUT = 7, 2
@@ -143,13 +144,9 @@ class Vocabulary:
 
     def prepare(self) -> Vocabulary:
         """Look-up tables, made once in each worker."""
-        if hasattr(self, "rank"):
+        if hasattr(self, "log_count"):
             return self
-        self.rank = {w: i for i, w in enumerate(self.head)}
-        self.end = self.rank.get(END, -1)
-        # of each head word its symbol, and log10 of the numerators
-        cls = np.fromiter((class_of(w, self.tail) for w in self.head), np.int64, len(self.head))
-        self.symbol = np.where(np.arange(len(self.head)) < self.words, np.arange(len(self.head)), self.words + cls)
+        self.end = 0 if self.head else -1  # the head's first
         self.log_count = np.log10(self.counts + 1.0)
         sizes = [sum(self.by_tail.get(c, (0, 0))) + 1.0 for c in range(self.tail)]
         self.log_tail = np.log10(np.array(sizes))
@@ -166,37 +163,50 @@ class Vocabulary:
         self.below = np.concatenate([[0.0], self.upto])[self.first]
         return self
 
-    def ids(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Tokens, their ranks (-1 outside the head), and their symbols; the end is the last."""
-        words = tokens_of(text)
-        words.append(END)
-        get = self.rank.get
-        ranks = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        symbols = self.symbol[ranks] if len(self.symbol) else np.zeros(len(words), np.int64)
-        for i in np.flatnonzero(ranks < 0):
-            symbols[i] = self.words + class_of(words[i], self.tail)
-        return words, ranks, symbols
-
 
 class Symbols:
-    """Symbols of whole chunks of texts, for training: the model's words are known by their hashes."""
+    """Ranks and symbols of the tokens of whole chunks of texts: the `most` first words of the head are known by their hashes."""
 
-    def __init__(self, v: Vocabulary):
+    def __init__(self, v: Vocabulary, most: int):
         self.v, self.hasher = v, Hasher(BLANK_WORDS)
-        known = self.hasher.words([b" ".join(v.head[: v.words])])[0]  # the end, which is no word, comes first and splits away
-        ranks = np.array([i for i, w in enumerate(v.head[: v.words]) if w != END], np.int64)
+        known = self.hasher.words([b" ".join(v.head[:most])])[0]  # the end, which is no word, comes first and splits away
+        ranks = np.array([i for i, w in enumerate(v.head[:most]) if w != END], np.int64)
         order = np.argsort(known)
         self.known, self.ranks = known[order], ranks[order]
 
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all tokens, each text's end being its last: hashes (the end's is 0), ranks (-1 if not known) and symbols; tokens by text."""
+        hashes, counts = self.hasher.words(texts)
+        ranks = np.full(len(hashes), -1)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            ranks = np.where(self.known[at] == hashes, self.ranks[at], ranks)
+        symbols = np.where((ranks >= 0) & (ranks < self.v.words), ranks, self.v.words + classes_of(self.hasher, self.v.tail))
+        ends = np.cumsum(counts + 1) - 1
+        whole = np.ones(len(hashes) + len(texts), bool)
+        whole[ends] = False
+        end = self.v.words + class_of(END, self.v.tail) if self.v.end < 0 else self.v.end  # it has no rank where nothing was taught
+        out = np.zeros(len(whole), np.uint64), np.full(len(whole), self.v.end), np.full(len(whole), end)
+        for into, values in zip(out, (hashes, ranks, symbols), strict=True):
+            into[whole] = values
+        return *out, counts + 1
+
     def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         for _, part in chunks(texts):
-            hashes, counts = self.hasher.words(part)
-            out = self.v.words + classes_of(self.hasher, self.v.tail)
-            if len(self.known):
-                at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-                out = np.where(self.known[at] == hashes, self.ranks[at], out)
-            for own in np.split(out, np.cumsum(counts)[:-1]):
-                yield np.append(own, self.v.end)
+            *_, symbols, counts = self.read(part)
+            yield from np.split(symbols, np.cumsum(counts)[:-1])
+
+    def tail(self, hashes: np.ndarray, ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """What the last read() doesn't know: text, word and times of each distinct word of a text."""
+        owner = np.repeat(np.arange(len(counts)), counts)
+        at = np.flatnonzero((ranks < 0) & (hashes != 0))
+        order = np.lexsort((hashes[at], owner[at]))
+        at = at[order]
+        new = np.flatnonzero((np.diff(hashes[at], prepend=np.uint64(0)) != 0) | (np.diff(owner[at], prepend=-1) != 0))
+        word = at[new] - owner[at[new]]  # the ends before it are no words
+        data, starts, ends = self.hasher.last
+        whole = data.tobytes()
+        return owner[at[new]], [whole[a:b] for a, b in zip(starts[word].tolist(), ends[word].tolist(), strict=True)], np.diff(np.append(new, len(at)))
 
 
 def step_of(n: Column) -> Column:
@@ -226,25 +236,28 @@ def vocabulary(counts: DataFrame, min_count: int = MIN_COUNT, most_words: int =
 
 
 class Model:
-    """All parameters as rows of one matrix, DIM columns and a bias: r (symbols and the begin of a text), q (classes), p (words), c1, c2."""
+    """All parameters as rows of one matrix: r (symbols and the begin of a text), q (classes), p (words), c1, c2; and the biases of q and p."""
 
-    def __init__(self, v: Vocabulary, rows: np.ndarray):
-        self.rows = rows
-        ends = np.cumsum([v.symbols + 1, v.classes, v.words, DIM])
-        self.r, self.q, self.p, self.c1, self.c2 = np.split(rows, ends)
+    def __init__(self, v: Vocabulary, rows: np.ndarray, biases: np.ndarray):
+        self.rows, self.biases = rows, biases
+        self.r, self.q, self.p, self.c1, self.c2 = np.split(rows, np.cumsum([v.symbols + 1, v.classes, v.words, DIM]))
+        self.qb, self.pb = np.split(biases, [v.classes])
 
     @classmethod
     def start(cls, v: Vocabulary, seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
-        rows = rng.normal(0, 0.1, (v.symbols + 1 + v.classes + v.words + 2 * DIM, DIM + 1)).astype(np.float32)
-        rows[:, DIM] = 0
-        out = cls(v, rows)
-        out.c1[:, :DIM] = np.eye(DIM) + out.c1[:, :DIM] / 10
-        out.c2[:, :DIM] = np.eye(DIM) / 2 + out.c2[:, :DIM] / 10
-        out.q[:, DIM] = np.log(v.share)
-        out.p[:, DIM] = np.log(v.part)
+        rows = rng.normal(0, 0.1, (v.symbols + 1 + v.classes + v.words + 2 * DIM, DIM)).astype(np.float32)
+        out = cls(v, rows, np.log(np.concatenate([v.share, v.part])).astype(np.float32))
+        out.c1[:] = np.eye(DIM) + out.c1 / 10
+        out.c2[:] = np.eye(DIM) / 2 + out.c2 / 10
         return out
 
+    def like(self, v: Vocabulary, value: float) -> Model:
+        return Model(v, np.full_like(self.rows, value), np.full_like(self.biases, value))
+
+    def copy(self, v: Vocabulary) -> Model:
+        return Model(v, self.rows.copy(), self.biases.copy())
+
 
 def windows(symbols: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndarray]:
     """Context code (w1 * (begin + 1) + w2; w1 the nearer) and symbol of all tokens; `begin` stands before a text."""
@@ -255,13 +268,18 @@ def windows(symbols: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(near) * (begin + 1) + np.concatenate(far), np.concatenate(symbols)
 
 
-def summed_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The places that occur, how often, and the sums of their rows."""
-    small = at.astype(np.uint16) if MOST_WORDS + TAIL < 1 << 16 else at  # these are sorted by their digits
-    order = np.argsort(small, kind="stable")
-    sorted_ = at[order]
-    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
-    return sorted_[first], np.diff(np.append(first, len(at))), np.add.reduceat(rows[order], first)
+class Places:
+    """Sums of rows by place: the places that occur, and how often."""
+
+    def __init__(self, at: np.ndarray):
+        small = at.astype(np.uint16) if MOST_WORDS + TAIL < 1 << 16 else at  # these are sorted by their digits
+        self.order = np.argsort(small, kind="stable")
+        sorted_ = at[self.order]
+        self.first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+        self.at, self.times = sorted_[self.first], np.diff(np.append(self.first, len(at)))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[self.order], self.first)
 
 
 def unlikely(odds: np.ndarray) -> np.ndarray:
@@ -274,73 +292,92 @@ def unlikely(odds: np.ndarray) -> np.ndarray:
 class Learner:
     """NCE with Adagrad on the tokens of one task."""
 
-    def __init__(self, v: Vocabulary, rows: np.ndarray, seed: int, rate: float = RATE):
-        self.v, self.m, self.g = v, Model(v, rows.copy()), Model(v, np.ones_like(rows))
-        self.times = Model(v, np.zeros((len(rows), 1), np.float32))
+    def __init__(self, v: Vocabulary, model: Model, seed: int, rate: float = RATE):
+        self.v, self.m, self.g = v, model.copy(v), model.like(v, 1.0)
+        self.times = np.zeros(len(model.rows), np.float64)
+        self.ends = dict(zip(("r", "q", "p", "c1", "c2"), np.cumsum([0, v.symbols + 1, v.classes, v.words, DIM]).tolist(), strict=True))
         self.rate, self.seen, self.rng = rate, 0, np.random.default_rng(seed)
         self.draw = np.cumsum(v.share)
         self.shift = np.log(NOISE * v.share).astype(np.float32)
         self.word_shift = np.log(NOISE_WORDS * v.part).astype(np.float32)
 
     def learn(self, context: np.ndarray, symbol: np.ndarray) -> None:
-        order = self.rng.permutation(len(symbol))
-        steps = max(-(-len(order) // BATCH), min(MIN_STEPS, -(-len(order) // 64)))
-        for part in np.array_split(order, steps):
-            self.step(*np.divmod(context[part], self.v.symbols + 1), symbol[part])
-        self.seen += len(symbol)
+        n = len(symbol)
+        steps = max(-(-n // BATCH), min(MIN_STEPS, -(-n // 64)))
+        near, far = (x.astype(np.int32) for x in np.divmod(context, self.v.symbols + 1))
+        symbol = symbol.astype(np.int32)
+        for part in np.array_split(self.rng.permutation(n), steps):
+            self.step(near[part], far[part], symbol[part])
+        self.seen += n
 
     def noise(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Drawn classes of a batch; which tokens choose among several words; the words drawn for each."""
+        """Drawn classes of a batch; which tokens choose among several words; the words drawn for each, one row a draw."""
         v = self.v
         classes = np.minimum(np.searchsorted(self.draw, self.rng.random(DRAWS), "right"), v.classes - 1)
         c = v.class_of[symbol]
         some = np.flatnonzero(v.size[c] > 1)
         lo, hi = v.below[c[some]], v.below[c[some] + 1]
-        words = np.searchsorted(v.upto, lo[:, None] + self.rng.random((len(some), NOISE_WORDS)) * (hi - lo)[:, None], "right")
-        return classes, some, np.minimum(words, v.first[c[some] + 1][:, None] - 1)
-
-    def gradients(self, near: np.ndarray, far: np.ndarray, symbol: np.ndarray, classes: np.ndarray, some: np.ndarray, words: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each group of rows those touched, how often, and the ascent of the log-likelihood of telling observed from drawn."""
-        m, d = self.m, DIM
-        r1, r2, c1, c2 = m.r[near, :d], m.r[far, :d], m.c1[:, :d], m.c2[:, :d]
-        h = np.ones((len(symbol), d + 1), np.float32)  # the last column meets the biases
-        h[:, :d] = r1 @ c1 + r2 @ c2
+        words = np.searchsorted(v.upto, lo + self.rng.random((NOISE_WORDS, len(some))) * (hi - lo), "right")
+        return classes, some, np.minimum(words, v.first[c[some] + 1] - 1)
+
+    def gradients(self, near: np.ndarray, far: np.ndarray, symbol: np.ndarray, classes: np.ndarray, some: np.ndarray, words: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Of each group of rows those touched, how often, and the ascent of the log-likelihood of telling observed from drawn, of rows and of biases."""
+        m = self.m
+        # a context word's part of h is made once a batch, however often the word stands there
+        sides = [(Places(w), name) for w, name in ((near, "c1"), (far, "c2"))]
+        h = np.zeros((len(symbol), DIM), np.float32)
+        for p, name in sides:
+            h[p.order] += np.repeat(m.r[p.at] @ getattr(m, name), p.times, 0)
         c = self.v.class_of[symbol]
         own, drawn = m.q[c], m.q[classes]
-        up = unlikely(np.einsum("td,td->t", h, own) - self.shift[c])
+        up = unlikely(np.einsum("td,td->t", h, own) + (m.qb - self.shift)[c])
         down = h @ drawn.T
-        down -= self.shift[classes]
-        down = (unlikely(down) - 1) * np.float32(NOISE / DRAWS)
-        dh = up[:, None] * own + down @ drawn
-        at, times, dq = summed_rows(c, up[:, None] * h)
-        dense = np.zeros_like(m.q)
-        dense[at] = dq
-        np.add.at(dense, classes, down.T @ h)
-        touched = np.zeros(len(dense))
-        touched[at] = times
-        np.add.at(touched, classes, len(symbol) * NOISE / DRAWS)
-        out = {"q": (np.arange(len(dense)), touched, dense)}
+        down += (m.qb - self.shift)[classes]
+        down = unlikely(down)
+        down -= 1
+        down *= np.float32(NOISE / DRAWS)
+        dh = down @ drawn
+        own *= up[:, None]
+        dh += own
+        p = Places(c)
+        dq, db, times = np.zeros_like(m.q), np.zeros_like(m.qb), np.zeros(len(m.q))
+        dq[p.at], db[p.at], times[p.at] = p.sums(up[:, None] * h), p.sums(up), p.times
+        np.add.at(dq, classes, down.T @ h)
+        np.add.at(db, classes, down.sum(0))
+        np.add.at(times, classes, len(symbol) * NOISE / DRAWS)
+        out = {"q": (np.arange(len(dq)), times, dq, db)}
         if len(some):
             hs, x = h[some], symbol[some]
-            own, drawn = m.p[x], m.p[words]
-            up = unlikely(np.einsum("td,td->t", hs, own) - self.word_shift[x])
-            down = unlikely(np.einsum("td,tkd->tk", hs, drawn) - self.word_shift[words]) - 1
-            dh[some] += up[:, None] * own + np.einsum("tk,tkd->td", down, drawn)
-            weights = np.concatenate([up[:, None], down], 1)
-            out["p"] = summed_rows(np.concatenate([x[:, None], words], 1).ravel(), (weights[:, :, None] * hs[:, None, :]).reshape(-1, d + 1))
-        dh = dh[:, :d]
-        pad = lambda x: np.concatenate([x, np.zeros((len(x), 1), np.float32)], 1)
-        out["r"] = summed_rows(np.concatenate([near, far]), pad(np.concatenate([dh @ c1.T, dh @ c2.T])))
-        for k, r in (("c1", r1), ("c2", r2)):
-            out[k] = (np.arange(d), np.full(d, len(symbol)), pad(r.T @ dh))
+            every, weight = [x, *words], []
+            add = np.zeros_like(hs)
+            for k, w in enumerate(every):
+                row = m.p[w]
+                g = unlikely(np.einsum("td,td->t", hs, row) + (m.pb[w] - self.word_shift[w]))
+                if k:
+                    g -= 1
+                row *= g[:, None]
+                add += row
+                weight.append(g)
+            dh[some] += add
+            p, g = Places(np.concatenate(every)), np.concatenate(weight)
+            out["p"] = p.at, p.times, p.sums(np.concatenate([w[:, None] * hs for w in weight])), p.sums(g)
+        both = []
+        for p, name in sides:
+            sums, r, matrix = p.sums(dh), m.r[p.at], getattr(m, name)
+            out[name] = np.arange(DIM), np.full(DIM, len(symbol)), r.T @ sums, None
+            both.append((p.at, p.times, sums @ matrix.T))
+        p = Places(np.concatenate([x[0] for x in both]))
+        out["r"] = p.at, np.add.reduceat(np.concatenate([x[1] for x in both])[p.order], p.first), p.sums(np.concatenate([x[2] for x in both])), None
         return out
 
     def step(self, near: np.ndarray, far: np.ndarray, symbol: np.ndarray) -> None:
-        for name, (at, times, d) in self.gradients(near, far, symbol, *self.noise(symbol)).items():
-            rows, g = getattr(self.m, name), getattr(self.g, name)
-            g[at] = past = g[at] + d * d
-            rows[at] += self.rate * d / np.sqrt(past)
-            getattr(self.times, name)[at, 0] += times
+        for name, (at, times, d, bias) in self.gradients(near, far, symbol, *self.noise(symbol)).items():
+            for part, value in ((name, d), (name + "b", bias)):
+                if value is not None:
+                    rows, g = getattr(self.m, part), getattr(self.g, part)
+                    g[at] = past = g[at] + value * value
+                    rows[at] += self.rate * value / np.sqrt(past)
+            self.times[self.ends[name] + at] += times
 
 
 def pieces(texts: Iterator[tuple], size: int = CHUNK) -> Iterator[list[tuple]]:
@@ -356,81 +393,91 @@ def pieces(texts: Iterator[tuple], size: int = CHUNK) -> Iterator[list[tuple]]:
         yield held
 
 
-def train(docs: DataFrame, v: Vocabulary, shared, rounds: int = ROUNDS, share_tokens: int = SHARE_TOKENS) -> np.ndarray:
-    """The rows of a Model: averages over all tasks; docs has a column text. shared: the broadcast vocabulary."""
+def train(docs: DataFrame, v: Vocabulary, shared, rounds: int = ROUNDS, share_tokens: int = SHARE_TOKENS) -> Model:
+    """The average model of all tasks; docs has a column text. shared: the broadcast vocabulary."""
     spark = docs.sparkSession
-    rows = Model.start(v.prepare()).rows
+    model = Model.start(v.prepare())
     if not v.total:
-        return rows
+        return model
     texts = docs.select("text").coalesce(max(1, v.total // share_tokens))
+    biased = slice(v.symbols + 1, v.symbols + 1 + v.classes + v.words)
     for turn in range(rounds):
-        begun = spark.sparkContext.broadcast(rows)
+        begun = spark.sparkContext.broadcast((model.rows, model.biases))
 
         def run(batches: Iterator[pa.RecordBatch], begun=begun, turn=turn) -> Iterator[pa.RecordBatch]:
             part = TaskContext.get().partitionId()
             voc = shared.value.prepare()
-            learner, symbols = Learner(voc, begun.value, part, RATE / (1 + turn)), Symbols(voc)
+            learner, symbols = Learner(voc, Model(voc, *begun.value), part, RATE / (1 + turn)), Symbols(voc, voc.words)
             found = ((x,) for batch in batches for x in symbols.of(utf8(batch.column(0))))
             for piece in pieces(found):
                 with np.errstate(over="ignore"):  # exp() to infinity is a probability of 0
                     learner.learn(*windows([x[0] for x in piece], voc.symbols))
             if learner.seen:
-                times = learner.times.rows[:, 0].copy()
-                out = np.concatenate([learner.m.rows * times[:, None], times[:, None]], 1)
+                out = np.zeros((len(learner.m.rows), DIM + 2), np.float32)  # rows, biases, and how often a row was touched
+                out[:, :DIM], out[biased, DIM] = learner.m.rows, learner.m.biases
+                out *= learner.times[:, None]
+                out[:, DIM + 1] = learner.times
                 del learner
                 for at in range(0, len(out), MODEL_ROWS):
                     yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part], pa.int32()), pa.array([out[at : at + MODEL_ROWS].tobytes()], pa.binary())], names=["at", "part", "x"])
             release()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made = lambda at, x: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["at", "x"])
             now, total = None, None
             for batch in batches:
                 for at, x in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                     if at != now:
                         if now is not None:
-                            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["at", "x"])
+                            yield made(now, total)
                         now, total = at, 0.0
                     total = total + np.frombuffer(x.as_py(), np.float32).astype(np.float64)
             if now is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["at", "x"])
+                yield made(now, total)
 
         # in the order of tasks, so that the same sums come out
         sums = texts.mapInArrow(run, "at int, part int, x binary").repartition("at").sortWithinPartitions("at", "part").mapInArrow(add, "at int, x binary").toArrow()
-        whole = rows.astype(np.float64)
+        whole = np.zeros((len(model.rows), DIM + 2))
         for at, x in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True):
             got = np.frombuffer(x, np.float64).reshape(-1, DIM + 2)
-            touched = got[:, -1] > 0
-            whole[at : at + len(got)][touched] = got[touched, :-1] / got[touched, -1:]
-        rows = whole.astype(np.float32)
-    return rows
+            whole[at : at + len(got)] = got
+        touched = whole[:, -1] > 0
+        means = whole[touched, :-1] / whole[touched, -1:]
+        model.rows[touched] = means[:, :DIM]
+        both = np.zeros(len(model.rows), np.float32)
+        both[biased] = model.biases
+        both[touched] = means[:, DIM]
+        model.biases[:] = both[biased]
+    return model
 
 
 class Scorer:
     """Normalised log-probabilities of a model."""
 
-    def __init__(self, v: Vocabulary, rows: np.ndarray):
-        self.v, self.m = v, Model(v, rows)
-        self.near, self.far = (self.m.r[:, :DIM] @ c[:, :DIM] for c in (self.m.c1, self.m.c2))
+    def __init__(self, v: Vocabulary, model: Model):
+        self.v, self.m = v, model
+        self.near, self.far = model.r @ model.c1, model.r @ model.c2
 
     def log_probabilities(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Natural logs; a row of a matrix product for each distinct context, and for each token that is one of a class."""
         v, m = self.v, self.m
         own, which = np.unique(context, return_inverse=True)
-        h = np.ones((len(own), DIM + 1), np.float32)
-        h[:, :DIM] = self.near[own // (v.symbols + 1)] + self.far[own % (v.symbols + 1)]
+        near, far = np.divmod(own, v.symbols + 1)
+        h = self.near[near]
+        h += self.far[far]
         out, c = np.empty(len(symbol)), v.class_of[symbol]
         order = np.argsort(which, kind="stable")
         ends = np.searchsorted(which[order], np.arange(0, len(own) + ROWS, ROWS))
         for k, lo in enumerate(range(0, len(own), ROWS)):
             mine = order[ends[k] : ends[k + 1]]
-            out[mine] = chosen(h[lo : lo + ROWS] @ m.q.T, which[mine] - lo, c[mine])
+            out[mine] = chosen(h[lo : lo + ROWS], m.q, m.qb, which[mine] - lo, c[mine])
         some = np.flatnonzero(v.size[c] > 1)
-        some = some[np.argsort(c[some], kind="stable")]
+        some = some[np.argsort(c[some].astype(np.uint16), kind="stable")]
         for lo, hi in zip(*bounds_of(c[some]), strict=True):
             first, last = v.first[c[some[lo]]], v.first[c[some[lo]] + 1]
             for at in range(lo, hi, ROWS):
                 mine = some[at : min(hi, at + ROWS)]
-                out[mine] += chosen(h[which[mine]] @ m.p[first:last].T, np.arange(len(mine)), symbol[mine] - first)
+                out[mine] += chosen(h[which[mine]], m.p[first:last], m.pb[first:last], np.arange(len(mine)), symbol[mine] - first)
         return out
 
 
@@ -439,13 +486,17 @@ def bounds_of(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first, len(sorted_))[1:]
 
 
-def chosen(scores: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row of scores, at some places."""
-    top = scores.max(1)
-    at = scores[row, column]
-    scores -= top[:, None]
-    np.exp(scores, out=scores)
-    return at - (top + np.log(scores.sum(1)))[row]
+def chosen(h: np.ndarray, rows: np.ndarray, biases: np.ndarray, at: np.ndarray, output: np.ndarray) -> np.ndarray:
+    """Log-softmax over the outputs (rows, biases) of the contexts h, at some places."""
+    scores = h @ rows.T
+    scores += biases
+    own = scores[at, output]
+    with np.errstate(over="ignore"):
+        total = np.exp(scores).sum(1)
+    if total.min() > 1e-30 and total.max() < 1e30:
+        return own - np.log(total)[at]
+    top = scores.max(1)  # beyond the range of exp()
+    return own - (top + np.log(np.exp(scores - top[:, None]).sum(1)))[at]
 
 
 OUT = "rid long, word binary, times int, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -470,46 +521,36 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
         voc = scorer.v
         base_log = math.log10(voc.total + voc.types + 1)
         log10 = math.log(10)
+        reader = Symbols(voc, len(voc.head))
+        known = np.append(voc.log_count, 0.0)  # the last: of what is not in the head, or the end where nothing was taught
         for batch in batches:
-            ids = batch.column(1)
-            texts = ((k, *voc.ids(t)) for k, t in enumerate(utf8(batch.column(3))))
-            for piece in pieces(texts, CHUNK // 4):
-                lengths = np.array([len(x[3]) for x in piece])
-                firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                symbols = np.concatenate([x[3] for x in piece])
-                ranks = np.concatenate([x[2] for x in piece])
-                logs = scorer.log_probabilities(*windows([x[3] for x in piece], voc.symbols)) / log10
-                in_head = ranks >= 0
-                count_log = np.zeros(len(ranks))
-                if len(voc.log_count):
-                    count_log[in_head] = voc.log_count[ranks[in_head]]
+            for first, part in chunks(utf8(batch.column(3)), SCORED_BYTES):
+                hashes, ranks, symbols, lengths = reader.read(part)
+                begins = np.cumsum(lengths) - lengths
+                logs = scorer.log_probabilities(*windows(np.split(symbols, begins[1:]), voc.symbols)) / log10
+                count_log = known[ranks]
                 rare = symbols >= voc.words
                 logs[rare] += count_log[rare] - voc.log_tail[symbols[rare] - voc.words]
-                at = [x[0] for x in piece]
-                rid = batch.column(0).take(pa.array(at))
-                tail: list[tuple[int, bytes, int]] = []
-                for j, x in enumerate(piece):
-                    away = np.flatnonzero(x[2] < 0)
-                    if len(away):
-                        tail += [(j, w, n) for w, n in Counter(x[1][i] for i in away).items()]
-                which = [j for j, *_ in tail]
-                n = len(piece)
-                lone = lambda values, kind, n=len(tail): pa.concat_arrays([pa.array(values, kind), pa.nulls(n, kind)])
+                which, words, times = reader.tail(hashes, ranks, lengths)
+                own, n = batch.slice(first, len(part)), len(part)
+                rid = own.column(0)
+                lone = lambda values, kind, n=len(words): pa.concat_arrays([pa.array(values, kind), pa.nulls(n, kind)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([rid, rid.take(pa.array(which, pa.int64()))]),
+                        pa.concat_arrays([rid, rid.take(pa.array(which))]),
                         # the key of a text's own row is no word and differs from row to row
-                        pa.array([b" %d" % i for i in rid.to_pylist()] + [w for _, w, _ in tail], pa.binary()),
-                        pa.array([0] * n + [k for *_, k in tail], pa.int32()),
-                        pa.concat_arrays([ids.take(pa.array(at)), pa.nulls(len(tail), ids.type)]),
-                        pa.concat_arrays([batch.column(2).take(pa.array(at)), pa.nulls(len(tail), pa.bool_())]),
+                        pa.array([b" %d" % i for i in rid.to_pylist()] + words, pa.binary()),
+                        pa.concat_arrays([pa.array(np.zeros(n, np.int32)), pa.array(times, pa.int32())]),
+                        pa.concat_arrays([own.column(1), pa.nulls(len(words), own.column(1).type)]),
+                        pa.concat_arrays([own.column(2), pa.nulls(len(words), pa.bool_())]),
                         lone(lengths, pa.int64()),
-                        lone(np.add.reduceat((in_head & (voc.log_count[ranks] > 0 if len(voc.log_count) else False)).astype(np.int64), firsts), pa.int64()),
-                        lone(np.add.reduceat(count_log, firsts) - lengths * base_log, pa.float64()),
-                        lone(np.add.reduceat(logs, firsts), pa.float64()),
+                        lone(np.add.reduceat((ranks >= 0).astype(np.int64), begins), pa.int64()),
+                        lone(np.add.reduceat(count_log, begins) - lengths * base_log, pa.float64()),
+                        lone(np.add.reduceat(logs, begins), pa.float64()),
                     ],
                     names=[x.split()[0] for x in schema.split(", ")],
                 )
+        release()
 
     scored = rows.mapInArrow(run, schema)
     rest = counts.filter((step_of(F.col("n")) <= v.cut) & (F.col("word") != END))

@@ -83,9 +83,10 @@ def test_probabilities_sum_to_one(spark):
         p = np.exp(scorer.log_probabilities(np.full(v.symbols, context), every))
         assert abs(p.sum() - 1) < 1e-5
     # inside a tail class: all seen words and one place for unseen ones
+    rank = {w: i for i, w in enumerate(v.head)}
     for c, (n, k) in v.by_tail.items():
         inside = [w for w in v.head[v.words :] if lm.class_of(w, 4) == c]
-        total = sum((v.counts[v.rank[w]] + 1) / 10 ** v.log_tail[c] for w in inside) + 1 / 10 ** v.log_tail[c]
+        total = sum((v.counts[rank[w]] + 1) / 10 ** v.log_tail[c] for w in inside) + 1 / 10 ** v.log_tail[c]
         assert len(inside) == k and abs(total - 1) < 1e-9, (c, n)
 
 
@@ -96,6 +97,7 @@ def test_scores_match_a_plain_computation(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(lm, "Scorer", lambda v, m: kept.setdefault("scorer", scorer(v, m)))
     got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs(spark, rows)).collect()}
     v, m = kept["scorer"].v, kept["scorer"].m
+    rank = {w: i for i, w in enumerate(v.head)}
     counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*lm.tokens_of((t or "").encode()), b"\n"])
     assert v.words == sum(n >= lm.MIN_COUNT for n in counts.values()) > 20 and v.total == counts.total()
     size = Counter(lm.class_of(w) for w in counts if w not in v.head[: v.words])
@@ -111,13 +113,14 @@ def test_scores_match_a_plain_computation(spark, sf_dir, monkeypatch):
         near = far = v.symbols
         total = 0.0
         for w in [*lm.tokens_of((t or "").encode())[:400], b"\n"] if len((t or "").split()) <= 400 else []:
-            place = v.rank.get(w, -1)
+            place = rank.get(w, -1)
             symbol = place if 0 <= place < v.words else v.words + lm.class_of(w)
-            h = [*(m.r[near, : lm.DIM].astype(float) @ m.c1[:, : lm.DIM] + m.r[far, : lm.DIM].astype(float) @ m.c2[:, : lm.DIM]), 1.0]
+            h = m.r[near].astype(float) @ m.c1 + m.r[far].astype(float) @ m.c2
             cls = next((c for c in range(v.n_word_classes) if v.first[c] <= symbol < v.first[c + 1]), v.n_word_classes + symbol - v.words)
-            total += log_softmax([float(np.dot(h, q)) for q in m.q], cls)
+            total += log_softmax([float(np.dot(h, q) + b) for q, b in zip(m.q, m.qb, strict=True)], cls)
             if symbol < v.words:
-                total += log_softmax([float(np.dot(h, q)) for q in m.p[v.first[cls] : v.first[cls + 1]]], symbol - v.first[cls])
+                span = slice(v.first[cls], v.first[cls + 1])
+                total += log_softmax([float(np.dot(h, q) + b) for q, b in zip(m.p[span], m.pb[span], strict=True)], symbol - v.first[cls])
             else:
                 c = lm.class_of(w)
                 total += math.log((counts[w] + 1) / (tokens[c] + size[c] + 1))
@@ -129,35 +132,40 @@ def test_scores_match_a_plain_computation(spark, sf_dir, monkeypatch):
 def test_training_climbs_the_contrast_of_observed_and_drawn(spark):
     rows = [(i, "a b c a b d e " + " ".join(f"w{k}" for k in range(i % 9))) for i in range(40)]
     v = lm.vocabulary(lm.counted(docs(spark, rows).select("text")), min_count=20, tail=4, word_classes=3).prepare()
-    learner = lm.Learner(v, lm.Model.start(v).rows.astype(np.float64), 1)
+    start = lm.Model.start(v)
+    learner = lm.Learner(v, lm.Model(v, start.rows.astype(np.float64), start.biases.astype(np.float64)), 1)
     rng = np.random.default_rng(2)
     near, far, symbol = rng.integers(0, v.symbols + 1, 50), rng.integers(0, v.symbols + 1, 50), rng.integers(0, v.symbols, 50)
     classes, some, words = learner.noise(symbol)
-    assert all(v.class_of[w] == v.class_of[symbol[t]] for t, drawn in zip(some, words, strict=True) for w in drawn)
+    assert len(some) > 5 and all(v.class_of[w] == v.class_of[symbol[t]] for t, drawn in zip(some, words.T, strict=True) for w in drawn)
 
     def objective():
-        m, total, log_odds = learner.m, 0.0, lambda s, shift: s - shift
+        m, total = learner.m, 0.0
         for t, (a, b, x) in enumerate(zip(near, far, symbol, strict=True)):
-            h = np.append(m.r[a, : lm.DIM] @ m.c1[:, : lm.DIM] + m.r[b, : lm.DIM] @ m.c2[:, : lm.DIM], 1.0)
-            c = v.class_of[x]
-            total -= math.log1p(math.exp(-log_odds(h @ m.q[c], learner.shift[c])))
-            total -= sum(math.log1p(math.exp(log_odds(h @ m.q[k], learner.shift[k]))) for k in classes) * lm.NOISE / lm.DRAWS
+            h = m.r[a] @ m.c1 + m.r[b] @ m.c2
+            odds = lambda k: h @ m.q[k] + m.qb[k] - learner.shift[k]  # noqa: E731, B023
+            of_word = lambda w: h @ m.p[w] + m.pb[w] - learner.word_shift[w]  # noqa: E731, B023
+            total -= math.log1p(math.exp(-odds(v.class_of[x])))
+            total -= sum(math.log1p(math.exp(odds(k))) for k in classes) * lm.NOISE / lm.DRAWS
             if t in some:
-                total -= math.log1p(math.exp(-log_odds(h @ m.p[x], learner.word_shift[x])))
-                total -= sum(math.log1p(math.exp(log_odds(h @ m.p[w], learner.word_shift[w]))) for w in words[list(some).index(t)])
+                total -= math.log1p(math.exp(-of_word(x)))
+                total -= sum(math.log1p(math.exp(of_word(w))) for w in words[:, list(some).index(t)])
         return total
 
-    for name, (at, _, d) in learner.gradients(near, far, symbol, classes, some, words).items():
-        rows_ = getattr(learner.m, name)
+    def slope(values, *at):
+        old = values[at]
+        values[at] = old + 1e-4
+        up = objective()
+        values[at] = old - 1e-4
+        down = objective()
+        values[at] = old
+        return (up - down) / 2e-4
+
+    for name, (at, _, d, bias) in learner.gradients(near, far, symbol, classes, some, words).items():
         for k in rng.integers(0, len(at), 6):
-            j = int(rng.integers(0, lm.DIM + (name in "qp")))
-            old = rows_[at[k], j]
-            rows_[at[k], j] = old + 1e-4
-            up = objective()
-            rows_[at[k], j] = old - 1e-4
-            slope = (up - objective()) / 2e-4
-            rows_[at[k], j] = old
-            assert abs(slope - d[k, j]) < 1e-3 * max(1, abs(slope)), (name, at[k], j, slope, d[k, j])
+            j = int(rng.integers(0, lm.DIM))
+            assert abs(slope(getattr(learner.m, name), at[k], j) - d[k, j]) < 1e-3 * max(1, abs(d[k, j])), (name, at[k], j)
+            assert bias is None or abs(slope(getattr(learner.m, name + "b"), at[k]) - bias[k]) < 1e-3 * max(1, abs(bias[k])), (name, at[k])
 
 
 def test_many_partitions_teach_as_much_as_one(spark, sf_dir):

@@ -25,7 +25,7 @@ from tagmill.llm.wordhash import PLAIN_WORDS, Hasher, chunks, grams, utf8
 
 BITS = 20
 TRAIN_ROWS = 20_000
-TRAIN_BYTES = 64 << 20
+TRAIN_BYTES = 32 << 20
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Bytes of the word beginnings that count as features of their own: forms of a word that were never seen share them.
@@ -79,22 +79,25 @@ class Ftrl:
         self.n[at] = more
 
 
-def batches_of(rows: list[np.ndarray], labels: list[float]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def batch_of(rows: list[np.ndarray], labels: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What Ftrl.learn takes, made once for all epochs."""
-    out = []
-    for lo in range(0, len(rows), BATCH):
-        part = [np.append(x, 1 << BITS) for x in rows[lo : lo + BATCH]]
-        at, which = np.unique(np.concatenate(part), return_inverse=True)
-        owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
-        out.append((at.astype(np.int32), which.astype(np.int32), owner.astype(np.int16), np.array(labels[lo : lo + BATCH])))
-    return out
-
-
-def fit(rows: list[np.ndarray], labels: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and weights of the features that matter, the bias last. rows: distinct features of each text."""
+    part = [np.append(x, np.int32(1 << BITS)) for x in rows]
+    at, which = np.unique(np.concatenate(part), return_inverse=True)
+    return at, which.astype(np.int32), np.repeat(np.arange(len(part), dtype=np.int8), [len(x) for x in part]), np.array(labels)
+
+
+def fit(rows: Iterator[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and weights of the features that matter, the bias last. rows: distinct features and label of each text."""
+    made, held = [], []
+    for row in rows:
+        held.append(row)
+        if len(held) == BATCH:
+            made.append(batch_of(*map(list, zip(*held, strict=True))))
+            held = []
+    if held:
+        made.append(batch_of(*map(list, zip(*held, strict=True))))
     model = Ftrl(1 << BITS)
-    made = batches_of(rows, labels)
-    for _ in range(EPOCHS):
+    for _ in range(EPOCHS if made else 0):
         for batch in made:
             model.learn(*batch)
     w = model.weights(slice(None))
@@ -146,21 +149,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     mask[often.column(0).to_numpy()] = True
     keep = docs.sparkSession.sparkContext.broadcast(mask)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[np.ndarray] = []
-        known: list[float] = []
+    def rows_of(values: pa.ListArray) -> Iterator[np.ndarray]:
+        ends, at = values.offsets.to_numpy(), values.values.to_numpy()
+        return (at[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ends, at = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
-            rows += [x[keep.value[x]] for x in (at[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True))]
-            known += b.column(0).to_pylist()
-        if not rows:
-            return
-        at, w = fit(rows, known)
-        del rows
+            rows = [x[keep.value[x]] for x in rows_of(b.column(3))]
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]), pa.int32()))], names=["place", "tie", "label", "at"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, w = fit(row for b in batches for row in zip(rows_of(b.column(1)), b.column(0).to_pylist(), strict=True))
         release()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["at", "weight"])
 
-    ordered = made.repartition(1).sortWithinPartitions("place", "tie", "label").select("label", "at")
+    ordered = made.mapInArrow(sift, made.schema).repartition(1).sortWithinPartitions("place", "tie", "label").select("label", "at")
     model = ordered.mapInArrow(learn, "at long, weight double").toArrow()
     return model.column(0).to_numpy(), model.column(1).to_numpy()
 

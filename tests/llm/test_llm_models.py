@@ -242,10 +242,10 @@ def test_rare_toxic_words_have_weights_and_the_cutoff_changes_nothing():
     texts, labels = map(list, zip(*rows, strict=True))
     every = features_of(texts)
     held = np.bincount(np.concatenate(every), minlength=1 << toxicity.BITS)
-    at, w = toxicity.fit([x[held[x] >= toxicity.MIN_TEXTS] for x in every], labels)
+    at, w = toxicity.fit(zip([x[held[x] >= toxicity.MIN_TEXTS] for x in every], labels, strict=True))
     got, y = toxicity.scores((at, w), texts), np.array(labels)
     assert (got[y == 1] >= 0.3).all() and (got[y == 0] < 0.3).all()
-    whole, weight = toxicity.fit(every, labels)
+    whole, weight = toxicity.fit(zip(every, labels, strict=True))
     assert at.tolist() == whole.tolist() and np.allclose(w, weight)
 
 

@@ -42,6 +42,11 @@ def breakdown(rows: DataFrame) -> DataFrame:
     return rows.filter(is_failed("label")).groupBy(failure_type("label").alias("failure_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def ranked(breakdown_: DataFrame) -> DataFrame:
+    """A breakdown (six types at most) with the place of each: the most frequent first, ties by name."""
+    return breakdown_.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "failure_type")))
+
+
 def convergence(before: DataFrame, after: DataFrame) -> DataFrame:
     """failure_type, n_before, n_after of the types whose number changed; the arguments are breakdowns."""
     a, b = before.withColumnRenamed("n", "n_before"), after.withColumnRenamed("n", "n_after")

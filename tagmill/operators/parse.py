@@ -67,6 +67,12 @@ def _confidence(v: Column) -> Column:
     return F.when(F.abs(plain) == float("inf"), plain).otherwise(F.signum(plain) * F.floor(F.abs(plain)))
 
 
+def quoted(text: Column) -> Column:
+    """As a JSON string; null stays null."""
+    made = F.to_json(F.struct(text.alias("s")))
+    return F.when(text.isNotNull(), F.substring(made, F.lit(6), F.length(made) - 6))
+
+
 def parse(df: DataFrame, categories: list[str], threshold: int, raw: str = "raw_response") -> DataFrame:
     """df with the columns of RESULT, in place of any that it has by these names."""
     cats = F.array(*map(F.lit, categories)).cast("array<string>")
@@ -125,7 +131,9 @@ def parse(df: DataFrame, categories: list[str], threshold: int, raw: str = "raw_
     strange = F.array_join(F.filter("_names", lambda x: x.startswith(UNMATCHED)), "; ")
     notes = F.array_compact(F.array(F.when(F.size(changed) > 0, F.concat(F.lit("fuzzy_corrected: "), fixed)), F.when(strange != "", F.concat(F.lit("unmatched: "), strange))))
     status = F.when(F.size(notes) == 0, F.lit("ok")).otherwise(F.array_join(notes, "; "))
-    detail = F.to_json(F.transform("_sorted", lambda x: F.struct(x["name"].alias("name"), x.conf.try_cast("int").alias("confidence"), x.reason.alias("reason"), x.exact_match.alias("exact_match"), x.original_name.alias("original_name"))), {"ignoreNullFields": "false"})
+    fields = lambda x: (("name", quoted(x["name"])), ("confidence", x.conf.try_cast("int").cast("string")), ("reason", quoted(x.reason)), ("exact_match", x.exact_match.cast("string")), ("original_name", quoted(x.original_name)))
+    entry = lambda x: F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{k}": '), F.coalesce(v, F.lit("null"))) for k, v in fields(x))), F.lit("}"))
+    detail = F.concat(F.lit("["), F.array_join(F.transform("_sorted", entry), ", "), F.lit("]"))
     plain = F.coalesce(F.col(raw), F.lit(""))
     whole = F.to_json("_v")
     # what Python can't iterate over, and numbers it can't make whole, are exceptions of the item

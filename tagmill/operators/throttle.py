@@ -21,12 +21,19 @@ def micros(ts: Column) -> Column:
 def sliding_window(events: DataFrame, ts: str, seconds: float, tokens: str | None = None, by: list[str] | None = None) -> DataFrame:
     """events with n_window and tokens_window: what lies in the half-open window that ends with the event.
 
-    An event leaves when its age reaches the window. Events of one instant see each other. by: independent limiters,
-    each a partition; one global limiter is one sequence by nature."""
-    at = events.withColumn("_us", micros(F.col(ts)))
-    span = Window.partitionBy(*([F.col(c) for c in by] if by else [F.lit(0)])).orderBy("_us").rangeBetween(1 - int(seconds * 1e6), Window.currentRow)
-    weight = F.col(tokens) if tokens else F.lit(0)
-    return at.withColumns({"n_window": F.count(F.lit(1)).over(span), "tokens_window": F.sum(weight).over(span)}).drop("_us")
+    An event leaves when its age reaches the window. Events of one instant see each other. by: independent limiters. Time is
+    cut into spans as long as the window; an event counts in its own span and in the next, so each span of each limiter is
+    a partition and a single limiter over all events is many tasks."""
+    width = int(seconds * 1e6)
+    keys = [F.col(c) for c in by] if by else []
+    packed = events.select(F.struct("*").alias("_row"), *(k.alias(f"_k{i}") for i, k in enumerate(keys)), micros(F.col(ts)).alias("_us"), (F.col(tokens) if tokens else F.lit(0)).alias("_tokens"))
+    span = F.floor(F.col("_us") / F.lit(width)).cast("long")
+    # a null instant is in no window but that of its own kind
+    there = packed.withColumn("_own", span).withColumn("_span", F.explode(F.when(F.col("_own").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(F.col("_own"), F.col("_own") + 1))))
+    there = there.withColumn("_row", F.when(F.col("_own").eqNullSafe(F.col("_span")), F.col("_row")))
+    window = Window.partitionBy(*(f"_k{i}" for i in range(len(keys))), "_span").orderBy("_us").rangeBetween(1 - width, Window.currentRow)
+    seen = there.withColumns({"_n": F.count(F.lit(1)).over(window), "_t": F.sum("_tokens").over(window)}).filter("_row IS NOT NULL")
+    return seen.select("_row.*", F.col("_n").alias("n_window"), F.col("_t").alias("tokens_window"))
 
 
 def cycle(ts: Column, anchor: Column, seconds: float) -> Column:

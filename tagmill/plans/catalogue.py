@@ -5,7 +5,7 @@ results from the kind, not by parsing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagmill.backends import answered, replay
@@ -103,6 +103,51 @@ def failure_flags(spark, sf_dir):
     return p.select("k", failures.is_failed("label").alias("failed"), failures.category("label", "confidence_detail").alias("category"), failures.failure_type("label").alias("failure_type"))
 
 
+def confidence_detail(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("k", "confidence_detail")
+
+
+def json_repair(spark, sf_dir):
+    """Responses damaged in five ways, whole again."""
+    items = _items(spark, sf_dir)
+    good = F.concat(F.lit('{"labels": [{"name": "'), F.col("c"), F.lit('", "confidence": '), F.col("conf").cast("string"), F.lit("}]}"))
+    d = F.col("k") % 5
+    raw = (
+        F.when(d == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+        .when(d == 1, F.concat(F.lit("Here it is: "), good, F.lit(" as asked.")))
+        .when(d == 2, F.replace(good, F.lit("}]}"), F.lit("},]}")))
+        .when(d == 3, F.replace(good, F.lit('"'), F.lit("'")))
+        .otherwise(F.replace(good, F.lit("]}"), F.lit("")))
+    )
+    made = parse(replay(items.select(*KEYS, raw.alias("raw_response")))(items), CATEGORIES, THRESHOLD)
+    return made.select("k", "label", "confidence", "is_low_confidence", "parse_status")
+
+
+def failure_ranks(spark, sf_dir):
+    """The breakdown as a report lists it: the most frequent type first, ties by name."""
+    return failures.ranked(failures.breakdown(_parsed(spark, sf_dir)))
+
+
+def label_ranks(spark, sf_dir):
+    """The labels as a report lists them."""
+    return report.label_distribution(_validated(spark, sf_dir), CATEGORIES).select("label", "n", F.row_number().over(Window.orderBy(F.desc("n"), "label")).alias("place"))
+
+
+def retry_streaks(spark, sf_dir):
+    """Streaks carried over from two rounds to the third, and who has had enough tries."""
+    a = _attempts(spark, sf_dir)
+    carried = failures.next_streaks(failures.streaks(a.filter("round <= 2")).filter("streak > 0"), a.filter("round = 3"))
+    last = failures.with_streak(a.filter("round = 3"), carried)
+    return last.select("k", "streak", (failures.is_failed("label") & failures.exhausted()).alias("exhausted"))
+
+
+def retry_file(spark, sf_dir):
+    """What a retry writes back: successes, then failures, each in the order of the input."""
+    good, bad = merge.split(_attempts(spark, sf_dir).filter("round = 1").withColumn("ord", F.col("k")))
+    rows = merge.written_order(good, bad)
+    return rows.select("k", "label", F.col("ord._part").alias("part"), F.col("ord.ord").alias("place"))
+
+
 def failure_breakdown(spark, sf_dir):
     return failures.breakdown(_parsed(spark, sf_dir))
 
@@ -183,7 +228,8 @@ def resume_todo(spark, sf_dir):
 
 
 def append_merge(spark, sf_dir):
-    results = _documents(spark, sf_dir).filter("doc_id % 2 = 0").select(*KEYS, F.lit("new").alias("label"), F.col("doc_id").alias("seq"))
+    toxic = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    results = _documents(spark, sf_dir).join(toxic, "doc_id", "left_semi").select(*KEYS, F.lit("new").alias("label"), F.col("doc_id").alias("seq"))
     return merge.with_history(results, _known(spark, sf_dir)).select(F.col("seq").alias("doc_id"), "label")
 
 
@@ -301,6 +347,11 @@ def sliding_window_audit(spark, sf_dir):
     return throttle.sliding_window(events, "ts", 86400, tokens="tokens", by=["user_id"]).select("event_id", "n_window", "tokens_window")
 
 
+def sliding_window_all(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").withColumn("tokens", F.col("event_id") % 100)
+    return throttle.sliding_window(events, "ts", 3600, tokens="tokens").select("event_id", "n_window", "tokens_window")
+
+
 def cycle_usage(spark, sf_dir):
     status = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "view", "reserved").otherwise("failed")
     return throttle.cycle_usage(_table(spark, sf_dir, "events").withColumn("status", status), "ts", "status", 21600)
@@ -325,7 +376,7 @@ _QUERIES = (
     dedup_first, dedup_summary, head_n, random_n, identity_keys, prompt_render, parse_responses, validate_fuzzy, extract_valid, post_validate,
     post_validate_audit, failure_flags, failure_breakdown, report_summary, report_confidence_hist, report_multilabel, report_labels, report_low_conf,
     resume_hits, resume_todo, append_merge, compare_labels, compare_diff, compare_summary, semantic_streak, retry_eligible, retry_merge, convergence,
-    run_stats, max_retries_item, sliding_window_audit, cycle_usage, admission_schedule,
+    run_stats, max_retries_item, sliding_window_audit, cycle_usage, admission_schedule, sliding_window_all, confidence_detail, json_repair, failure_ranks, label_ranks, retry_streaks, retry_file,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -355,7 +406,7 @@ ORACLES = {
     "report_low_conf": _PARSED + "SELECT key_text, key_context, label, confidence, parse_status FROM validated WHERE is_low_confidence = 'yes'",
     "resume_hits": _KNOWN + "SELECT doc_id, 'old' AS label FROM known",
     "resume_todo": _KNOWN + "SELECT d.doc_id FROM docs d LEFT JOIN known k ON k.text = d.text AND k.source = d.source WHERE d.i = 1 AND k.doc_id IS NULL",
-    "append_merge": _KNOWN + """, new AS (SELECT text, source, doc_id FROM docs WHERE i = 1 AND doc_id % 2 = 0)
+    "append_merge": _KNOWN + """, new AS (SELECT text, source, doc_id FROM docs WHERE i = 1 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
       SELECT doc_id, 'new' AS label FROM new UNION ALL SELECT k.doc_id, 'old' FROM known k LEFT JOIN new n ON n.text = k.text AND n.source = k.source WHERE n.doc_id IS NULL""",
     "compare_labels": _COMPARED + "SELECT k, old AS compare_old_label, label, same AS compare_is_match FROM judged",
     "compare_diff": _COMPARED + "SELECT key_text, key_context, old AS compare_old_label, label, confidence, parse_status FROM judged WHERE same = 'no'",
@@ -376,6 +427,21 @@ ORACLES = {
       FROM (SELECT key_text, k, CASE WHEN k % 7 = 0 THEN k % 5 ELSE 0 END AS n FROM items) ORDER BY n DESC, k LIMIT 1""",
     "sliding_window_audit": """SELECT event_id, count(*) OVER w AS n_window, CAST(sum(event_id % 100) OVER w AS BIGINT) AS tokens_window FROM events
       WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)""",
+    "sliding_window_all": """SELECT event_id, count(*) OVER w AS n_window, CAST(sum(event_id % 100) OVER w AS BIGINT) AS tokens_window FROM events
+      WINDOW w AS (ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)""",
+    "confidence_detail": _PARSED + """, one AS (SELECT *, '{"name": "' || c || '", "confidence": ' || conf || ', "reason": "", "exact_match": true, "original_name": null}' AS e FROM items)
+      SELECT k, CASE b WHEN 1 THEN '[' || CASE WHEN conf >= 96 THEN e || ', ' ELSE '' END || '{"name": "' || o || '", "confidence": 96, "reason": "", "exact_match": true, "original_name": null}' || CASE WHEN conf < 96 THEN ', ' || e ELSE '' END || ']'
+        WHEN 2 THEN '[' || e || ', ' || e || ']'
+        WHEN 3 THEN '[{"name": "' || c || '", "confidence": ' || conf || ', "reason": "", "exact_match": false, "original_name": "' || substr(c, 1, length(c) - 1) || '"}]'
+        WHEN 4 THEN '[{"name": "UNKNOWN", "confidence": ' || conf || ', "reason": "", "exact_match": false, "original_name": "UNKNOWN"}]'
+        WHEN 5 THEN '[{"name": "UNKNOWN", "confidence": 99, "reason": "", "exact_match": false, "original_name": "UNKNOWN"}, {"name": "' || c || '", "confidence": 99, "reason": "", "exact_match": true, "original_name": null}]'
+        WHEN 6 THEN '{"labels":[]}' WHEN 7 THEN '{"error":"timeout"}' WHEN 9 THEN '[{"name": "' || c || '", "confidence": 95, "reason": "", "exact_match": true, "original_name": null}]' WHEN 11 THEN '123' ELSE '[' || e || ']' END AS confidence_detail FROM one""",
+    "json_repair": _PARSED + "SELECT k, c AS label, CAST(conf AS INTEGER) AS confidence, CASE WHEN conf >= 60 THEN 'no' ELSE 'yes' END AS is_low_confidence, 'ok' AS parse_status FROM items",
+    "failure_ranks": _PARSED + """SELECT failure_type, n, row_number() OVER (ORDER BY n DESC, failure_type) AS place FROM (SELECT CASE b WHEN 6 THEN 'unclassified' WHEN 7 THEN 'api_error' WHEN 11 THEN 'parse_error' ELSE 'unmatched' END AS failure_type, count(*) AS n
+      FROM parsed WHERE b IN (4, 5, 6, 7, 11) GROUP BY 1)""",
+    "label_ranks": _PARSED + "SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS place FROM named GROUP BY label",
+    "retry_streaks": _ATTEMPTS + """SELECT kind.k, streak, failed AND semantic AND streak >= 2 AS exhausted FROM kind JOIN streak USING (k) WHERE round = 3""",
+    "retry_file": _ATTEMPTS + "SELECT k, label, CASE WHEN failed THEN 1 ELSE 0 END AS part, k AS place FROM kind WHERE round = 1",
     "cycle_usage": """SELECT cycle, count(*) FILTER (event_type = 'purchase') AS n_success, count(*) FILTER (event_type = 'view') AS n_reserved, count(*) FILTER (event_type IN ('purchase', 'view')) AS n_counted
       FROM (SELECT event_type, 1 + (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 21600000000 AS cycle FROM events) GROUP BY cycle""",
     "admission_schedule": "SELECT event_id, CAST((event_id // 3) * 1.5 AS DOUBLE) AS admitted_at FROM events",

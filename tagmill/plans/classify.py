@@ -42,12 +42,13 @@ def commit_in_chunks(items: DataFrame, backend: Backend, settings: Settings, led
     """Classifies what the ledger lacks, a chunk a commit; returns the number of rows committed.
 
     Chunks are cut by a hash of the item, so each is a filter on the items and no chunk is collected. A stop between chunks
-    loses nothing; a crash loses the chunk that was under way."""
+    loses nothing; a crash loses the chunk that was under way. Every chunk's limiters begin empty, so where calls are limited a
+    chunk begins a window's length after the one before ended."""
     n = items.count()
     size = max(1, plan.chunk)
     parts = max(1, -(-n // size))
     budget = budget or CycleBudget(plan.cycle_seconds, plan.cycle_calls, ledger.metadata_of("cycle.json"))
-    done, began = 0, time.time()
+    done, began, ended = 0, time.time(), None
     for k in range(parts):
         part = items if parts == 1 else items.filter(F.pmod(F.xxhash64(*KEYS), F.lit(parts)) == k)
         while True:  # a chunk above the cycle's budget goes in pieces
@@ -59,12 +60,15 @@ def commit_in_chunks(items: DataFrame, backend: Backend, settings: Settings, led
                 sleep(budget.wait())
                 continue
             some = part.orderBy(*KEYS).limit(free) if plan.cycle_calls else part
+            if plan.per_task and ended is not None and (rest := plan.seconds - (time.time() - ended)) > 0:
+                sleep(rest)
             seq = ledger.next_seq()
             count = some.count() if plan.cycle_calls else 0
             cycle = budget.reserve(count)
             if plan.cycle_calls:
                 ledger.write_metadata_of("cycle.json", budget.state)
             ledger.append(classify(some, backend, settings), seq)
+            ended = time.time()
             new = ledger.read().filter(F.col("seq") == seq)
             got = new.agg(F.count(F.lit(1)).alias("n"), F.count_if(~is_failed("label")).alias("ok")).first()
             done += got["n"]

@@ -24,7 +24,8 @@ log = logging.getLogger("tagmill")
 
 
 def counts(rows: DataFrame) -> dict[str, int]:
-    return {r["failure_type"]: r["n"] for r in failures.breakdown(rows).collect()}  # six types at most
+    """The most frequent type first."""
+    return {r["failure_type"]: r["n"] for r in failures.ranked(failures.breakdown(rows)).orderBy("place").collect()}  # six types at most
 
 
 def round_of(failed: DataFrame, streak: DataFrame, backend: Backend, settings: Settings, ledger: Ledger, plan: Plan, stop: Callable[[], bool]) -> DataFrame | None:

@@ -1,7 +1,7 @@
 """The ledger: an append-only table of results, the ground truth of what has been called.
 
 A chunk of results is committed as one Parquet append before anything reads it, so a crash loses a chunk at most and a
-rerun repeats no committed call. Rewriting makes a new version in a folder of its own; a pointer file is renamed last."""
+rerun repeats no committed call. Rewriting makes a new version in a folder of its own; then a pointer file with the next number is renamed into place, and the newest one counts."""
 
 from __future__ import annotations
 
@@ -32,20 +32,33 @@ class Ledger:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read(self, name: str) -> dict | None:
-        where, fs = self._fs(f"{self.path}/{name}")
+    def _numbers(self, name: str) -> list[int]:
+        """Numbers of the whole files of this name, the newest last."""
+        where, fs = self._fs(self.path)
         if not fs.exists(where):
+            return []
+        there = (status.getPath().getName() for status in fs.listStatus(where))
+        return sorted(int(x.removeprefix(f"{name}.")) for x in there if x.startswith(f"{name}.") and x.removeprefix(f"{name}.").isdigit())
+
+    def _read(self, name: str) -> dict | None:
+        numbers = self._numbers(name)
+        if not numbers:
             return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/{name}").collect()))
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/{name}.{numbers[-1]}").collect()))
 
     def _write(self, name: str, value: dict) -> None:
+        """A new file with the next number, renamed into place when it is whole; only then the older ones go.
+
+        Whenever this stops, the newest whole file is there."""
+        numbers = self._numbers(name)
         beside, fs = self._fs(f"{self.path}/{name}.tmp")
         out = fs.create(beside, True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        where = self._fs(f"{self.path}/{name}")[0]
-        fs.delete(where, False)
-        fs.rename(beside, where)
+        if not fs.rename(beside, self._fs(f"{self.path}/{name}.{numbers[-1] + 1 if numbers else 1}")[0]):
+            raise OSError(f"{self.path}/{name} can't be renamed into place")
+        for n in numbers:
+            fs.delete(self._fs(f"{self.path}/{name}.{n}")[0], False)
 
     @property
     def version(self) -> str:

@@ -382,3 +382,65 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["run", "-c", str(tmp_path / "c.yaml"), "--input-csv", source, "--test", "1"]) == 1
     (tmp_path / "d.yaml").write_text("categories: []\n")
     assert cli.main(["run", "-c", str(tmp_path / "d.yaml")]) == 1
+
+
+# ---- crashes and replays
+
+
+def test_a_crash_while_the_pointer_is_written_loses_nothing(spark, tmp_path, monkeypatch):
+    led = Ledger(spark, tmp_path / "l")
+    led.append(rows_of(spark, ("a", "Finance"), ("b", "api_error")))
+    led.replace(led.results())
+    real = Ledger._fs
+
+    def stopping(self, path):
+        where, fs = real(self, path)
+        if path.endswith("current.json.2"):
+            raise KeyboardInterrupt
+        return where, fs
+
+    monkeypatch.setattr(Ledger, "_fs", stopping)
+    with pytest.raises(KeyboardInterrupt):  # the new pointer is whole beside, not yet in place
+        led.replace(led.successes())
+    monkeypatch.setattr(Ledger, "_fs", real)
+    assert {r["key_text"] for r in Ledger(spark, tmp_path / "l").results().collect()} == {"a", "b"}
+    led.replace(led.successes())
+    assert [r["key_text"] for r in Ledger(spark, tmp_path / "l").results().collect()] == ["a"]
+
+
+def test_a_batch_that_runs_again_calls_nothing(spark, tmp_path):
+    from tagmill.streaming.ingest import batch_of
+
+    calls = []
+
+    def backend(items):
+        calls.append(items.count())
+        return rule(by_text())(items)
+
+    s, led = settings(tmp_path), Ledger(spark, tmp_path / "l")
+    frame = spark.createDataFrame([("good", "x"), ("bad", "x")], "text string, context string")
+    for number in (0, 0, 1, 1):
+        batch_of(frame, number, backend, s, led)
+    assert calls == [2, 1] and led.read().count() == 3  # the second batch tries the failed item once
+
+
+def test_chunks_keep_the_windows_budget(spark, tmp_path):
+    s = settings(tmp_path, rate_limit_rps=1, rate_limit_window=20)
+    plan = Plan(1, 20, 20.0, 2, 0.0, 0)
+    items = spark.createDataFrame([(f"t{i}", "", i) for i in range(12)], "key_text string, key_context string, ord long")
+    waits = []
+    assert classify.commit_in_chunks(items, rule(by_text()), s, Ledger(spark, tmp_path / "l"), plan, sleep=waits.append) == 12
+    assert len(waits) == 5 and all(15 < w <= 20 for w in waits)
+    free = []
+    classify.commit_in_chunks(items, rule(by_text()), s, Ledger(spark, tmp_path / "m"), Plan(1, 0, 20.0, 4, 0.0, 0), sleep=free.append)
+    assert not free
+
+
+def test_windows_of_one_limiter_are_many_partitions(spark):
+    from tagmill.operators.throttle import sliding_window
+
+    rows = [(i, t) for i, t in enumerate([0, 5, 10, 10, 15, 19, 20, 25, 40, 60])]
+    df = spark.createDataFrame(rows, "i int, t long").select("i", F.timestamp_seconds("t").alias("ts"), F.lit(2).alias("w"), F.lit("x").alias("_own"))
+    got = {r["i"]: (r["n_window"], r["tokens_window"]) for r in sliding_window(df, "ts", 10, tokens="w").collect()}
+    expected = {i: sum(t - 10 < u <= t for _, u in rows) for i, t in rows}
+    assert got == {i: (n, 2 * n) for i, n in expected.items()}

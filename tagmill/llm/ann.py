@@ -6,7 +6,8 @@ about SAMPLE rows; every row is indexed); their number grows as the root of the
 a query probes is measured: rows of the sample search the sample, and the share of lists that holds TARGET of their true
 neighbours is taken, plus as many lists as it takes to meet REACH times k vectors.
 
-The k-th best distance within the sample, exact, bounds a query's search from the start. Scan of a list: its rotated vectors stand in blocks of columns. After each block the distances so far, d of D columns,
+The k-th best distance within the sample, exact, bounds a query's search from the start. Scan of a list, by a number of
+queries together: its rotated vectors stand in blocks of columns. After each block the distances so far, d of D columns,
 estimate the whole; a candidate is abandoned when its estimate exceeds the k-th best distance known by more than the
 estimate's error allows (the hypothesis test of adaptive sampling, EPSILON). Survivors are scored exactly, in double
 precision, on the original vectors.
@@ -42,6 +43,10 @@ TRIALS = 500
 LIST_ROWS, QUERY_ROWS = 4_096, 4_096
 EPSILON = 2.1
 COLUMNS = 16
+#: Queries that are scanned together, the share of pairs below which each is followed by itself, numbers scored at once.
+TOGETHER, SPARSE, SCORED = 64, 0.1, 2_000_000
+#: Error of distances in single precision.
+ROUNDING = 1e-5
 ITERATIONS = 8
 
 
@@ -58,7 +63,7 @@ class Index:
         if len(self.sample) <= k + 1:
             return np.full(len(q), np.inf)
         half = (self.sample * self.sample).sum(1)
-        return np.concatenate([np.partition(half - 2 * (part @ self.sample.T), k, 1)[:, k] + (part * part).sum(1) for part in (q[i : i + 256] for i in range(0, len(q), 256))]) + 1e-5
+        return np.concatenate([np.partition(half - 2 * (part @ self.sample.T), k, 1)[:, k] + (part * part).sum(1) for part in (q[i : i + 256] for i in range(0, len(q), 256))]) + ROUNDING
 
     def measure(self, originals: np.ndarray, k: int) -> None:
         """Sets probes."""
@@ -135,29 +140,48 @@ def build(classes: DataFrame, k: int = K, lists: int | None = None) -> Index | N
     return index
 
 
-def scan(x: np.ndarray, q: np.ndarray, k: int, bound: float = np.inf) -> np.ndarray:
-    """Rows of x that may be among the k nearest to q; bound: a distance that the k-th can't exceed."""
-    n, dims = x.shape
-    alive = np.arange(n)
+def squared(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances, a row per query."""
+    return (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * (q @ x.T)
+
+
+def scan(x: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of x) that may be among the k nearest; bound: per query a distance that the k-th can't exceed.
+
+    While most pairs live, a block of columns is one matrix product; once few do, each is followed by itself."""
+    (n, dims), m = x.shape, len(q)
     if n <= 2 * k:
-        return alive
-    sure = np.zeros(0, np.int64)
-    if bound == np.inf:  # the first candidates set the distance to beat, and the best of them stay whatever the tests say
-        known = ((x[: 4 * k] - q) ** 2).sum(1)
-        sure = np.argpartition(known, k - 1)[:k]
-        bound = known[sure].max()
-    part, at = np.zeros(n, np.float32), 0
+        return np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
+    bound = np.full(m, np.inf) if bound is None else bound.copy()
+    sure, free = np.zeros(0, np.int64), np.flatnonzero(np.isinf(bound))
+    if len(free):  # the first candidates set the distance to beat, and the best of them stay whatever the tests say
+        known = squared(x[: 4 * k], q[free])
+        best = np.argpartition(known, k - 1, 1)[:, :k]
+        sure = (free[:, None] * n + best).ravel()
+        bound[free] = np.take_along_axis(known, best, 1).max(1) + ROUNDING
+    limit = lambda to: bound * (1 + EPSILON / np.sqrt(to)) ** 2 * (to / dims) if to < dims else bound
+    rows, part, at = np.arange(n), np.zeros((m, n), np.float32), 0
+    while at < dims and np.isfinite(part).mean() > SPARSE:
+        to = min(dims, at + COLUMNS)
+        part += squared(x[rows, at:to], q[:, at:to])
+        part[part > limit(to)[:, None]] = np.inf  # abandoned
+        if not at and to < dims:  # candidates whose distance so far is least lower the bound
+            best = np.argpartition(part, k - 1, 1)[:, :k]
+            bound = np.minimum(bound, ((x[best] - q[:, None]) ** 2).sum(2).max(1) + ROUNDING)
+        live = np.isfinite(part).any(0)
+        rows, part, at = rows[live], part[:, live], to
+        if not len(rows):
+            break
+    who, place = np.nonzero(np.isfinite(part))
+    which, far = rows[place], part[who, place]
     while at < dims:
         to = min(dims, at + COLUMNS)
-        diff = x[alive, at:to] - q[at:to]
-        part = part + (diff * diff).sum(1)
-        keep = part * (dims / to) <= bound * (1 + EPSILON / np.sqrt(to)) ** 2 if to < dims else part <= bound
-        alive, part, at = alive[keep], part[keep], to
-        if to < dims and len(alive) > 2 * k:
-            # survivors whose distance so far is least lower the bound
-            best = alive[np.argpartition(part, k)[:k]]
-            bound = min(bound, float(((x[best] - q) ** 2).sum(1).max()))
-    return np.union1d(alive, sure)
+        diff = x[which, at:to] - q[who, at:to]
+        far = far + (diff * diff).sum(1)
+        keep = far <= limit(to)[who]
+        who, which, far, at = who[keep], which[keep], far[keep], to
+    pairs = np.union1d(who * n + which, sure)
+    return pairs // n, pairs % n
 
 
 def search(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None, lists: int | None = None) -> DataFrame:
@@ -217,40 +241,43 @@ def search(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id",
     dealt = stored.unionByName(wanted).repartition("list", "block", "turn").sortWithinPartitions("list", "block", "turn", F.col("q").asc_nulls_first(), "cls")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held_rows, x, original, ids = None, [], None, None, []
+        at, parts, ids, original, x = None, [], [], None, None
         for b in batches:
+            if not b.num_rows:
+                continue
             keys = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
             is_query = np.asarray(b.column(3).is_valid())
-            bounds = b.column(7).to_pylist()
+            bounds = b.column(7).to_numpy(zero_copy_only=False)
             vecs, q_ids, id_lists = matrix(b.column(5)), b.column(3).to_pylist(), b.column(6).to_pylist()
-            aimed = np.zeros((len(vecs), 0), np.float32)
-            if is_query.any():
-                aimed = np.zeros((len(vecs), vecs.shape[1] + 1), np.float32)
-                aimed[is_query] = held.value.aimed(vecs[is_query])
+            ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), b.num_rows]
             out: tuple[list, list, list] = ([], [], [])
-            for i, now in enumerate(map(tuple, keys)):
-                if now != at:
-                    at, held_rows, ids, x = now, [], [], None
-                if not is_query[i]:
-                    held_rows.append(vecs[i])
-                    ids.append(id_lists[i])
+            for lo, hi in zip([0, *ends], ends):
+                if tuple(keys[lo]) != at:
+                    at, parts, ids, x = tuple(keys[lo]), [], [], None
+                mid = hi - int(is_query[lo:hi].sum())  # a block's rows come before its queries
+                parts.append(vecs[lo:mid])
+                ids.extend(id_lists[lo:mid])
+                if mid == hi or not ids:
                     continue
                 if x is None:
-                    original = np.array(held_rows).reshape(-1, vecs.shape[1])
-                    x = held.value.lifted(original) if len(original) else None
-                if x is None:
-                    continue
-                some = scan(x, aimed[i], k + 1, bounds[i])
-                if not len(some):
-                    continue
-                score = (original[some] * vecs[i]).sum(1)
-                best = np.argsort(-score, kind="stable")
-                # whole classes of equal score before the cut, so that ties go by id
-                cut = score[best[min(k, len(best) - 1)]]
-                found = sorted((-score[j], v) for j in best if score[j] >= cut for v in ids[some[j]])[: k + 1]
-                out[0].extend([q_ids[i]] * len(found))
-                out[1].extend(v for _, v in found)
-                out[2].extend(-s for s, _ in found)
+                    original = np.concatenate(parts)
+                    x = held.value.lifted(original)
+                for of in range(mid, hi, TOGETHER):
+                    to = min(hi, of + TOGETHER)
+                    who, which = scan(x, held.value.aimed(vecs[of:to]), k + 1, bounds[of:to])
+                    step = max(1, SCORED // vecs.shape[1])
+                    score = np.concatenate([np.zeros(0), *((original[which[i : i + step]] * vecs[of + who[i : i + step]]).sum(1) for i in range(0, len(who), step))])
+                    cuts = np.searchsorted(who, np.arange(to - of + 1))
+                    for j in range(to - of):
+                        mine, some = score[cuts[j] : cuts[j + 1]], which[cuts[j] : cuts[j + 1]]
+                        if not len(mine):
+                            continue
+                        # whole classes of equal score before the cut, so that ties go by id
+                        cut = -np.partition(-mine, min(k, len(mine) - 1))[min(k, len(mine) - 1)]
+                        found = sorted((-mine[i], v) for i in np.flatnonzero(mine >= cut) for v in ids[some[i]])[: k + 1]
+                        out[0].extend([q_ids[of + j]] * len(found))
+                        out[1].extend(v for _, v in found)
+                        out[2].extend(-s for s, _ in found)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["q", "vec_id", "score"])
 
     found = dealt.mapInArrow(find, "q long, vec_id long, score double")

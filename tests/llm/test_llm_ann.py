@@ -93,10 +93,13 @@ def test_empty_table_and_clashing_columns(spark):
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 64)).astype(np.float32)
-    lost = 0
-    for q in x[:50]:
-        near = set(np.argsort(((x - q) ** 2).sum(1))[:10].tolist())
-        kept = m.scan(x, q, 10)
-        assert len(kept) < 1500
-        lost += len(near - set(kept.tolist()))
-    assert lost <= 10
+    near = [set(np.argsort(((x - q) ** 2).sum(1))[:10].tolist()) for q in x[:50]]
+    for together, bound in ((1, None), (50, None), (50, 100.0)):
+        lost = 0
+        for of in range(0, 50, together):
+            who, which = m.scan(x, x[of : of + together], 10, None if bound is None else np.full(together, bound))
+            for j in range(together):
+                kept = which[who == j]
+                assert len(kept) < 1500
+                lost += len(near[of + j] - set(kept.tolist()))
+        assert lost <= 10

@@ -24,9 +24,12 @@ from tagmill.config import Settings
 from tagmill.identity import KEYS
 from tagmill.operators.throttle import Plan, SlidingLimiter
 from tagmill.schemas import ANSWER_FIELDS
+from tagmill.stopping import Address, Watch
 
 Backend = Callable[[DataFrame], DataFrame]
 
+CANCELLED = "cancelled (graceful shutdown)"
+
 
 def answered(items: DataFrame, raw: Column, **given: Column) -> DataFrame:
     """items with raw_response and the other answer columns, absent ones empty."""
@@ -115,7 +118,7 @@ def call(settings: Settings, text: str, context: str, post: Post, limiter: Slidi
     attempt = limited = 0
     while attempt < settings.max_retries:
         if stop() or not limiter.acquire(stop):
-            return out.failed("cancelled (graceful shutdown)")
+            return out.failed(CANCELLED)
         try:
             status, answer = post(body)
             if status == 429:
@@ -159,9 +162,15 @@ def call(settings: Settings, text: str, context: str, post: Post, limiter: Slidi
     return out.failed(f"api_call_failed_after_{settings.max_retries}_retries")
 
 
-def http(settings: Settings, plan: Plan | None = None, post: Callable[[Settings], Post] = poster) -> Backend:
+def called(items: DataFrame) -> DataFrame:
+    """Answers but those of items that a stop kept from being called."""
+    return items.filter(~F.col("raw_response").eqNullSafe(F.lit(Call().failed(CANCELLED).raw_response)))
+
+
+def http(settings: Settings, plan: Plan | None = None, post: Callable[[Settings], Post] = poster, signal: Address | None = None) -> Backend:
     """The plan's tasks share the window's budget in equal parts. Run it with spark.speculation off and write its output
-    before anything reads it twice: every evaluation is a call."""
+    before anything reads it twice: every evaluation is a call. signal: where tasks ask whether to stop (StopSignal); calls
+    under way then end, and the other items come back as cancelled."""
     plan = plan or Plan.of(settings)
     threads = max(1, settings.workers // plan.tasks)
 
@@ -176,10 +185,10 @@ def http(settings: Settings, plan: Plan | None = None, post: Callable[[Settings]
 
             def one(pair: tuple[str, str]) -> Call:
                 if settings.jitter_seconds > 0:
-                    time.sleep(random.uniform(0, settings.jitter_seconds))
-                return call(settings, *pair, send, limiter)
+                    stopped.wait(random.uniform(0, settings.jitter_seconds))
+                return call(settings, *pair, send, limiter, sleep=stopped.wait, stop=stopped.is_set)
 
-            with ThreadPoolExecutor(threads) as pool:
+            with Watch(signal) as stopped, ThreadPoolExecutor(threads) as pool:
                 for frame in frames:
                     done = list(pool.map(one, zip(frame["key_text"], frame["key_context"], strict=True)))
                     made = pd.DataFrame([asdict(x) for x in done], columns=[n for n, _ in ANSWER_FIELDS])

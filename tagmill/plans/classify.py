@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.backends import Backend, http
+from tagmill.backends import Backend, called, http
 from tagmill.config import Settings
 from tagmill.functions.text import duration_text
 from tagmill.identity import KEYS
@@ -24,6 +24,7 @@ from tagmill.operators.throttle import CycleBudget, Plan
 from tagmill.schemas import COMPARE_COLUMNS, PROCESSING_ERROR, RESULT_COLUMNS
 from tagmill.sources.files import output_format, read_table, write_csv, write_table
 from tagmill.sources.ledger import Ledger, drift
+from tagmill.stopping import StopSignal
 
 log = logging.getLogger("tagmill")
 
@@ -41,8 +42,8 @@ def classify(items: DataFrame, backend: Backend, settings: Settings) -> DataFram
 def commit_in_chunks(items: DataFrame, backend: Backend, settings: Settings, ledger: Ledger, plan: Plan, budget: CycleBudget | None = None, stop: Callable[[], bool] = lambda: False, sleep=time.sleep) -> int:
     """Classifies what the ledger lacks, a chunk a commit; returns the number of rows committed.
 
-    Chunks are cut by a hash of the item, so each is a filter on the items and no chunk is collected. A stop between chunks
-    loses nothing; a crash loses the chunk that was under way. Every chunk's limiters begin empty, so where calls are limited a
+    Chunks are cut by a hash of the item, so each is a filter on the items and no chunk is collected. A stop
+    loses nothing, calls under way are committed; a crash loses the chunk that was under way. Every chunk's limiters begin empty, so where calls are limited a
     chunk begins a window's length after the one before ended."""
     n = items.count()
     size = max(1, plan.chunk)
@@ -67,7 +68,7 @@ def commit_in_chunks(items: DataFrame, backend: Backend, settings: Settings, led
             cycle = budget.reserve(count)
             if plan.cycle_calls:
                 ledger.write_metadata_of("cycle.json", budget.state)
-            ledger.append(classify(some, backend, settings), seq)
+            ledger.append(called(classify(some, backend, settings)), seq)
             ended = time.time()
             new = ledger.read().filter(F.col("seq") == seq)
             got = new.agg(F.count(F.lit(1)).alias("n"), F.count_if(~is_failed("label")).alias("ok")).first()
@@ -168,7 +169,8 @@ def run_in(spark: SparkSession, settings: Settings, backend: Backend | None, fol
     existing = ledger.successes()
     todo = merge.resume_todo(items, existing)
     plan = Plan.of(settings)
-    commit_in_chunks(todo, backend or http(settings, plan), settings, ledger, plan, stop=stop)
+    with StopSignal(spark, stop) as signal:
+        commit_in_chunks(todo, backend or http(settings, plan, signal=signal), settings, ledger, plan, stop=stop)
     everything = ledger.results().join(items.select(*KEYS, "ord"), KEYS)
     everything = everything.unionByName(cancelled(items, everything), allowMissingColumns=True)
     checked = labels.post_validate(everything, settings.category_list)

@@ -19,6 +19,7 @@ from tagmill.plans.classify import commit_in_chunks, named
 from tagmill.schemas import RESULT_COLUMNS
 from tagmill.sources.files import file_format, read_table, write_csv, write_table
 from tagmill.sources.ledger import Ledger
+from tagmill.stopping import StopSignal
 
 log = logging.getLogger("tagmill")
 
@@ -51,7 +52,6 @@ def retry(spark: SparkSession, settings: Settings, source: str | Path, backend:
         return {"failures": bad.count(), "breakdown": counts(bad)}
     settings.validate()
     plan = Plan.of(settings)
-    backend = backend or http(settings, plan)
     streak = spark.createDataFrame([], "key_text string, key_context string, streak long")
     base = Path(source).parent / f"run_{datetime.now():%Y%m%d_%H%M%S_%f}_retry"
     history: list[dict] = []
@@ -60,7 +60,8 @@ def retry(spark: SparkSession, settings: Settings, source: str | Path, backend:
         before = counts(bad)
         if not before:
             break
-        outcome = round_of(bad, streak, backend, settings, Ledger(spark, folder / "ledger"), plan, stop)
+        with StopSignal(spark, stop) as signal:
+            outcome = round_of(bad, streak, backend or http(settings, plan, signal=signal), settings, Ledger(spark, folder / "ledger"), plan, stop)
         if outcome is None:
             break
         keep = [*KEYS, "ord", *RESULT_COLUMNS]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagmill import cli
-from tagmill.backends import Call, call, replay, rule
+from tagmill.backends import Call, call, http, replay, rule
 from tagmill.config import STARTER, Settings, SettingsError
 from tagmill.identity import KEYS
 from tagmill.operators.throttle import CycleBudget, Plan, SlidingLimiter
@@ -13,6 +13,7 @@ from tagmill.plans import classify, retry
 from tagmill.sources import files
 from tagmill.sources.ledger import Ledger, drift
 from tagmill.streaming.ingest import classify_stream
+from tagmill.stopping import StopSignal, Watch
 
 CATS = ["Finance", "Marketing"]
 
@@ -195,7 +196,6 @@ def test_call_states(tmp_path):
 
 
 def test_http_backend_calls_once_per_item(spark, tmp_path):
-    from tagmill.backends import http
 
     s = settings(tmp_path, jitter_seconds=0, concurrency=4)
 
@@ -282,6 +282,42 @@ def test_stopped_run_reports_what_it_did_not_call(spark, tmp_path):
     assert "stopped between chunks" in (Path(made["folder"]) / "run.log").read_text()
 
 
+def test_stop_reaches_tasks_within_a_chunk(spark, tmp_path):
+    """Calls under way are committed, no other is made, and what a stop cancelled is called when resuming."""
+    s = settings(tmp_path, concurrency=2, jitter_seconds=0)
+    items = spark.createDataFrame([(f"t{i}", "", i) for i in range(200)], "key_text string, key_context string, ord long")
+    led = Ledger(spark, tmp_path / "l")
+    plan, made = Plan(2, 0, 1.0, 1000, 0, 0), tmp_path / "calls"
+    made.mkdir()
+    where = str(made)
+
+    def slow(_):
+        def post(body):
+            import os
+            import time
+            import uuid
+
+            open(os.path.join(where, uuid.uuid4().hex), "w").close()
+            time.sleep(0.3)
+            return 200, '{"choices": [{"message": {"content": "{\\"labels\\": [{\\"name\\": \\"Finance\\", \\"confidence\\": 99}]}"}}]}'
+
+        return post
+
+    stop = lambda: len(list(made.iterdir())) >= 6
+    with StopSignal(spark, stop) as signal:
+        done = classify.commit_in_chunks(items, http(s, plan, slow, signal), s, led, plan, stop=stop)
+    calls = len(list(made.iterdir()))
+    assert 6 <= calls < 60 and done == calls == led.read().count()
+    assert {r["label"] for r in led.read().select("label").distinct().collect()} == {"Finance"}
+    rest = classify.cancelled(items, led.results())
+    assert rest.count() == 200 - done and {r[0] for r in rest.select("parse_status").distinct().collect()} == {"cancelled"}
+
+
+def test_a_driver_that_cannot_be_reached_stops_nothing():
+    with Watch(("localhost", 1), every=0.01) as stopped:
+        assert not stopped.wait(0.1)
+
+
 def test_cycle_budget_splits_chunks(spark, tmp_path):
     now = [0.0]
     s = settings(tmp_path, cycle_duration=10, cycle_max_calls=3)

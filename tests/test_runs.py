@@ -196,7 +196,6 @@ def test_call_states(tmp_path):
 
 
 def test_http_backend_calls_once_per_item(spark, tmp_path):
-
     s = settings(tmp_path, jitter_seconds=0, concurrency=4)
 
     def fake(_):

@@ -34,7 +34,6 @@ def measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         docs.doc_id,
         docs.source.cast("string").alias("source"),
         F.coalesce(F.regexp_count(docs.text.cast("string"), F.lit(BLANK_WORD)), F.lit(0)).cast("long").alias("size"),
-        F.pmod(F.xxhash64(F.lit(SEED), docs.doc_id), F.lit(1 << 62)).alias("key"),
         # with the text, so that rows that share an id, or have none, are in many ranges
         F.pmod(F.xxhash64(F.lit(SEED), docs.doc_id, docs.text.cast("string")), F.lit(1 << 62)).alias("key"),
         F.xxhash64(docs.text.cast("string")).alias("tie"),

@@ -90,3 +90,10 @@ def test_query(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()
     check(spark, [tuple(r) for r in rows])
     assert m.op10_mix_sources(spark, sf_dir).columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_rows_that_share_an_id_or_have_none_are_spread(spark):
+    docs = spark.createDataFrame([(i, f"{'w ' * 3}{n}", "a") for i in (None, 7) for n in range(200)], "doc_id long, text string, source string")
+    assert m.measured(docs).select("key").distinct().count() >= 200
+    got = m.mix(docs, range_rows=10).collect()
+    assert len(got) == 400 and sum(r["taken"] for r in got) == sum(r["size"] for r in got) == 1600

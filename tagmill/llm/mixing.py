@@ -3,8 +3,9 @@
 Weights go to the sources in code-point order (null last), repeating. The budget is shared by weight; a source's target
 stops at `most` times its size and the excess is shared anew among the others, until none is above. Each document
 gets a key that is random by hash and the same in every run; the keys of a source are cut into ranges, as many as its rows
-need, so that no task sorts more than a range of even the largest source; running sums inside the ranges plus the sums
-of the ranges before give each document's place in its source. Whole epochs of the source come first, then documents
+need, so that no task sorts more than a range of even the largest source. Running sums inside the ranges, plus the sums
+of the ranges before in the same block of ranges, plus those of the blocks before give each document's place in its source,
+so no task adds up more than a block of ranges, or the blocks of a source. Whole epochs of the source come first, then documents
 in key order up to the exact budget; the one document that the budget cuts counts in part.
 
 Only ids, sizes and keys are shuffled, never texts. Sources are a table like any other and may be many.
@@ -26,6 +27,8 @@ MOST = 3
 SEED = 20
 #: Rows that a range of keys holds on average.
 RANGE_ROWS = 4_000
+#: Ranges whose sums one task adds up in their order.
+BLOCK_RANGES = 4_096
 
 
 def measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -70,6 +73,18 @@ def targets(sources: DataFrame, share: float = 1.0, most: float = MOST) -> DataF
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level if level is not None else 0.0)).cast("double"))
 
 
+def ranges_ahead(ranged: DataFrame) -> DataFrame:
+    """s, r (source and range) and the sum of sizes in all ranges of the source before it."""
+    block = F.floor(F.col("range") / F.lit(float(BLOCK_RANGES))).cast("long")
+    sums = stage(ranged.groupBy("source", "range").agg(F.sum("size").alias("of_range")).withColumn("block", block), "mix-ranges")
+    blocks = sums.groupBy("source", "block").agg(F.sum("of_range").alias("of_block"))
+    before = lambda name, line: F.sum(name).over(line) - F.col(name)
+    whole = blocks.select(F.col("source").alias("of"), F.col("block").alias("b"), before("of_block", Window.partitionBy("source").orderBy("block")).alias("whole"))
+    inner = sums.select("source", "range", "block", before("of_range", Window.partitionBy("source", "block").orderBy("range")).alias("part"))
+    both = inner.join(whole, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")))
+    return both.select(F.col("source").alias("s"), F.col("range").alias("r"), (F.col("whole") + F.col("part")).alias("ahead"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken."""
     rows = stage(measured(docs), "mix-rows")
@@ -79,8 +94,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     known = rows.join(per, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     ranged = known.withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 62)) * F.col("ranges")).cast("long"))
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("of_range"))
-    ahead = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), (F.sum("of_range").over(Window.partitionBy("source").orderBy("range")) - F.col("of_range")).alias("ahead"))
+    ahead = ranges_ahead(ranged)
     placed = ranged.withColumn("upto", F.sum("size").over(inside)).join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     start = F.col("ahead") + F.col("upto") - F.col("size")
     budget = F.floor(F.col("target")).cast("long")

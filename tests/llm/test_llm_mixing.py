@@ -72,6 +72,13 @@ def test_ranges_do_not_change_the_mix(spark):
     assert a == b
 
 
+def test_blocks_of_ranges_do_not_change_the_mix(spark, monkeypatch):
+    rows = corpus(5)
+    a = sorted((r["doc_id"], r["taken"]) for r in check(spark, rows, range_rows=7))
+    monkeypatch.setattr(m, "BLOCK_RANGES", 3)
+    assert a == sorted((r["doc_id"], r["taken"]) for r in check(spark, rows, range_rows=7))
+
+
 def test_reruns_and_partitions_agree(spark):
     df = spark.createDataFrame(corpus(4), "doc_id long, text string, source string")
     a, b = (sorted(map(tuple, x.collect())) for x in (m.mix(df), m.mix(df.repartition(7))))

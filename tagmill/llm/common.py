@@ -106,10 +106,11 @@ def _remove_all() -> None:
             remove(spark, path)
 
 
-def stage(df: DataFrame, tag: str, codec: str = "lz4_raw") -> DataFrame:
+def stage(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors, is computed once.
 
-    The default codec needs no memory outside the JVM's heap."""
+    Not lz4_raw: its reader takes the bytes asked for as the size of the whole page, and a filter on a column reads
+    dictionaries in pieces of 8 KB, so that larger ones can't be read back."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.option("compression", codec).parquet(path)

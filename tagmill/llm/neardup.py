@@ -21,7 +21,8 @@ but for about 3 in a million.
 Hot groups are split at every step: partial aggregation for copies and bands, salted centres for confirmation, blocks for 6;
 tables that are joined on hot keys (bands, components, copies) are written first, so that adaptive execution can split the join.
 
-The input is written once, with a number for each row; all later steps read that table, so a number means one row.
+The input is written once, with a number for each row; all later steps read that table, so a number means one row. Texts and
+sketches are filtered where they lie, by a bit map of the numbers that pairs name, before any join: only those travel.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; ids may repeat or be null: rows
 are told apart by their place in the input, a component's id is the smallest id in it (null where all are null), and `kept`
@@ -47,6 +48,8 @@ EMPTY, MOST_ZEROS = 0xFF, 14
 CHANCE = 1 / 3 / (1 << MANTISSA)
 DEVIATIONS = 5.0
 SALT_ROWS, BLOCK_ROWS, ORDER_ROWS = 64, 512, 4096
+#: Words of 64 bits that a bit map of rows has at most; it is exact for some 64 million rows, but for colliding words.
+MAP_WORDS = 1 << 20
 #: Rounds that compare neighbours of a band before the rest is compared in blocks.
 TURNS = 3
 WORDS = 5
@@ -199,8 +202,21 @@ def sketches_agree(bound: float):
     return agree
 
 
+def among(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """The rows whose key is in a pair (a, b), and few others, without moving a row: a bit map of the pairs' numbers is broadcast.
+
+    Its size is bounded. With more rows than it has bits, words are shared, and more rows pass that no pair needs."""
+    word = lambda n: F.pmod(F.xxhash64(F.shiftright(n, 6)), F.lit(MAP_WORDS).cast("long"))
+    bit = lambda n: n.bitwiseAND(63).cast("int")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("named"))
+    bits = named.groupBy(word(F.col("named")).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("named")))).alias("bits"))
+    held = (word(F.col(key)) == F.col("word")) & (F.getbit("bits", bit(F.col(key))) == 1)
+    return rows.join(F.broadcast(bits), held, "left_semi")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough. a may be in any number of pairs."""
+    texts = among(texts, "cls", pairs)
     spread = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     other = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), "b")
     centre = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
@@ -335,21 +351,21 @@ def components_of(store: DataFrame, words: int = WORDS, percent: int = PERCENT)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     rep = F.min(F.struct("rid", "sketch"))
     classes = stage(some.groupBy("p1", "p2", "n").agg(rep.alias("rep"), least.alias("label")).select("p1", "p2", "n", F.col("rep.rid").alias("cls"), "label", F.col("rep.sketch").alias("sketch")), "near-classes")
-    sketches = classes.select("cls", "sketch", "n")
     keys = band_keys()
     bands = classes.select("cls", keys("sketch").alias("bands")).select("cls", F.explode("bands").alias("band"))
     several = stage(bands.groupBy("band").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "least"), "near-several")
     banded = stage(bands.join(several, "band"), "near-bands")
     star = stage(banded.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct(), "near-candidates")
     agree = sketches_agree(bound)
+    # sketches and texts of the classes that any band shares, once, for all rounds
+    sketches = stage(among(classes.select("cls", "sketch", "n"), "cls", star), "near-sketches")
+    texts = stage(among(store, "rid", star).select(F.col("rid").alias("cls"), "text"), "near-texts", "zstd")
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        x, y = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-        return pairs.join(x, "a").join(y, "b").filter(agree("sa", "sb", "na", "nb")).select("a", "b")
+        some = among(sketches, "cls", pairs)
+        x, y = some.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), some.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+        return stage(pairs.join(x, "a").join(y, "b").filter(agree("sa", "sb", "na", "nb")).select("a", "b"), "near-likely")
 
-    # texts of the classes that any band shares, once, for all rounds of confirmation
-    wanted = star.select(F.col("a").alias("cls")).union(star.select("b")).distinct()
-    texts = stage(store.join(wanted, F.col("rid") == F.col("cls")).select("cls", "text"), "near-texts", "zstd")
     links = stage(confirm(estimated(star), texts, words, percent), "near-links")
     at, tested = components(links), star
     own, size = divided(banded, at)

@@ -166,3 +166,40 @@ def test_documents_of_a_join_keep_their_rows(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_texts_without_candidates_are_not_shuffled(spark):
+    # 200 texts of 36 KB that hardly compress and are like no other, three that are; no join by broadcast unless asked for
+    rng = random.Random(12)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(2200)) for _ in range(200)]
+    texts += [texts[5] + " end", texts[5] + " another end", texts[7] + " end"]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        seen = shuffled_bytes(spark)
+        docs.write.format("noop").mode("overwrite").save()
+        own = sum(v for k, v in shuffled_bytes(spark).items() if k not in seen)  # the repartition
+        seen = shuffled_bytes(spark)
+        got = {r["doc_id"]: r["component_id"] for r in m.near_duplicates(docs).collect()}
+        moved = sum(v for k, v in shuffled_bytes(spark).items() if k not in seen) - own
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert {i: c for i, c in got.items() if i != c} == {200: 5, 201: 5, 202: 7} and len(got) == 203
+    assert 0 < moved < sum(map(len, texts)) / 4
+
+
+def test_shared_words_of_the_bit_map_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(m, "MAP_WORDS", 1)
+    rows, pairs = spark.range(500).withColumnRenamed("id", "rid"), spark.createDataFrame([(3, 64 + 63), (3, 300)], "a long, b long")
+    found = {r["rid"] for r in m.among(rows, "rid", pairs).collect()}
+    assert {3, 127, 300} <= found and len(found) < 30
+    monkeypatch.undo()
+    assert {r["rid"] for r in m.among(rows, "rid", pairs).collect()} == {3, 127, 300}

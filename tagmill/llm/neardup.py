@@ -208,8 +208,8 @@ def among(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     Its size is bounded. With more rows than it has bits, words are shared, and more rows pass that no pair needs."""
     word = lambda n: F.pmod(F.xxhash64(F.shiftright(n, 6)), F.lit(MAP_WORDS).cast("long"))
     bit = lambda n: n.bitwiseAND(63).cast("int")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("named"))
-    bits = named.groupBy(word(F.col("named")).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("named")))).alias("bits"))
+    of = lambda n: pairs.groupBy(word(F.col(n)).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col(n)))).alias("bits"))
+    bits = of("a").union(of("b")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     held = (word(F.col(key)) == F.col("word")) & (F.getbit("bits", bit(F.col(key))) == 1)
     return rows.join(F.broadcast(bits), held, "left_semi")
 

@@ -11,7 +11,8 @@ but for about 3 in a million.
   2. Band keys are grouped by their smallest class, never expanded: each class of a band is a candidate with that one only.
   3. Candidates whose sketches' Jaccard estimate, corrected for chance equality of compressed registers, lies five standard
      deviations below the bound are dropped; the others are confirmed on their full sets.
-  4. Links join classes to components: least label of the neighbours, then pointer jumping, until nothing changes.
+  4. Links join classes to components: least label of the neighbours, then pointer jumping; links are then drawn between the
+     roots, until none is left. Of each class one candidate is confirmed first, the others only where components are still apart.
   5. Where a band still holds more than one component, classes of different ones that stand side by side in a random order
      are confirmed too, and components joined anew, a few times: most of what belongs together is together after that.
   6. In bands that are still divided, classes that aren't with the smallest are compared with all others, in blocks of
@@ -252,22 +253,42 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return dealt.select("a", "salt", "b", "text").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """v, root (the smallest vertex of its component) for all vertices of links (a, b)."""
-    both = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")), "near-edges")
-    at = stage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).select(F.col("u").alias("v"), "root"), "near-roots")
-    weight = lambda df: df.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-    last = weight(at)
-    while True:
-        near = both.join(at.select(F.col("v").alias("x"), "root"), F.col("u") == F.col("x")).select("v", "root")
-        least = near.union(at).groupBy("v").agg(F.min("root").alias("root"))
-        up = at.select(F.col("v").alias("y"), F.col("root").alias("higher"))
-        # a root's root: labels are vertices of the same component, so following them is safe
-        at = stage(least.join(up, F.col("root") == F.col("y")).select("v", F.least("root", "higher").alias("root")), "near-roots")
-        now = weight(at)
-        if now == last:
-            return at
-        last = now
+def followed(at: DataFrame, by: DataFrame) -> DataFrame:
+    """at (v, root) with the roots that by (v, root) has for its roots."""
+    up = by.select(F.col("v").alias("x"), F.col("root").alias("higher"))
+    return at.join(up, F.col("root") == F.col("x"), "left").select("v", F.coalesce("higher", "root").alias("root"))
+
+
+def between(pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components, with their roots (ra, rb); what at (v, root) lacks is its own root."""
+    x, y = (at.select(F.col("v").alias(v), F.col("root").alias(root)) for v, root in (("x", "rx"), ("y", "ry")))
+    ends = pairs.join(x, F.col("a") == F.col("x"), "left").join(y, F.col("b") == F.col("y"), "left")
+    return ends.select("a", "b", F.coalesce("rx", "a").alias("ra"), F.coalesce("ry", "b").alias("rb")).filter("ra <> rb")
+
+
+def components(links: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """v, root (the smallest vertex of its component) for all vertices of links (a, b) and of at, the components found before.
+
+    Each turn every vertex takes its smallest neighbour, those are followed to roots, and links are drawn between the roots instead: none is
+    left inside a component, and of several between two of them one. So a link is looked up once by each end, not again in every turn."""
+    if at is not None:
+        links = drawn(links, at)
+    while not links.isEmpty():
+        near = links.select(F.col("a").alias("v"), F.col("b").alias("root")).union(links.select("b", "a"))
+        step = stage(near.groupBy("v").agg(F.least("v", F.min("root")).alias("root")), "near-roots")
+        while True:
+            inner = step.filter("v <> root")
+            if inner.select("root").join(inner.select(F.col("v").alias("x")), F.col("root") == F.col("x"), "left_semi").isEmpty():
+                break
+            step = stage(followed(step, step), "near-roots")
+        at = step if at is None else stage(followed(at, step).union(step.join(at.select("v"), "v", "left_anti")), "near-roots")
+        links = drawn(links, step)
+    return links.select(F.col("a").alias("v"), F.col("b").alias("root")) if at is None else at
+
+
+def drawn(links: DataFrame, at: DataFrame) -> DataFrame:
+    """Links (a, b) between the roots of different components."""
+    return stage(between(links, at).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "near-edges")
 
 
 def divided(banded: DataFrame, at: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -355,7 +376,7 @@ def components_of(store: DataFrame, words: int = WORDS, percent: int = PERCENT)
     bands = classes.select("cls", keys("sketch").alias("bands")).select("cls", F.explode("bands").alias("band"))
     several = stage(bands.groupBy("band").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "least"), "near-several")
     banded = stage(bands.join(several, "band"), "near-bands")
-    star = stage(banded.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct(), "near-candidates")
+    star = stage(banded.filter("cls <> least").groupBy(F.col("least").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "near-candidates")
     agree = sketches_agree(bound)
     # sketches and texts of the classes that any band shares, once, for all rounds
     sketches = stage(among(classes.select("cls", "sketch", "n"), "cls", star), "near-sketches")
@@ -366,24 +387,27 @@ def components_of(store: DataFrame, words: int = WORDS, percent: int = PERCENT)
         x, y = some.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), some.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
         return stage(pairs.join(x, "a").join(y, "b").filter(agree("sa", "sb", "na", "nb")).select("a", "b"), "near-likely")
 
-    links = stage(confirm(estimated(star), texts, words, percent), "near-links")
-    at, tested = components(links), star
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stage(confirm(pairs, texts, words, percent), "near-links")
+
+    # one candidate of each class first: its links are a forest. Of the others only those are tested that may still join components
+    first = stage(star.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "near-candidates")
+    at, tested = components(linked(estimated(first))), star.select("a", "b")
+    others = stage(between(star.select("a", "b").join(first, ["a", "b"], "left_anti"), at).select("a", "b"), "near-candidates")
+    at = components(linked(estimated(others)), at)
     own, size = divided(banded, at)
     for turn in range(TURNS):
         pairs = stage(neighbours(own, size, turn).join(tested, ["a", "b"], "left_anti"), "near-candidates")
         if pairs.isEmpty():
             break
         tested = tested.union(pairs)
-        extra = stage(confirm(estimated(pairs), texts, words, percent), "near-links")
+        extra = linked(estimated(pairs))
         if not extra.isEmpty():
-            links = links.union(extra)
-            at = components(links)
+            at = components(extra, at)
             own, size = divided(banded, at)
     more = stage(leftovers(own, size, sketches, bound).join(tested, ["a", "b"], "left_anti"), "near-leftovers")
     if not more.isEmpty():
-        extra = stage(confirm(more, texts, words, percent), "near-links")
-        if not extra.isEmpty():
-            at = components(links.union(extra))
+        at = components(linked(more), at)
     roots = stage(classes.select("p1", "p2", "n", "cls", "label").join(at.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "near-classes")
     # of each component its smallest id, and the first row with that id; written, so that a large component's join can be split
     names = stage(roots.groupBy("root").agg(F.min("label").alias("kept")), "near-names")

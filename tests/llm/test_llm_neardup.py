@@ -203,3 +203,56 @@ def test_shared_words_of_the_bit_map_lose_nothing(spark, monkeypatch):
     assert {3, 127, 300} <= found and len(found) < 30
     monkeypatch.undo()
     assert {r["rid"] for r in m.among(rows, "rid", pairs).collect()} == {3, 127, 300}
+
+
+def joined_rows(spark):
+    """Rows that joins have made so far, by execution and node."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, out = spark._jsparkSession.sharedState().statusStore(), {}
+    runs = store.executionsList()
+    for k in (runs.apply(i).executionId() for i in range(runs.size())):
+        nodes, found = store.planGraph(k).allNodes(), store.executionMetrics(k)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name():
+                ids = [x.accumulatorId() for x in (node.metrics().apply(i) for i in range(node.metrics().size())) if x.name() == "number of output rows"]
+                out[k, node.id()] = sum(int(found.apply(x).replace(",", "")) for x in ids if found.contains(x))
+    return out
+
+
+def least_of(links):
+    root = {}
+    for a, b in links:
+        x, y = root.setdefault(a, {a}), root.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            root.update((v, x) for v in y)
+    return {v: min(x) for v, x in root.items()}
+
+
+def links_of(spark, pairs):
+    return spark.createDataFrame(pairs, "a long, b long")
+
+
+def test_links_are_looked_up_once(spark):
+    # a clique and a chain, which many turns join: the clique's links are looked up by each end, and not in every turn
+    links = [(i, j) for i in range(80) for j in range(i)] + [(1000 + i, 1001 + i) for i in range(40)]
+    seen = joined_rows(spark)
+    got = {r["v"]: r["root"] for r in m.components(links_of(spark, links)).collect()}
+    made = sum(v for k, v in joined_rows(spark).items() if k not in seen)
+    assert got == least_of(links)
+    assert len(links) < made < 2.5 * len(links)
+
+
+def test_components_grow(spark):
+    rng = random.Random(14)
+    far = [[(rng.randrange(s, s + n), rng.randrange(s, s + n)) for _ in range(k)] for s, n, k in ((0, 300, 150), (0, 300, 40), (200, 300, 60))]
+    chain = rng.sample(range(600, 700), 100)
+    rounds = [far[0] + list(zip(chain, chain[1:], strict=False)), far[1] + [(2000, k) for k in range(1000, 1030)], [], far[2] + [(5, 650), (5000, 5001)]]
+    rounds = [[(a, b) for a, b in x if a != b] for x in rounds]
+    at, all_ = m.components(links_of(spark, [])), []
+    assert at.count() == 0
+    for links in rounds:
+        at = m.components(links_of(spark, links), at)
+        all_ += links
+        got = at.collect()
+        assert len(got) == len(least_of(all_)) and {r["v"]: r["root"] for r in got} == least_of(all_)

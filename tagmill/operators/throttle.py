@@ -23,17 +23,25 @@ def sliding_window(events: DataFrame, ts: str, seconds: float, tokens: str | Non
 
     An event leaves when its age reaches the window. Events of one instant see each other. by: independent limiters. Time is
     cut into spans as long as the window; an event counts in its own span and in the next, so each span of each limiter is
-    a partition and a single limiter over all events is many tasks."""
+    a partition and a single limiter over all events is many tasks. A window is the rest of the span before, after the place
+    in it that the event has in its own, and its own span up to the event. Both are running sums, from one end of a span each:
+    a frame that moves at both ends is summed anew for each instant. Nothing is subtracted, so sums of doubles keep their digits."""
     width = int(seconds * 1e6)
-    keys = [F.col(c) for c in by] if by else []
-    packed = events.select(F.struct("*").alias("_row"), *(k.alias(f"_k{i}") for i, k in enumerate(keys)), micros(F.col(ts)).alias("_us"), (F.col(tokens) if tokens else F.lit(0)).alias("_tokens"))
-    span = F.floor(F.col("_us") / F.lit(width)).cast("long")
+    cols, keys = [f"_c{i}" for i in range(len(events.columns))], [f"_k{i}" for i in range(len(by or []))]
+    # names of our own, one column each: none clashes, and what the caller drops is never read
+    flat = events.select("*", *(F.col(c) for c in by or []), micros(F.col(ts)), F.col(tokens) if tokens else F.lit(0)).toDF(*cols, *keys, "_us", "_tokens")
+    placed = flat.withColumn("_at", F.pmod("_us", F.lit(width))).withColumn("_begin", F.col("_us") - F.col("_at"))
     # a null instant is in no window but that of its own kind
-    there = packed.withColumn("_own", span).withColumn("_span", F.explode(F.when(F.col("_own").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(F.col("_own"), F.col("_own") + 1))))
-    there = there.withColumn("_row", F.when(F.col("_own").eqNullSafe(F.col("_span")), F.col("_row")))
-    window = Window.partitionBy(*(f"_k{i}" for i in range(len(keys))), "_span").orderBy("_us").rangeBetween(1 - width, Window.currentRow)
-    seen = there.withColumns({"_n": F.count(F.lit(1)).over(window), "_t": F.sum("_tokens").over(window)}).filter("_row IS NOT NULL")
-    return seen.select("_row.*", F.col("_n").alias("n_window"), F.col("_t").alias("tokens_window"))
+    there = placed.withColumn("_span", F.explode(F.when(F.col("_begin").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(F.col("_begin"), F.col("_begin") + F.lit(width)))))
+    own = F.col("_begin").eqNullSafe(F.col("_span"))
+    there = there.select(*keys, "_span", "_at", "_tokens", own.alias("_own"), *(F.when(own, F.col(c)).alias(c) for c in cols))
+    span = Window.partitionBy(*keys, "_span")
+    later = span.orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    seen = there.withColumns({"_n0": F.count(F.when(~F.col("_own"), 1)).over(later), "_t0": F.sum(F.when(~F.col("_own"), F.col("_tokens"))).over(later)}).filter("_own")
+    upto = span.orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = seen.withColumns({"_n1": F.count(F.lit(1)).over(upto), "_t1": F.sum("_tokens").over(upto)})
+    total = F.coalesce(F.col("_t0") + F.col("_t1"), "_t0", "_t1").cast(seen.schema["_t1"].dataType)
+    return seen.select(*cols, F.col("_n0") + F.col("_n1"), total).toDF(*events.columns, "n_window", "tokens_window")
 
 
 def cycle(ts: Column, anchor: Column, seconds: float) -> Column:

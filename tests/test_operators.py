@@ -226,3 +226,39 @@ def test_cycle_budget_survives_a_restart():
     assert again.free() == 3
     again.settle(1, 1, first)  # of a cycle that is over
     assert again.free() == 3
+
+
+def test_sliding_window_moves_no_frame_and_reads_no_other_column(spark, tmp_path, capsys):
+    n = 20_000  # of one span, at distinct instants: a frame that moves at both ends is summed anew for each
+    spark.range(n).select("id", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 150_000).alias("ts"), F.lit("x" * 50).alias("props")).write.parquet(str(tmp_path / "t"))
+    df = throttle.sliding_window(spark.read.parquet(str(tmp_path / "t")), "ts", 1800, tokens="id").select("id", "n_window", "tokens_window")
+    df.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("specifiedwindowframe(") == plan.count("specifiedwindowframe(RangeFrame, unboundedpreceding$()") > 0
+    assert "props" not in plan
+    got = sorted(df.collect())
+    held = 12_000  # 1800 seconds of them
+    assert [r["n_window"] for r in got] == [min(i + 1, held) for i in range(n)]
+    assert [r["tokens_window"] for r in got] == [sum(range(max(0, i - held + 1), i + 1)) for i in (r["id"] for r in got)]
+
+
+def test_sliding_window_at_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(-15, 0.1), (-10, 0.2), (-5, None), (0, 1e300), (0, 0.3), (9, 2.0), (10, 0.7), (19, None), (20, None), (29, None), (40, inf), (50, 0.4), (60, nan), (70, 0.6), (None, 5.0), (None, None), (None, 6.0)]
+    df = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(rows)], "i int, t long, w double").withColumn("ts", F.timestamp_seconds("t")).withColumnRenamed("t", "a.b")
+    out = throttle.sliding_window(df, "ts", 10, tokens="w")
+    assert out.columns == ["i", "a.b", "w", "ts", "n_window", "tokens_window"]
+    got = {r["i"]: (r["n_window"], r["tokens_window"]) for r in out.collect()}
+    for i, (t, _) in enumerate(rows):
+        seen = [w for u, w in rows if (u is None if t is None else u is not None and t - 10 < u <= t)]
+        known = [w for w in seen if w is not None]
+        n, total = got[i]
+        assert n == len(seen) and (total is None) == (not known)
+        assert not known or total == pytest.approx(sum(known), nan_ok=True), i
+    assert got[6] == (2, 2.7) and got[11] == (1, 0.4) and got[13] == (1, 0.6)  # 1e300, infinity and NaN leave nothing behind
+
+
+def test_sliding_window_keeps_limiters_apart(spark):
+    df = spark.sql("SELECT i, timestamp_seconds(i) AS ts, CASE i % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS u, i AS w FROM (SELECT explode(sequence(0, 40)) AS i)")
+    got = {r["i"]: (r["n_window"], r["tokens_window"]) for r in throttle.sliding_window(df, "ts", 10, tokens="w", by=["u"]).collect()}
+    assert got == {i: (len(s), sum(s)) for i in range(41) for s in [[j for j in range(max(0, i - 9), i + 1) if j % 3 == i % 3]]}
